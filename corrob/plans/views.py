@@ -108,11 +108,11 @@ def with_source_facts(df: DataFrame) -> DataFrame:
 
 
 def inflows(spark: SparkSession, d: str) -> DataFrame:
-    """origin, region, year, product, source, confidence, qty; weighted = qty · confidence · reliability."""
+    """origin, region, year, product, source, confidence, qty; weighted = qty · confidence · reliability, in ten-thousandths, so that sums are exact."""
     name, url = source_columns(F.col("k"))
     f = flows(spark, d).groupBy("origin", F.col("dest").alias("region"), "year", "product", (F.col("supp") % 7).alias("k")).agg(F.sum("qty").alias("qty"))
     f = f.select("origin", "region", "year", "product", "qty", name.alias("source_name"), url.alias("source_url"), F.when(F.col("product").isin("ECONOMY", "SMALL"), "official").when(F.col("product").isin("MEDIUM", "LARGE"), "reported").otherwise("estimated").alias("confidence"))
-    return with_source_facts(f).withColumn("weighted", F.col("qty") * confidence_weight(F.col("confidence")) * F.col("reliability"))
+    return with_source_facts(f).withColumn("weighted", F.col("qty") * F.round(confidence_weight(F.col("confidence")) * F.col("reliability") * 10_000).cast("long"))
 
 
 def outflows(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +159,7 @@ con1 as (select event_id id, 'NATION_' || (user_id % 25) region, cast(1999 + eve
   cast(least(100, greatest(0, floor("value"))) as bigint) intensity, {_source_sql("(event_id % 7)")} from events),
 src as (select *, {family_sql("source_name", "source_url")} family, {tier_sql("source_name", "source_url")} tier from (select {_source_sql("k")} from range(8) t(k))),
 inflows as (select i.*, family, case tier when 'high' then 1.0 when 'medium' then 0.75 else 0.5 end::double reliability,
-  qty * (case confidence when 'official' then 1.0 when 'reported' then 0.78 else 0.55 end::double) * (case tier when 'high' then 1.0 when 'medium' then 0.75 else 0.5 end::double) weighted
+  qty * cast((case confidence when 'official' then 1.0 when 'reported' then 0.78 else 0.55 end) * (case tier when 'high' then 1.0 when 'medium' then 0.75 else 0.5 end) * 10000 as bigint) weighted
   from in1 i join src on i.source_name is not distinct from src.source_name),
 outflows as (select o.*, family, case tier when 'high' then 1.0 when 'medium' then 0.75 else 0.5 end::double reliability from out1 o join src on o.source_name is not distinct from src.source_name),
 conflicts as (select c.*, family, case tier when 'high' then 1.0 when 'medium' then 0.75 else 0.5 end::double reliability from con1 c join src on c.source_name is not distinct from src.source_name),
