@@ -39,5 +39,5 @@ def hash_chain(df: DataFrame, chain: str, order: str, payload: Column) -> DataFr
     rows = each.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "p"))).alias("r"))
     start = F.array(F.struct(F.lit(None).cast(df.schema[order].dataType).alias("o"), F.lit("").alias("prev"), F.lit("").alias("hash")))
     step = lambda acc, x: F.concat(acc, F.array(F.struct(x["o"].alias("o"), F.element_at(acc, -1)["hash"].alias("prev"), F.sha2(F.concat(F.element_at(acc, -1)["hash"], x["p"]), 256).alias("hash"))))
-    chained = rows.select(chain, F.explode(F.slice(F.aggregate("r", start, step), 2, 1 << 30)).alias("c"))
-    return chained.select(chain, F.col("c.o").alias(order), F.col("c.prev").alias("previous_hash"), F.col("c.hash").alias("hash"))
+    chained = rows.select(chain, F.explode(F.slice(F.aggregate("r", start, step), 2, 1 << 30)).alias("__c"))
+    return chained.select(chain, F.col("__c.o").alias(order), F.col("__c.prev").alias("previous_hash"), F.col("__c.hash").alias("hash"))
