@@ -33,7 +33,7 @@ EVIDENCE_BINS, SCORE_BINS, RANGE = 2001, 1001, 50.0
 
 @dataclass(frozen=True)
 class SiteParams:
-    """pseudo: counts that each cell has beforehand; least_z: of a cell that counts; folds: one of so many scales; most_broadcast: sites."""
+    """pseudo: counts that each cell has beforehand; least_z: of a cell that counts; folds: one of so many scales; most_broadcast, most_labels: rows of sites and of labels (16 bytes each) up to which a join broadcasts them."""
 
     pseudo: float = 2.0
     least_z: float = 4.0
@@ -41,6 +41,7 @@ class SiteParams:
     folds: int = 4
     most_good_lost: float = 0.005
     most_broadcast: int = 100_000
+    most_labels: int = 2_000_000
 
 
 def cells_of(raw: bytes | None) -> list[int]:
@@ -89,7 +90,9 @@ def classify(docs: DataFrame, labels: DataFrame, p: SiteParams = SiteParams()) -
     read = stash(site.mapInArrow(cells, f"doc_id {kind}, host string, path string, cells array<int>"), "cells")
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(good).alias("good"))
-    known = stash(known.join(read, "doc_id").withColumn("later", F.pmod(F.xxhash64("doc_id"), F.lit(p.folds)) == 0), "labelled")
+    if labels.count() <= p.most_labels:  # beyond it, both sides are shuffled
+        known = F.broadcast(known)
+    known = stash(read.join(known, "doc_id").withColumn("later", F.pmod(F.xxhash64("doc_id"), F.lit(p.folds)) == 0), "labelled")
     first = known.where("not later")
     n = {r["good"]: r["n"] for r in first.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_good, n_bad = n.get(True, 0), n.get(False, 0)
