@@ -1,7 +1,7 @@
 """Quality rules: statistics of whole texts, fixed limits, and an isolation forest over the statistics.
 
-Random trees split the statistics of bounded samples of labelled documents; documents that few splits isolate have
-short paths and are anomalous. The threshold on the anomaly score comes from all labelled rows: the best separation of
+Random trees split the statistics of bounded samples of labelled documents that pass the fixed limits; documents that few splits isolate have
+short paths and are anomalous. The threshold on the anomaly score comes from all labelled rows that pass them: the best separation of
 the two labels among those that lose at most ``most_good_lost`` of the good ones (by a histogram with fixed bins).
 
 A null text has no words. A text without words fails the base rule. Without labels of both kinds, or without labelled
@@ -84,12 +84,15 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def features(stats):
-    """The forest's columns from an array of STATS: size, word length, and shares of symbols, repeats, capitals, distinct words."""
+    """The forest's columns from an array of STATS: word length, and shares of symbols, repeated lines and words, capitals.
+
+    Shares only: very short and very long texts would be anomalies by their size.
+    """
     import numpy as np
 
-    w, chars, sym, dup, rep, points, lines, upper, distinct = stats.T.astype(float)
+    w, chars, sym, dup, rep, points, lines, upper, _ = stats.T.astype(float)
     one = lambda x: np.maximum(x, 1)
-    return np.stack([np.log1p(w), chars / one(w), np.log1p(1000 * sym / one(points)), dup / one(lines), rep / one(w), upper / one(chars), np.log1p(distinct) - np.log1p(w)], axis=1)
+    return np.stack([chars / one(w), np.log1p(1000 * sym / one(points)), dup / one(lines), rep / one(w), upper / one(chars)], axis=1)
 
 
 def expected_path(n: float) -> float:
@@ -149,7 +152,9 @@ def judge(docs: DataFrame, labels: DataFrame, p: ForestParams = ForestParams())
     spark = docs.sparkSession
     stats = stash(statistics(docs), "statistics")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
-    known = stash(known.join(stats, "doc_id").select("good", "doc_id", *STATS), "labelled")
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    # What fails the base rule is gone already: the forest learns, and its threshold is set, on the rest.
+    known = stash(known.join(stats.where(~failed), "doc_id").select("good", "doc_id", *STATS), "labelled")
     n = known.count()
     share = min(1.0, p.fit_rows / max(1, n))
     taken = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("good", "doc_id", *STATS)
@@ -171,6 +176,5 @@ def judge(docs: DataFrame, labels: DataFrame, p: ForestParams = ForestParams())
     for r in bins:
         good[r["bin"]], bad[r["bin"]] = r["good"], r["bad"]
     at = histogram_threshold(good, bad, p.most_good_lost)
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     anomalous = F.lit(False) if at is None else F.floor(F.col("score") * (BINS - 1)) >= at
     return scored(stats).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~anomalous)

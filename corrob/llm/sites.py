@@ -1,8 +1,9 @@
 """Quality classifier by hierarchical empirical Bayes: document evidence with host- and path-level posteriors.
 
 Evidence: log-likelihood ratios of word presence (and of a few shape classes) in 2^BITS hashed cells, counted over all
-labelled documents by grouped aggregation; ratios are shrunk by pseudo-counts, and those within chance are zero. One
-fold of the labelled rows scales the evidence to a logit (two coefficients, over a histogram).
+labelled documents by grouped aggregation; ratios are shrunk by pseudo-counts, and those within chance are zero. Words
+of one text depend on one another (a passage that bad documents share brings all its words), so the ``worst`` few ratios
+speak against a document, and those for it add up divided by the root of their number. One fold of the labelled rows scales the evidence to a logit (two coefficients, over a histogram).
 
 Sites: a document's host is its ``source``, its path ``source`` and ``lang``. The share of good labelled documents of
 each host is shrunk toward the global share, and that of each path toward its host's, with strengths estimated from
@@ -38,6 +39,7 @@ class SiteParams:
     pseudo: float = 2.0
     least_z: float = 4.0
     clip: float = 6.0
+    worst: int = 3
     folds: int = 4
     most_good_lost: float = 0.005
     most_broadcast: int = 100_000
@@ -110,9 +112,12 @@ def classify(docs: DataFrame, labels: DataFrame, p: SiteParams = SiteParams()) -
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(b.num_columns - 1)
-            w = np.append(0.0, np.cumsum(shared.value[lists.flatten().to_numpy()]))
+            w = shared.value[lists.flatten().to_numpy()]
             ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(w[ends[1:]] - w[ends[:-1]])], names=[*b.schema.names[:-1], "evidence"])
+            total = lambda x: np.diff(np.append(0.0, np.cumsum(x))[ends])
+            worst = np.array([np.sort(w[s:e])[: p.worst].clip(max=0).sum() for s, e in zip(ends[:-1], ends[1:])], float)
+            evidence = worst + total(np.maximum(w, 0)) / np.sqrt(1 + total(w > 0))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(evidence)], names=[*b.schema.names[:-1], "evidence"])
 
     def weighed(df: DataFrame) -> DataFrame:
         df = df.select(*(x for x in df.columns if x != "cells"), "cells")
