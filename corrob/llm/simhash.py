@@ -140,16 +140,19 @@ def clusters(docs: DataFrame) -> DataFrame:
     return each.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, most_broadcast: int = 2_000_000) -> DataFrame:
     """``docs`` with one row of each component: that of its least doc_id (one of them, if rows repeat it).
 
     Rows without doc_id stay only where no row of their component has one, once for each text; those without a text go.
+    The ids that go or repeat (8 bytes each) are broadcast up to ``most_broadcast``; beyond it both sides are shuffled.
     """
     each, classes = near_duplicates(docs)
-    found = each.join(classes, "fp").where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
-    found = stash(found.withColumnRenamed("doc_id", "__id"), "kept")
-    once = docs.join(found.where("__rows = 1"), F.col("doc_id") == F.col("__id"), "left_semi")
-    more = docs.join(found.where("__rows > 1"), F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    ids = each.where("doc_id is not null").join(classes, "fp").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("__own"))
+    other = stash(ids.where("not (__own and __rows = 1)"), "not-kept")
+    few = (lambda df: F.broadcast(df)) if other.count() <= most_broadcast else (lambda df: df)
+    same = F.col("doc_id") == F.col("__id")
+    once = docs.where("doc_id is not null").join(few(other.select("__id")), same, "left_anti")
+    more = docs.join(few(other.where("__own").select("__id")), same, "left_semi").dropDuplicates(["doc_id"])
     nameless = docs.where("doc_id is null and text is not null")
     alone = fingerprints(nameless.select("text", F.col("text").alias("__text")), "__text").join(classes.where("component_id is null"), "fp").select("__text")
     rest = nameless.join(alone, F.col("text") == F.col("__text"), "left_semi").dropDuplicates(["text"])
