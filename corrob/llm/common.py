@@ -67,7 +67,7 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], fine: int = 1024,
 def histogram_threshold(good: list[int], bad: list[int], most_good_lost: float) -> int | None:
     """The lowest bin from which on rows count as bad: best (share of bad found − share of good lost) under the limit.
 
-    ``good`` and ``bad`` count rows by bin, higher bins being worse. None where no bin helps (also without labels).
+    Where bins below it are empty, it moves down to the middle of them. ``good`` and ``bad`` count rows by bin, higher bins being worse. None where no bin helps (also without labels).
     """
     n_good, n_bad = sum(good), sum(bad)
     best, at, lost, found = 0.0, None, 0, 0
@@ -78,4 +78,7 @@ def histogram_threshold(good: list[int], bad: list[int], most_good_lost: float)
         gain = (found / n_bad if n_bad else 0.0) - (lost / n_good if n_good else 0.0)
         if gain > best:
             best, at = gain, i
-    return at
+    if at is None:
+        return None
+    below = next((i for i in range(at - 1, -1, -1) if good[i] or bad[i]), -1)
+    return (at + below + 2) // 2
