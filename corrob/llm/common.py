@@ -42,8 +42,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) ->
             yield batch.slice(start)
 
 
+#: Rows that a Python worker gets at once, at most.
+BATCH_ROWS = 1000
+
+
 def utf8(column: str | Column) -> Column:
-    """The UTF-8 bytes of a text column, so that workers need not decode it."""
+    """The UTF-8 bytes of a text column, so that workers need not decode it.
+
+    Texts go to workers in batches of BATCH_ROWS at most (a lower setting of the session stays): Spark's 10,000 would let
+    long texts fill a worker's memory.
+    """
+    spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return F.col(column).cast("binary") if isinstance(column, str) else column.cast("binary")
 
 
