@@ -127,9 +127,9 @@ def a15(spark, d):
     return A.hhi(V.flows(spark, d), ["cust"], "origin", "qty").groupBy(A.concentration_tier(F.col("hhi")).alias("tier")).agg(F.count(F.lit(1)).alias("customers"))
 
 
-@query("a16_chokepoints", f"with {V.FLOWS}, g as (select dest, cast(sum(qty) as bigint) quantity, count(distinct origin) feeders from flows where size = 7 group by dest), h as (select *, floor(quantity::double / (sum(quantity) over ())::double * 100 * 10 + 0.5) / 10 share_pct from g) select *, feeders >= 2 or share_pct >= 40 systemic from h")
+@query("a16_chokepoints", f"with {V.FLOWS}, g as (select dest, cast(sum(qty) as bigint) quantity, count(distinct origin) feeders from flows group by dest), h as (select *, floor(quantity::double / (sum(quantity) over ())::double * 100 * 10 + 0.5) / 10 share_pct from g) select *, feeders >= 2 or share_pct >= 40 systemic from h")
 def a16(spark, d):
-    return A.chokepoints(V.flows(spark, d).where("size = 7"), "dest", "origin", "qty")
+    return A.chokepoints(V.flows(spark, d), "dest", "origin", "qty")
 
 
 @query("a17_rollup_profile", f"with {V.FLOWS} select year, product, cast(sum(qty) as bigint) total, count(*) records from flows where dest = 'NATION_4' group by grouping sets ((year), (product), (year, product), ())")

@@ -61,9 +61,9 @@ def w6(spark, d):
     return S.long_run_change(V.prices(spark, d), ["product", "country"], "year", "price")
 
 
-@query("w7_pivot_series", f"with {V.FLOWS} select year, " + ", ".join(f"cast(sum(qty) filter (product = '{p}') as bigint) {p}" for p in ("ECONOMY", "LARGE", "SMALL")) + " from flows where cust = 7 or cust = 11 group by year")
+@query("w7_pivot_series", f"with {V.FLOWS} select cust, year, " + ", ".join(f"cast(sum(qty) filter (product = '{p}') as bigint) {p}" for p in ("ECONOMY", "LARGE", "SMALL")) + " from flows group by cust, year")
 def w7(spark, d):
-    return V.flows(spark, d).where("cust in (7, 11)").groupBy("year").pivot("product", ["ECONOMY", "LARGE", "SMALL"]).agg(F.sum("qty"))
+    return V.flows(spark, d).groupBy("cust", "year").pivot("product", ["ECONOMY", "LARGE", "SMALL"]).agg(F.sum("qty"))
 
 
 @query("w8_trim_tail", f"with {V.OUTCOMES}, y as (select jurisdiction, year, cast(sum(deaths) as bigint) v from outcomes group by all), r as (select *, row_number() over w rn, lag(v) over w p from y window w as (partition by jurisdiction order by year)), l as (select *, max(case when rn <= 2 or v >= 0.6::double * p then rn end) over (partition by jurisdiction) last_ from r) select jurisdiction, year, v from l where rn <= last_")
@@ -148,25 +148,25 @@ def k6(spark, d):
     return V.flows(spark, d).groupBy("origin", "dest").agg(F.sum("qty").alias("weight")).orderBy(F.desc("weight"), "origin", "dest").limit(14)
 
 
-@query("u1_node_union", f"with {V.FLOWS} select distinct node from (select origin node from flows where size = 3 union all select dest from flows where size = 4 union all select r_name from region)")
+@query("u1_node_union", f"with {V.FLOWS} select distinct node from (select origin node from flows union all select dest from flows union all select r_name from region)")
 def u1(spark, d):
     f = V.flows(spark, d)
-    return f.where("size = 3").select(F.col("origin").alias("node")).unionByName(f.where("size = 4").select(F.col("dest").alias("node"))).unionByName(V.table(spark, d, "region").select(F.col("r_name").alias("node"))).distinct()
+    return f.select(F.col("origin").alias("node")).unionByName(f.select(F.col("dest").alias("node"))).unionByName(V.table(spark, d, "region").select(F.col("r_name").alias("node"))).distinct()
 
 
-@query("u2_merge_notes", f"with {V.FLOWS}, n as (select dest, 1 k, 'heavy ' || item note from flows where qty >= 50 and size = 1 group by all union all select dest, 2, 'discount ' || product from flows where disc >= 10 and size = 2 group by all) select dest, string_agg(note, '; ' order by k, note) notes from n group by dest")
+@query("u2_merge_notes", f"with {V.FLOWS}, n as (select dest, 1 k, 'heavy ' || item note from flows where qty >= 50 group by all union all select dest, 2, 'discount ' || product from flows where disc >= 10 group by all) select dest, string_agg(note, '; ' order by k, note) notes from n group by dest")
 def u2(spark, d):
     f = V.flows(spark, d)
-    a = f.where("qty >= 50 and size = 1").select("dest", F.lit(1).alias("k"), F.concat(F.lit("heavy "), "item").alias("note"))
-    b = f.where("disc >= 10 and size = 2").select("dest", F.lit(2).alias("k"), F.concat(F.lit("discount "), "product").alias("note"))
+    a = f.where("qty >= 50").select("dest", F.lit(1).alias("k"), F.concat(F.lit("heavy "), "item").alias("note"))
+    b = f.where("disc >= 10").select("dest", F.lit(2).alias("k"), F.concat(F.lit("discount "), "product").alias("note"))
     # Distinct notes of one region: as many as checks and their words, not as rows.
     g = a.unionByName(b).distinct().groupBy("dest").agg(F.array_sort(F.collect_list(F.struct("k", "note"))).alias("n"))
     return g.select("dest", F.array_join(F.transform("n", lambda x: x["note"]), "; ").alias("notes"))
 
 
-@query("u3_route_legs", f"with {V.FLOWS}, s as (select list_filter([origin, case when supp % 2 = 0 then 'NATION_' || (supp % 25) end, dest], lambda x: x is not null) s from flows where size = 9) select distinct s[i] a, s[i + 1] b from (select s, unnest(range(1, len(s))) i from s)")
+@query("u3_route_legs", f"with {V.FLOWS}, s as (select list_filter([origin, case when supp % 2 = 0 then 'NATION_' || (supp % 25) end, dest], lambda x: x is not null) s from flows) select distinct s[i] a, s[i + 1] b from (select s, unnest(range(1, len(s))) i from s)")
 def u3(spark, d):
-    f = V.flows(spark, d).where("size = 9")
+    f = V.flows(spark, d)
     transit = F.when(F.col("supp") % 2 == 0, F.concat(F.lit("NATION_"), (F.col("supp") % 25).cast("string")))
     return f.select(F.explode(C.route_legs(F.col("origin"), transit, F.col("dest"))).alias("l")).select("l.a", "l.b").distinct()
 
@@ -211,10 +211,10 @@ def f16(spark, d):
     return g.select("dest", F.format_string("%d records report %s into %s; the largest part is %s.", "n", C.humanize_mass(F.col("t").cast("double")), "dest", "p").alias("sentence"))
 
 
-@query("f17_qualifiers", "select o_orderkey, case o_orderkey % 4 when 0 then '≈' when 1 then '<' when 2 then '>' else '' end || cast(o_custkey as varchar) || ' kg' shown from orders where o_orderkey % 7 = 0")
+@query("f17_qualifiers", "select o_orderkey, case o_orderkey % 4 when 0 then '≈' when 1 then '<' when 2 then '>' else '' end || cast(o_custkey as varchar) || ' kg' shown from orders")
 def f17(spark, d):
     rel = F.element_at(F.array(*map(F.lit, ("approximate", "below", "above", "exact"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return V.table(spark, d, "orders").where("o_orderkey % 7 = 0").select("o_orderkey", F.concat(C.qualifier(rel), F.col("o_custkey").cast("string"), F.lit(" kg")).alias("shown"))
+    return V.table(spark, d, "orders").select("o_orderkey", F.concat(C.qualifier(rel), F.col("o_custkey").cast("string"), F.lit(" kg")).alias("shown"))
 
 
 ACTORS = [("(?i)police|error", "state"), ("(?i)click|view", "ethnic_armed"), ("(?i)purchase", "militia")]
