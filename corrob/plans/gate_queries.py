@@ -129,6 +129,11 @@ def f25(spark, d):
     return V.table(spark, d, "pages").select("page_id", F.sha2(C.normalize_body(F.col("html")), 256).alias("body"))
 
 
+@query("f26_strip_tags", f"select page_id, sha256({_STRIP.format(x='html')}) as \"text\" from pages")
+def f26(spark, d):
+    return V.table(spark, d, "pages").select("page_id", F.sha2(C.strip_tags(F.col("html")), 256).alias("text"))
+
+
 @query("f27_extract_items", r"select page_id, cast(len(list_filter(list_transform(regexp_extract_all(html, '(?is)<li\b[^>]*>(.*?)</li>', 1), lambda x: " + _STRIP.format(x="x") + r"), lambda x: x <> '')) as int) n from pages")
 def f27(spark, d):
     return V.table(spark, d, "pages").select("page_id", F.size(C.extract_items(F.col("html"), "li")).alias("n"))
