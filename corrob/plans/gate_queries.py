@@ -12,7 +12,7 @@ from corrob.operators import text as N
 from corrob.operators.ingest import Rule
 from corrob.plans import views as V
 from corrob.plans.aggregate_queries import AUDITED, audited
-from corrob.plans.registry import query
+from corrob.plans.registry import ORACLE, query
 from corrob.streaming import incremental as I
 
 EDGES = V.ENTITIES + ", edges as (select a, b, count(*) weight from (select x a, unnest(countries) b from (select countries, unnest(countries) x from entities)) where a < b group by all)"
@@ -106,7 +106,11 @@ def n1(spark, d):
     return N.keyword_observations(V.table(spark, d, "pages"), KEYWORDS)
 
 
-@query("n2_page_fingerprint")
+_ITEMS = r"select page_id, html, list_filter(list_transform(regexp_extract_all(html, '(?is)<article\b[^>]*>(.*?)</article>', 1), lambda x: " + _STRIP.format(x="x") + "), lambda t: t <> '') items from pages"
+_SHOWN = f"case when len(items) > 0 then array_to_string(list_sort(items), chr(31)) else {_STRIP.format(x=_BODY.format(x='html'))} end"
+
+
+@query("n2_page_fingerprint", f"select page_id, sha256({_BODY.format(x='shown')}) fingerprint from (select page_id, {_SHOWN} shown from ({_ITEMS}))")
 def n2(spark, d):
     return V.table(spark, d, "pages").select("page_id", N.page_fingerprint(F.col("html")).alias("fingerprint"))
 
@@ -225,7 +229,10 @@ def q9(spark, d):
     return Q.append_revision(e.where("event_id < 9000"), e.where("event_id >= 8990"), "user_id", "props", "ts")
 
 
-@query("q10_verification_receipt")
+_GATES = " union all ".join(f"select '{n}: ' || rule as \"rule\", passed from ({ORACLE[k]})" for n, k in (("orders", "q1_expectations"), ("suppliers", "q2_registry_gate"), ("flows", "q3_audited_flow_gate")))
+
+
+@query("q10_verification_receipt", f"select count(*) assertions, count(*) filter (not q.passed) failures, coalesce(string_agg(q.rule, '; ' order by q.rule) filter (not q.passed), '') failed, count(*) filter (not q.passed) = 0 passed from ({_GATES}) q")
 def q10(spark, d):
     return Q.receipt({"orders": q1(spark, d), "suppliers": q2(spark, d), "flows": q3(spark, d)})
 

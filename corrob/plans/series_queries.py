@@ -253,7 +253,7 @@ def f22(spark, d):
     return named(spark, d).groupBy(source_family(F.col("name"), F.col("url")).alias("family")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("names"))
 
 
-@query("f22b_family_label")
+@query("f22b_family_label", f"with {NAMED}, f as (select distinct {family_sql('name', 'source_url')} family from n) select family, case when starts_with(family, 'name:') then array_to_string(list_transform(string_split(substr(family, 6), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') else upper(replace(family, '-', ' ')) end as \"label\" from f")
 def f22b(spark, d):
     f = named(spark, d).select(source_family(F.col("name"), F.col("url")).alias("family")).distinct()
     return f.select("family", family_label(F.col("family")).alias("label"))
