@@ -26,7 +26,7 @@ def pairs(spark, d):
 def all_readings(spark, d):
     at, b = pairs(spark, d), F.broadcast(bridge(spark))  # six rows
     f = V.flows(spark, d).where("size < 4").groupBy(F.col("dest").alias("country"), "product", "year").agg(F.sum("qty").alias("v"))
-    p = V.prices(spark, d).where("n % 4 <> 0").select("country", "product", "year", F.col("price").alias("v"))
+    p = V.prices(spark, d).select("country", "product", "year", F.col("price").alias("v"))
     covered = V.table(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("country"))
     o = V.outcomes(spark, d).where("not partial").withColumnRenamed("product", "substance").join(covered.withColumnRenamed("country", "jurisdiction"), "jurisdiction")
     m = o.join(b, "substance").select(F.col("jurisdiction").alias("country"), "product", "year", F.col("deaths").alias("v"))
@@ -63,7 +63,7 @@ def _verdict(drop: str | None) -> str:
 _S = f"(case when on_seizures then {_D['seizures']} when on_retail_price then -{_D['retail_price']} else 0 end)"
 _DD = f"(case when on_wastewater then {_D['wastewater']} when on_mortality then {_D['mortality']} else 0 end)"
 TRI = f"""{V.PRICES}, {V.OUTCOMES}, {V.LOAD}, {_BRIDGE}, pairs as (select n_name country, b.product from nation cross join bridge b), covered as (select n_name country from nation where n_nationkey % 3 = 0),
-vf as (select dest country, product, year, sum(qty) v from flows where size < 4 group by all), vp as (select country, product, year, price v from prices where n % 4 <> 0),
+vf as (select dest country, product, year, sum(qty) v from flows where size < 4 group by all), vp as (select country, product, year, price v from prices),
 vm as (select jurisdiction country, b.product, year, deaths v from outcomes o join bridge b on b.substance = o.product where not "partial" and jurisdiction in (select country from covered)),
 vw as (select country, b.product, year, round(avg(rate), 6) v from load join bridge b on b.drug = site where month < 7 and len(country) = 9 group by all),
 readings as ({_reading("seizures", "vf", True)} union all {_reading("retail_price", "vp")} union all {_reading("mortality", "vm", False, "covered")} union all {_reading("wastewater", "vw", False, "vw")}),
@@ -120,7 +120,7 @@ def t7(spark, d):
 def t8(spark, d):
     b = F.broadcast(bridge(spark))
     f = V.flows(spark, d).where("size < 4").groupBy(F.col("dest").alias("country"), "product", "year").agg(F.sum("qty").cast("double").alias("v")).withColumn("modality", F.lit("seizures"))
-    p = V.prices(spark, d).where("n % 4 <> 0").select("country", "product", "year", F.col("price").alias("v"), F.lit("retail_price").alias("modality"))
+    p = V.prices(spark, d).select("country", "product", "year", F.col("price").alias("v"), F.lit("retail_price").alias("modality"))
     covered = V.table(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("country"))
     o = V.outcomes(spark, d).where("not partial").withColumnRenamed("product", "substance").join(b, "substance").join(covered, F.col("jurisdiction") == F.col("country"))
     u = f.unionByName(p).unionByName(o.select("country", "product", "year", F.col("deaths").cast("double").alias("v"), F.lit("mortality").alias("modality")))
