@@ -32,7 +32,7 @@ ALLOWED = (
     r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
     r"sha(?:1|256|384|512)-.*",
     r".*(?:EXAMPLE|example|0123456789|abcdefghij|ABCDEFGHIJ).*",
-    r"(?:/?[a-z_-]+)+/?",
+    r"/?[a-z_-]+(?:/[a-z_-]+)*/?",
 )
 
 
