@@ -7,6 +7,11 @@ regression is fitted one language against the rest. Whole batches of texts are s
 The model is fitted on a bounded sample, ``per_lang`` texts a language (about; drawn by hash) of the learning
 documents; every text is scored whole. A null text, or one without a letter, is ``und`` with score 0, as is every text
 where there is nothing to learn from. Ties go to the language first in order. Repeated rows give repeated results.
+
+The ridge scores of a text sum to about 1 whatever it says, so they can't tell that a text has none of the languages.
+``keep_identified`` asks besides how usual a text's n-grams are: the mean log share of learning texts that have them, in
+the language where that is highest. The least that passes is calibrated by number of n-grams on the learning rows, each
+left out of its own counts.
 """
 
 from __future__ import annotations
@@ -29,13 +34,20 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 @dataclass(frozen=True)
 class KernelParams:
-    """per_lang: texts a language to fit on; landmarks: in all; ridge: of the regression; sizes: of n-grams."""
+    """per_lang: texts a language to fit on; landmarks: in all; ridge: of the regression; sizes: of n-grams.
+
+    lost: the share of learning rows that calibrates the rejection (about what it costs in clean documents, at most);
+    slack: how far from there to what a text of all n-grams gets the threshold lies;
+    twice that at lengths of which few rows were drawn.
+    """
 
     per_lang: int = 400
     landmarks: int = 192
     ridge: float = 0.1
     sizes: tuple[int, ...] = (1, 2, 3, 4)
     batch: int = 256
+    lost: float = 0.005
+    slack: float = 0.15
 
 
 def grams(raw: bytes | None, sizes: tuple[int, ...]):
@@ -64,8 +76,8 @@ def is_held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, p: KernelParams = KernelParams()):
-    """(languages, landmark rows, coefficients) from ``text`` and ``lang`` of ``docs``, or None without any."""
+def sample(docs: DataFrame, p: KernelParams = KernelParams()):
+    """(languages, normalised presence rows, one-hot languages of the rows) from ``text`` and ``lang``, or None without any."""
     import numpy as np
 
     known = docs.where("lang is not null and text is not null")
@@ -89,7 +101,16 @@ def fit(docs: DataFrame, p: KernelParams = KernelParams()):
     langs = sorted({k for k, _ in rows})
     x = np.stack([np.unpackbits(np.frombuffer(g, np.uint8)) for _, g in rows]).astype(np.float32)
     x /= np.sqrt(x.sum(axis=1, keepdims=True))
-    y = np.array([[float(k == lang) for lang in langs] for k, _ in rows])
+    return langs, x, np.array([[float(k == lang) for lang in langs] for k, _ in rows])
+
+
+def fit(drawn, p: KernelParams = KernelParams()):
+    """(languages, landmark rows, coefficients) from what ``sample`` drew; None of None."""
+    import numpy as np
+
+    if drawn is None:
+        return None
+    langs, x, y = drawn
     weight = 1 / y.sum(axis=0)[y.argmax(axis=1)]
     # Landmarks: as many of each language, spread over its sorted sample.
     each = max(1, p.landmarks // len(langs))
@@ -104,37 +125,77 @@ def fit(docs: DataFrame, p: KernelParams = KernelParams()):
     return langs, z.T.copy(), np.vstack([root @ coef[:-1], coef[-1:]]).astype(np.float32)
 
 
-def predictor(spark: SparkSession, model, p: KernelParams = KernelParams()):
-    """A function from a column of UTF-8 texts to struct(lang, score). The model (some MB, fixed size) is broadcast."""
+def gate(drawn, p: KernelParams = KernelParams()):
+    """(log share of learning texts that have a cell, by cell and language; bits of the number of cells, and least mean there)."""
     import numpy as np
-    shared = spark.sparkContext.broadcast(model)
+
+    if drawn is None:
+        return None
+    _, x, y = drawn
+    roots = 1 / x.max(axis=1)  # √|A|
+    counts = np.stack([(x[y[:, i] > 0] > 0).sum(axis=0) for i in range(y.shape[1])], axis=1)
+    n = y.sum(axis=0)
+    share = np.log((counts + 0.5) / (n + 1)).astype(np.float32)
+    without = np.log((np.maximum(counts - 1, 0) + 0.5) / n).astype(np.float32)
+    usual = np.where(y > 0, x @ without, x @ share).max(axis=1) / roots
+    least_of_all = float(share.mean(axis=0).max())
+    bits = np.log2(roots**2 + 0.5).astype(int)
+    at, least = [], []
+    for k in np.unique(bits):
+        # With its neighbours too, so that a bin of few rows isn't judged by those alone.
+        q = min(float(np.quantile(v, p.lost, method="lower")) for v in (usual[bits == k], usual[np.abs(bits - k) <= 1]))
+        at.append(k + 0.5)
+        few = np.count_nonzero(bits == k) * p.lost < 1  # too few for that quantile: twice the slack
+        least.append(q + (1 + few) * p.slack * (least_of_all - q))
+    # Longer texts have rarer n-grams. Towards those longer than any that was drawn, it falls halfway to that of all n-grams.
+    return share, np.array([*at, BITS + 0.5]), np.array([*least, (least[-1] + least_of_all) / 2])
+
+
+def predictor(spark: SparkSession, model, p: KernelParams = KernelParams(), usual=None):
+    """A function from a column of UTF-8 texts to struct(lang, score, usual). The model (some MB, fixed size) is broadcast.
+
+    ``usual`` is true where the gate of that name lets the text pass, or without one.
+    """
+    import numpy as np
+    shared = spark.sparkContext.broadcast((model, usual))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            for start in range(0, len(texts) if shared.value else 0, p.batch):
+            lang, score, passes = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
+            fitted, asked = shared.value
+            for start in range(0, len(texts) if fitted else 0, p.batch):
                 found = [(start + i, g) for i, t in enumerate(texts.iloc[start : start + p.batch]) if (g := grams(t, p.sizes)) is not None]
                 if found:
-                    langs, z, coef = shared.value
+                    langs, z, coef = fitted
                     x = np.stack([g for _, g in found]).astype(np.float32)
-                    x /= np.sqrt(x.sum(axis=1, keepdims=True))
+                    size = x.sum(axis=1)
+                    if asked:
+                        share, at, least = asked
+                        ok = (x @ share).max(axis=1) / size >= np.interp(np.log2(size), at, least)
+                        for (i, _), good in zip(found, ok):
+                            passes[i] = bool(good)
+                    x /= np.sqrt(size[:, None])
                     y = x @ z @ coef[:-1] + coef[-1]
                     for (i, _), k, s in zip(found, y.argmax(axis=1), np.clip(y.max(axis=1), 0, 1)):
                         lang[i], score[i] = langs[k], float(s)
-            yield pd.DataFrame({"lang": lang, "score": score})
+            yield pd.DataFrame({"lang": lang, "score": score, "usual": passes})
 
-    return F.pandas_udf(run, "lang string, score double")
+    return F.pandas_udf(run, "lang string, score double, usual boolean")
 
 
 def identify(docs: DataFrame, p: KernelParams = KernelParams()) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from documents that aren't held out, predicted for all."""
-    found = predictor(docs.sparkSession, fit(docs.where(~is_held_out()), p), p)
+    found = predictor(docs.sparkSession, fit(sample(docs.where(~is_held_out()), p), p), p)
     out = docs.select("doc_id", is_held_out().alias("held_out"), found(utf8("text")).alias("p"))
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, least: float = 0.25, p: KernelParams = KernelParams()) -> DataFrame:
-    """Rows of ``docs`` (all columns) whose text has a language; those that are ``und`` or score below ``least`` go."""
-    found = predictor(docs.sparkSession, fit(docs.where(~is_held_out()), p), p)
+    """Rows of ``docs`` (all columns) whose text has a language.
+
+    Those that are ``und``, score below ``least`` or have n-grams too unusual for every learnt language go.
+    """
+    drawn = sample(docs.where(~is_held_out()), p)
+    found = predictor(docs.sparkSession, fit(drawn, p), p, gate(drawn, p))
     marked = docs.withColumn("__p", found(utf8("text")))
-    return marked.where((F.col("__p.lang") != UNDETERMINED) & (F.col("__p.score") >= least)).select(*docs.columns)
+    return marked.where((F.col("__p.lang") != UNDETERMINED) & (F.col("__p.score") >= least) & F.col("__p.usual")).select(*docs.columns)

@@ -233,6 +233,19 @@ def test_language_held_out_accuracy_and_und(spark):
     assert nothing.count() == 0
 
 
+def test_gibberish_and_unlearned_languages_go(spark):
+    rng = random.Random(6)
+    langs = {i: rng.choice(list(WORDS)) for i in range(800)}
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [say(WORDS[langs[i]].split(), rng.randrange(8, 400)) for i in range(800)]
+    finnish = "ja on ei että se hän oli mutta kun niin myös ovat joka minä kuin jos vain mitä tämä nyt kaikki vielä vuosi päivä".split()
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 11))) for _ in range(20_000)]
+    strange = [say(v, n) for v in (finnish, noise, "и в не на я что тот быть с он как это она но они мы".split()) for n in (8, 40, 300) for _ in range(10)]
+    docs = spark.createDataFrame([(i, t, langs.get(i)) for i, t in enumerate([*texts, *strange, " ".join(noise)])], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in langid.keep_identified(docs).select("doc_id").collect()}
+    assert len(kept & set(range(800))) >= 0.99 * 800 and not kept - set(range(800))
+
+
 # --- decontamination
 
 
