@@ -276,8 +276,8 @@ def q15(spark, d):
 # --- streams
 
 
-def events_stream(spark, d):
-    return I.stream_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+def events_stream(spark, d, files=4):
+    return I.stream_table(spark, d, "events", files).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("i1_firewall", "select case when json_extract_string(props, '$.k') is null then 'missing key' when \"value\" < 0.5 then 'value too small' when event_type = 'error' then 'unexpected type' else 'accepted' end reason, count(*) n from events group by 1")
@@ -301,7 +301,7 @@ def i3(spark, d):
 
 @query("i4_hourly_snapshot", "with w as (select cast(floor(epoch(ts) / 3600) as bigint) w, arg_max(\"value\", ts) latest, count(*) n from events group by 1) select w * 3600 hour_s, latest, n from w where (w + 1) * 3600 <= (select epoch(max(ts)) - 600 from events)")
 def i4(spark, d):
-    return I.drain(I.hourly_snapshot(events_stream(spark, d), "ts", "value"), "snapshot").select(F.unix_timestamp("hour").alias("hour_s"), "latest", "n")
+    return I.drain(I.hourly_snapshot(events_stream(spark, d, None), "ts", "value"), "snapshot").select(F.unix_timestamp("hour").alias("hour_s"), "latest", "n")
 
 
 @query("i5_receipt_ledger", "select event_id, sha256(cast(event_id as varchar) || chr(31) || event_type) receipt from events")
@@ -318,7 +318,7 @@ def i6(spark, d):
 
 @query("i7_weekly_rollup", "with w as (select cast(floor(epoch(ts) / 604800) as bigint) w, event_type, count(*) n, cast(sum(floor(\"value\")) as bigint) total from events group by all) select w * 604800 week_s, event_type, n, total from w where (w + 1) * 604800 <= (select epoch(max(ts)) - 86400 from events)")
 def i7(spark, d):
-    e = events_stream(spark, d).withColumn("v", F.floor("value"))
+    e = events_stream(spark, d, None).withColumn("v", F.floor("value"))
     return I.drain(I.weekly_rollup(e, "ts", ["event_type"], "v"), "weekly").select(F.unix_timestamp("week").alias("week_s"), "event_type", "n", "total")
 
 

@@ -13,11 +13,16 @@ from corrob.operators.ingest import Rule, reasoned
 from corrob.sources.shared import new_path
 
 
-def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of the folder as a stream of files."""
+def stream_table(spark: SparkSession, folder: str, name: str, files: int | None = 4) -> DataFrame:
+    """A table of the folder as a stream of ``files`` files a batch, by modification time; None: all in one batch.
+
+    Backfills with a watermark take None: files needn't be in order of event time, and rows that come behind the
+    watermark of an earlier batch are dropped.
+    """
     at = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(at).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/{name}.parquet*")
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{folder}/{name}.parquet*")
 
 
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
