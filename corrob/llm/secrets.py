@@ -3,7 +3,7 @@
 Candidate strings are maximal runs of key-like characters. A window moves over each candidate; its entropy follows
 from the counts of its characters, of which a step changes two. Windows at or above the threshold of the candidate's
 character class are united to spans, unless the allow-list knows the candidate. Spans of the fixed patterns always
-stay; spans by entropy that overlap one of them add nothing and are left out.
+stay; spans by entropy that they cover entirely add nothing and are left out.
 
 Null texts count as empty, and an empty text has no spans. Repeated rows give repeated results; ``doc_id`` is carried
 as it is, null included. Other columns are not read.
@@ -11,6 +11,7 @@ as it is, null included. Other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -98,8 +99,15 @@ def find_spans(text: str, p: SecretParams = SecretParams(), allowed: re.Pattern
     if "AKIA" in text:
         base += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
-    taken = sorted((s, e) for s, _, e in base)
-    more = [(s, "entropy", e) for s, e in entropy_spans(text, p, allowed) if not any(a < e and s < b for a, b in taken)]
+    starts, ends = [], []  # of the unions of base spans
+    for s, _, e in sorted(base):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    covered = lambda s, e: (k := bisect.bisect_right(starts, s)) > 0 and ends[k - 1] >= e
+    more = [(s, "entropy", e) for s, e in entropy_spans(text, p, allowed) if not covered(s, e)]
     return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
