@@ -9,20 +9,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset (tests), a new temporary folder that the session then keeps."""
+    """``spark.checkpoint.dir``. Where that is unset, a local session (tests) takes a new temporary folder and keeps it.
+
+    On a cluster a folder of the driver's machine would be another one on each executor, so there it must be set.
+    """
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spark-corrob-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def _file(spark: SparkSession, at: str):
+    """(file system, path) of ``at``, whatever its scheme."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corrob-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    at = f"{shared_dir(spark)}/corrob-{name}-{uuid.uuid4().hex}"
+    files, path = _file(spark, at)
+    files.deleteOnExit(path)
+    return at
+
 
+def stash(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` written as Parquet and read again: its lineage ends here, and lost executors cost nothing that is written.
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read again: its lineage ends here."""
-    at = new_path(df.sparkSession, name)
+    ``instead_of`` is an earlier stash that nothing but ``df`` needs any more; its files go once ``df`` is written.
+    """
+    spark = df.sparkSession
+    at = new_path(spark, name)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    if instead_of is not None:
+        files, path = _file(spark, instead_of.stashed_at)
+        files.delete(path, True)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.stashed_at = at
+    return out
