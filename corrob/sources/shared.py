@@ -29,11 +29,14 @@ def _file(spark: SparkSession, at: str):
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there goes when the application ends."""
-    at = f"{shared_dir(spark)}/corrob-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/corrob-{name}-{uuid.uuid4().hex}"
+
+
+def clear_at_exit(spark: SparkSession, at: str) -> None:
+    """What has been written at ``at`` goes when the driver ends."""
     files, path = _file(spark, at)
     files.deleteOnExit(path)
-    return at
 
 
 def stash(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
@@ -44,6 +47,7 @@ def stash(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Data
     spark = df.sparkSession
     at = new_path(spark, name)
     df.write.parquet(at)
+    clear_at_exit(spark, at)
     if instead_of is not None:
         files, path = _file(spark, instead_of.stashed_at)
         files.delete(path, True)

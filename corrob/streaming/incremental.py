@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrob.operators.ingest import Rule, reasoned
-from corrob.sources.shared import new_path
+from corrob.sources.shared import clear_at_exit, new_path
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files: int | None = 4) -> DataFrame:
@@ -30,6 +30,7 @@ def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     spark = df.sparkSession
     out, ckpt = new_path(spark, name), new_path(spark, f"{name}-progress")
     df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True).start(out).awaitTermination()
+    clear_at_exit(spark, out), clear_at_exit(spark, ckpt)
     return spark.read.schema(df.schema).parquet(out)
 
 
