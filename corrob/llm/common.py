@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; where that is unset (tests), a new temporary one."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-corrob-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lineage ends here, and lost executors cost nothing."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/corrob-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+from corrob.sources.shared import stash  # noqa: F401
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -49,8 +32,9 @@ BATCH_ROWS = 1000
 def utf8(column: str | Column) -> Column:
     """The UTF-8 bytes of a text column, so that workers need not decode it.
 
-    Texts go to workers in batches of BATCH_ROWS at most (a lower setting of the session stays): Spark's 10,000 would let
-    long texts fill a worker's memory.
+    Texts go to workers in batches of BATCH_ROWS at most (a lower setting of the session stays), besides the session's
+    own limit in bytes: Spark's 10,000 would let long texts fill a worker's memory. Spark reads the setting when the
+    query runs, so it stays changed in the session.
     """
     spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark is not None and not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
@@ -58,6 +42,11 @@ def utf8(column: str | Column) -> Column:
     return F.col(column).cast("binary") if isinstance(column, str) else column.cast("binary")
 
 
+def cells_for(largest: int, rows: int = 100_000) -> int:
+    """Cells that a group of ``largest`` rows takes so that each has about ``rows``; 1,024 at least."""
+    return max(1024, -(-largest // rows))
+
+
 def ranked(df: DataFrame, groups: list[str], order: list[str], fine: int = 1024, name: str = "rank") -> DataFrame:
     """``df`` with column ``name``: 0, 1, … within each of ``groups``, without sorting a whole group in one task.
 

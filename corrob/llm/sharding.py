@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrob.llm.common import ranked, stash
+from corrob.llm.common import cells_for, ranked, stash
 
 SLOTS = 16384
 
@@ -61,7 +61,7 @@ def shard(docs: DataFrame, shards: int = 24, vnodes: int = 64) -> DataFrame:
         by_place.setdefault(s[0], []).append(s[1:])
     steps = spark.createDataFrame(list(by_place.items()), "__place int, __steps array<struct<first:long,n:long,shard:int,slot:long>>")
     # At most SLOTS rows, and SLOTS + shards steps in all.
-    placed = ranked(rows, ["__place"], ["text_crc32", "size", "doc_id"], name="__rank").join(F.broadcast(steps), "__place")
+    placed = ranked(rows, ["__place"], ["text_crc32", "size", "doc_id"], cells_for(max(counts.values(), default=0)), "__rank").join(F.broadcast(steps), "__place")
     placed = placed.withColumn("__s", F.filter("__steps", lambda s: (s["first"] <= F.col("__rank")) & (F.col("__rank") < s["first"] + s["n"]))[0])
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("__s.shard").alias("shard"),

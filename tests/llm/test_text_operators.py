@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from corrob.llm import decontaminate, langid, packing, rules, secrets, sharding, simhash, sites
+from corrob.llm import decontaminate, langid, packing, queries, rules, secrets, sharding, simhash, sites
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, fp string, length int, rank int, hits int, lang_pred string"
 
@@ -120,9 +120,9 @@ def test_packing_is_whole_and_gapless(spark, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    texts = [*texts, "<|endoftext|> it's  12345 \u00a0\u3000 Ünï €😀\r\n\t"]
-    rows = packing.pack(docs_of(spark, texts), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    runs = [x * 1_000_000 for x in (" ", "\n", "a", "\u3000")] + ["x" + " " * 12_000 + "<|endoftext|> y"]
+    texts = [*texts, *runs, "a <|endoftext|> b", "<|endoftext|> it's  12345 \u00a0\u3000 Ünï €😀\r\n\t<|endoftext|><|end"]
+    rows = packing.pack(docs_of(spark, texts), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
     ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in enumerate(texts)}
     last = len(texts) - 1
     by = {}
@@ -158,6 +158,10 @@ def test_packing_is_whole_and_gapless(spark, texts):
     assert len(seqs) <= len(bins)
 
 
+def test_packing_of_an_empty_table(spark):
+    assert packing.pack(docs_of(spark, ["a"]).limit(0), *queries.tokenizer()).count() == 0
+
+
 def test_plan_equals_best_fit_on_random_histograms():
     rng = random.Random(3)
     for _ in range(60):
