@@ -1,12 +1,15 @@
 """Secret scans: sliding-window Shannon entropy per character class, beside fixed patterns.
 
-Candidate strings are maximal runs of key-like characters. A window moves over each candidate; its entropy follows
-from the counts of its characters, of which a step changes two. Windows at or above the threshold of the candidate's
-character class are united to spans, unless the allow-list knows the candidate. Spans of the fixed patterns always
-stay; spans by entropy that they cover entirely add nothing and are left out.
-
-Null texts count as empty, and an empty text has no spans. Repeated rows give repeated results; ``doc_id`` is carried
-as it is, null included. Other columns are not read.
+Candidate strings are maximal runs of key-like characters that the allow-list doesn't know. Each character class looks
+at the runs of its own characters in a candidate: hexadecimal digits, capitals with digits (base32), small letters with
+digits, letters of one case, and the candidate as a whole (base64, mixed keys). A window moves over each run; its
+entropy follows from the counts of its characters, of which a step changes two. Windows at or above the threshold of
+their class are united to spans. The thresholds lie between random keys and words run together; for letters of one case
+that takes longer windows, and runs of digits alone are no keys. Spans of the fixed patterns always stay; spans by
+entropy that they cover entirely add nothing and are left out, others stay whole.
+
+Null texts count as empty, and an empty text has no spans. Very long texts are scanned whole, in linear time. Repeated
+rows give repeated results; ``doc_id`` is carried as it is, null included. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,25 +31,50 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-# Strings of high entropy that are no secrets: UUIDs, integrity digests of lock files, alphabets and documented samples.
+# Strings of high entropy that are no secrets: UUIDs, integrity digests of lock files, alphabets and documented samples, paths and names of words.
 ALLOWED = (
     r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
     r"sha(?:1|256|384|512)-.*",
     r".*(?:EXAMPLE|example|0123456789|abcdefghij|ABCDEFGHIJ).*",
-    r"/?[a-z_-]+(?:/[a-z_-]+)*/?",
+    r"(?!.*[a-z]{32})/?[a-z_-]+(?:/[a-z_-]+)*/?",
+)
+
+
+@dataclass(frozen=True)
+class CharacterClass:
+    """runs: pattern of the strings looked at; window: characters; bits: least entropy of a window."""
+
+    name: str
+    runs: str
+    window: int
+    bits: float
+
+
+CLASSES = (
+    CharacterClass("hex", r"(?![0-9]+(?![0-9A-Fa-f])|[A-Fa-f]+(?![0-9A-Fa-f]))[0-9A-Fa-f]{20,}", 20, 3.05),
+    CharacterClass("upper", r"(?![0-9]+(?![A-Z0-9])|[A-Z]+(?![A-Z0-9]))[A-Z0-9]{20,}", 20, 3.4),
+    CharacterClass("lower", r"(?![0-9]+(?![a-z0-9])|[a-z]+(?![a-z0-9]))[a-z0-9]{20,}", 20, 3.6),
+    CharacterClass("letters", r"[a-z]{32,}|[A-Z]{32,}", 32, 4.0),
+    CharacterClass("mixed", r"(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z]|[^0-9]*[0-9]).+|(?=[^A-Z]*[A-Z])(?=[^0-9]*[0-9]).+", 20, 3.9),
 )
 
 
 @dataclass(frozen=True)
 class SecretParams:
-    """window: characters; hex_bits, key_bits: least entropy of a window, by class; allowed: patterns of whole candidates."""
+    """classes: of characters, with their windows and thresholds; allowed: patterns of whole candidates."""
 
-    window: int = 20
-    hex_bits: float = 3.2
-    key_bits: float = 3.9
+    classes: tuple[CharacterClass, ...] = field(default=CLASSES)
     allowed: tuple[str, ...] = field(default=ALLOWED)
 
 
+class Scanner:
+    """The patterns of SecretParams, compiled."""
+
+    def __init__(self, p: SecretParams = SecretParams()):
+        self.classes = [(re.compile(c.runs), c.window, c.bits) for c in p.classes]
+        self.allowed = re.compile("|".join(f"(?:{x})" for x in p.allowed) or r"(?!)")
+
+
 def window_entropies(text: str, window: int) -> list[float]:
     """Entropy in bits of each window of ``text``; one window of the whole text if that is shorter."""
     window = min(window, len(text))
@@ -70,28 +98,30 @@ def window_entropies(text: str, window: int) -> list[float]:
     return out
 
 
-def entropy_spans(text: str, p: SecretParams, allowed: re.Pattern) -> list[tuple[int, int]]:
-    spans: list[tuple[int, int]] = []
+def entropy_spans(text: str, scanner: Scanner) -> list[tuple[int, int]]:
+    """The unions of windows of enough entropy, by start."""
+    found: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
-        word = m[0]
-        is_hex = re.fullmatch(r"[0-9A-Fa-f]+", word) is not None
-        kinds = (re.search(r"[a-z]", word) is not None) + (re.search(r"[A-Z]", word) is not None) + (re.search(r"[0-9]", word) is not None)
-        if kinds < 2 or allowed.fullmatch(word):
+        if scanner.allowed.fullmatch(m[0]):
             continue
-        least = p.hex_bits if is_hex else p.key_bits
-        for i, bits in enumerate(window_entropies(word, p.window)):
-            if bits >= least:
-                s, e = m.start() + i, m.start() + i + min(p.window, len(word))
-                if spans and s <= spans[-1][1]:
-                    spans[-1] = (spans[-1][0], e)
-                else:
-                    spans.append((s, e))
+        for runs, window, least in scanner.classes:
+            for run in runs.finditer(m[0]):
+                at = m.start() + run.start()
+                for i, bits in enumerate(window_entropies(run[0], window)):
+                    if bits >= least:
+                        found.append((at + i, at + i + min(window, len(run[0]))))
+    spans: list[tuple[int, int]] = []
+    for s, e in sorted(found):
+        if spans and s <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
+        else:
+            spans.append((s, e))
     return spans
 
 
-def find_spans(text: str, p: SecretParams = SecretParams(), allowed: re.Pattern | None = None) -> list[tuple[int, str, int]]:
+def find_spans(text: str, scanner: Scanner | None = None) -> list[tuple[int, str, int]]:
     """(start, kind, end) of all secrets, by start and then as KINDS are listed; code points, end exclusive."""
-    allowed = allowed or re.compile("|".join(f"(?:{x})" for x in p.allowed) or r"(?!)")
+    scanner = scanner or Scanner()
     low = text.lower()
     base = []
     if any(k in low for k in ("passw", "secret", "token", "api")) or not text.isascii():
@@ -107,7 +137,7 @@ def find_spans(text: str, p: SecretParams = SecretParams(), allowed: re.Pattern
             starts.append(s)
             ends.append(e)
     covered = lambda s, e: (k := bisect.bisect_right(starts, s)) > 0 and ends[k - 1] >= e
-    more = [(s, "entropy", e) for s, e in entropy_spans(text, p, allowed) if not covered(s, e)]
+    more = [(s, "entropy", e) for s, e in entropy_spans(text, scanner) if not covered(s, e)]
     return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
@@ -125,12 +155,12 @@ def finder(p: SecretParams = SecretParams()):
     """A function from a column of UTF-8 texts to struct(spans, redacted); the redacted text of null is null."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        allowed = re.compile("|".join(f"(?:{x})" for x in p.allowed) or r"(?!)")
+        scanner = Scanner(p)
         for raws in batches:
             spans, texts = [], []
             for raw in raws:
                 t = "" if raw is None else raw.decode("utf-8", "replace")
-                found = find_spans(t, p, allowed)
+                found = find_spans(t, scanner)
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
                 texts.append(None if raw is None else redact(t, found) if found else t)
             yield pd.DataFrame({"spans": spans, "redacted": texts})
