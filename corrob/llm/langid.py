@@ -4,8 +4,10 @@ Two texts are as similar as their sets of character n-grams (1 to 4, lower-cased
 |A ∩ B| / √(|A|·|B|). Similarities to a fixed number of landmark texts span the Nyström feature space, in which ridge
 regression is fitted one language against the rest. Whole batches of texts are scored by two matrix products.
 
-The model is fitted on a bounded sample, ``per_lang`` texts a language (about; drawn by hash) of the learning
-documents; every text is scored whole. A null text, or one without a letter, is ``und`` with score 0, as is every text
+The model is fitted on a bounded sample of different texts of the learning documents, about ``per_lang`` a language,
+drawn by hash: copies count once, so no language is lost to another text's copies, and a language with fewer texts gives
+all of them. Languages beyond the ``most_langs`` with most different texts are not learnt. Every text is scored whole,
+however long. A null text, or one without a letter, is ``und`` with score 0, as is every text
 where there is nothing to learn from. Ties go to the language first in order. Repeated rows give repeated results.
 
 The ridge scores of a text sum to about 1 whatever it says, so they can't tell that a text has none of the languages.
@@ -34,7 +36,8 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 @dataclass(frozen=True)
 class KernelParams:
-    """per_lang: texts a language to fit on; landmarks: in all; ridge: of the regression; sizes: of n-grams.
+    """per_lang: texts a language to fit on, fewer where there are so many that they'd be more than ``most_rows`` in all;
+    most_langs: languages learnt; landmarks: in all, one a language at least; ridge: of the regression; sizes: of n-grams.
 
     lost: the share of learning rows that calibrates the rejection (about what it costs in clean documents, at most);
     slack: how far from there to what a text of all n-grams gets the threshold lies;
@@ -42,6 +45,8 @@ class KernelParams:
     """
 
     per_lang: int = 400
+    most_rows: int = 4000
+    most_langs: int = 400
     landmarks: int = 192
     ridge: float = 0.1
     sizes: tuple[int, ...] = (1, 2, 3, 4)
@@ -80,12 +85,15 @@ def sample(docs: DataFrame, p: KernelParams = KernelParams()):
     """(languages, normalised presence rows, one-hot languages of the rows) from ``text`` and ``lang``, or None without any."""
     import numpy as np
 
-    known = docs.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    known = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("__hash"))
+    # Sketches, so that counting different texts shuffles a row a language and task; they err by a few percent.
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("__hash").alias("n")).orderBy(F.col("n").desc(), "lang").limit(p.most_langs).collect()
     if not counts:
         return None
-    rates = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, p.per_lang / n) * (1 << 30)))))
-    drawn = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < rates[F.col("lang")])
+    each = max(1, min(p.per_lang, p.most_rows // len(counts)))
+    rates = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, each / max(1, r["n"] * 0.9)) * (1 << 30)))))
+    # Drawn by hash, and the copies of a drawn text are one before any worker reads it.
+    drawn = known.where(F.pmod("__hash", F.lit(1 << 30)) < F.try_element_at(rates, F.col("lang"))).select("lang", "text").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
@@ -93,8 +101,9 @@ def sample(docs: DataFrame, p: KernelParams = KernelParams()):
             out = pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["lang", "grams"])
             yield out.filter(out.column(1).is_valid())
 
-    # 2 KB a text. Equal texts count once, so that a group of copies doesn't fill the sample.
-    rows = drawn.select("lang", utf8("text").alias("text")).mapInArrow(run, "lang string, grams binary").distinct().limit(2 * p.per_lang * len(counts) + 1000).collect()
+    # 2 KB a text; the limit only guards the driver against an unlucky hash, and takes the same rows each time.
+    rows = drawn.select("lang", utf8("text").alias("text")).mapInArrow(run, "lang string, grams binary").distinct()
+    rows = rows.orderBy(F.xxhash64("grams", "lang"), "lang").limit(2 * each * len(counts) + 1000).collect()
     rows = sorted((r["lang"], bytes(r["grams"])) for r in rows)
     if not rows:
         return None
