@@ -31,6 +31,7 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+KINDS_OF_CHARACTERS = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
 # Strings of high entropy that are no secrets: UUIDs, integrity digests of lock files, alphabets and documented samples, paths and names of words.
 ALLOWED = (
     r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
@@ -42,20 +43,21 @@ ALLOWED = (
 
 @dataclass(frozen=True)
 class CharacterClass:
-    """runs: pattern of the strings looked at; window: characters; bits: least entropy of a window."""
+    """runs: pattern of the strings looked at; kinds: of small letters, capitals and digits, so many at least; window: characters; bits: least entropy of a window."""
 
     name: str
     runs: str
+    kinds: int
     window: int
     bits: float
 
 
 CLASSES = (
-    CharacterClass("hex", r"(?![0-9]+(?![0-9A-Fa-f])|[A-Fa-f]+(?![0-9A-Fa-f]))[0-9A-Fa-f]{20,}", 20, 3.05),
-    CharacterClass("upper", r"(?![0-9]+(?![A-Z0-9])|[A-Z]+(?![A-Z0-9]))[A-Z0-9]{20,}", 20, 3.4),
-    CharacterClass("lower", r"(?![0-9]+(?![a-z0-9])|[a-z]+(?![a-z0-9]))[a-z0-9]{20,}", 20, 3.6),
-    CharacterClass("letters", r"[a-z]{32,}|[A-Z]{32,}", 32, 4.0),
-    CharacterClass("mixed", r"(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z]|[^0-9]*[0-9]).+|(?=[^A-Z]*[A-Z])(?=[^0-9]*[0-9]).+", 20, 3.9),
+    CharacterClass("hex", r"[0-9A-Fa-f]{20,}", 2, 20, 3.05),
+    CharacterClass("upper", r"[A-Z0-9]{20,}", 2, 20, 3.4),
+    CharacterClass("lower", r"[a-z0-9]{20,}", 2, 20, 3.6),
+    CharacterClass("letters", r"[a-z]{32,}|[A-Z]{32,}", 1, 32, 4.0),
+    CharacterClass("mixed", r"[A-Za-z0-9+/_=-]{20,}", 2, 20, 3.9),
 )
 
 
@@ -71,7 +73,7 @@ class Scanner:
     """The patterns of SecretParams, compiled."""
 
     def __init__(self, p: SecretParams = SecretParams()):
-        self.classes = [(re.compile(c.runs), c.window, c.bits) for c in p.classes]
+        self.classes = [(re.compile(c.runs), c.kinds, c.window, c.bits) for c in p.classes]
         self.allowed = re.compile("|".join(f"(?:{x})" for x in p.allowed) or r"(?!)")
 
 
@@ -104,8 +106,10 @@ def entropy_spans(text: str, scanner: Scanner) -> list[tuple[int, int]]:
     for m in CANDIDATE.finditer(text):
         if scanner.allowed.fullmatch(m[0]):
             continue
-        for runs, window, least in scanner.classes:
+        for runs, kinds, window, least in scanner.classes:
             for run in runs.finditer(m[0]):
+                if sum(k.search(run[0]) is not None for k in KINDS_OF_CHARACTERS) < kinds:
+                    continue
                 at = m.start() + run.start()
                 for i, bits in enumerate(window_entropies(run[0], window)):
                     if bits >= least:
