@@ -358,8 +358,8 @@ def hits_by_hand(text, items):
     return len(words), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block", [4 << 20, 400])
-def test_winnowing_finds_every_shared_window(spark, block, monkeypatch):
+@pytest.mark.parametrize("p", [decontaminate.WinnowParams(), decontaminate.WinnowParams(filter_bits=64, most_broadcast=0)])
+def test_winnowing_finds_every_shared_window(spark, p):
     rng = random.Random(9)
     items = [(i, prose(rng, rng.choice([0, 1, 4, 9, 10, 11, 14, 40]), 60)) for i in range(40)] + [(40, "so so so so so so so so so so so so"), (41, None), (2, "again an item of the same id, with some more words in it")]
     texts = [None, "", "so so so so so so so so so so so", "so so so"]
@@ -372,17 +372,40 @@ def test_winnowing_finds_every_shared_window(spark, block, monkeypatch):
             parts += [" ".join(w[a : a + rng.randrange(8, 14)]).upper(), prose(rng, rng.randrange(0, 6), 60)]
         texts.append(", ".join(parts))
     bench = spark.createDataFrame([*items, items[5]], "item_id long, text string")
-    whole = decontaminate.with_hits
-    monkeypatch.setattr(decontaminate, "with_hits", lambda d, b, *a: whole(d, b, *a, block_bytes=block, at_once=2))
-    got = {r["doc_id"]: r for r in decontaminate.contamination(docs_of(spark, texts), bench).collect()}
+    got = {r["doc_id"]: r for r in decontaminate.contamination(docs_of(spark, texts), bench, p).collect()}
     for i, t in enumerate(texts):
         want = hits_by_hand(t, items)
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"], got[i]["items_sha256"]) == want and got[i]["contaminated"] == (want[1] > 0), t
-    clean = decontaminate.keep_clean(docs_of(spark, texts), bench)
+    clean = decontaminate.keep_clean(docs_of(spark, texts), bench, p)
     assert {r[0] for r in clean.select("doc_id").collect()} == {i for i in got if not got[i]["contaminated"]}
     assert decontaminate.contamination(docs_of(spark, texts), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_long_texts_and_empty_tables(spark):
+    rng = random.Random(10)
+    item, bench = prose(rng, 30), "item_id long, text string"
+    long = " ".join([prose(rng, 200_000), item.upper(), prose(rng, 200_000)])
+    both = spark.createDataFrame([(7, item), (None, "x y"), (8, None), (9, "  ")], bench)
+    got = decontaminate.contamination(docs_of(spark, ["plain", long]), both).where("doc_id = 1").first()
+    assert (got["n_words"], got["n_hit"], got["n_items"]) == (400_030, 30, 1)
+    docs = docs_of(spark, ["x y"])
+    assert decontaminate.contamination(docs.limit(0), both).count() == 0 and decontaminate.keep_clean(docs.limit(0), both).count() == 0
+    got = decontaminate.contamination(docs, both).first()
+    assert (got["n_hit"], got["n_items"], got["contaminated"]) == (2, 0, True)
+
+
+def test_word_hashes_hold_across_batches():
+    import pyarrow as pa
+
+    texts = ["Ab  cd", None, "", "é-ab", "cd", " x ab cd "]
+    words = decontaminate.Words(pa.array([t and t.encode() for t in texts], pa.binary()))
+    alone = [decontaminate.Words(pa.array([t and t.encode()], pa.binary())) for t in texts]
+    assert [w.counts[0] for w in alone] == words.counts.tolist() == [2, 0, 0, 2, 1, 3]
+    assert np.concatenate([w.hashes for w in alone]).tolist() == words.hashes.tolist()
+    part = decontaminate.Words(pa.array([t and t.encode() for t in texts], pa.binary()).slice(3, 2))
+    assert part.hashes.tolist() == words.hashes[2:5].tolist() and part.said(0, 2) == "é ab".encode()
+
+
 # --- simhash
 
 
