@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from corrob.llm.urls import A, ALPHABET, BIN, BINS, LOWER, RULES, UNIT, UPPER
+from corrob.llm.urls import BIN, BINS, LOWER, ORDER, RULES, UNIFORM, UNIT, UPPER
 
 ORACLE: dict[str, str] = {}
 
@@ -34,34 +34,32 @@ def _fits(rule: str) -> str:
     return f"(host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '/{path}')"
 
 
-def _p(k: str) -> str:
-    out = f"(1.0::double / {A})"
-    for order, count in ((0, "n1"), (1, "n2"), (2, "n")):
-        out = f"(case when s{order}{k} > 0 then ({count}{k} + t{order}{k} * {out}) / (s{order}{k} + t{order}{k})::double else {out} end)"
-    return out
+def _levels() -> str:
+    """Tables t (runs), c (what follows contexts) and p (probabilities under both models) of each order."""
+    out = []
+    for k in range(ORDER + 1):
+        low = (lambda m: f"{UNIFORM}::double") if not k else (lambda m: f"p.p{m}")
+        p = ", ".join(f"case when s{m} > 0 then (n{m} + t{m} * {low(m)}) / (s{m} + t{m})::double else {low(m)} end p{m}" for m in "ab")
+        out.append(f"""t{k} as (select right(run, {k + 1}) run, left(right(run, {k + 1}), {k}) context, sum(na) na, sum(nb) nb from counts group by all),
+c{k} as (select context, sum(na) sa, sum(nb) sb, count(*) filter (na > 0) ta, count(*) filter (nb > 0) tb from t{k} group by context),
+p{k} as (select t.run, {p} from t{k} t join c{k} c on c.context = t.context{f" join p{k - 1} p on p.run = right(t.run, {k})" if k else ""})""")
+    return ",\n".join(out)
 
 
 ORACLE["op2_url_filter"] = rf"""
-with rest as (select page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end rest from pages),
-parts as (select page_id, url, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') path from rest),
+with rest as (select row_number() over () as row, page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end rest from pages),
+parts as (select row, page_id, url, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') path from rest),
 ruled as (select *, case {" ".join(f"when {_fits(r)} then '{r}'" for r, _ in _BY_LENGTH)} end as rule from parts),
-coded as (select *, list_transform(string_split('^^' || regexp_replace(translate(url, '{UPPER}123456789', '{LOWER}000000000'), '[^a-z0./:?=&_#%-]', '*', 'g') || '$', ''), lambda c: instr('{ALPHABET}', c) - 1) codes from ruled),
-read as (select *, list_transform(range(1, len(codes) - 1), lambda i: codes[i] * {A * A} + codes[i + 1] * {A} + codes[i + 2]) cells,
-  case rule {" ".join(f"when '{r}' then '{v}'" for r, v in RULES)} end known from coded),
-n as (select cell, count(*) filter (known = 'allow') na, count(*) filter (known = 'block') nb
-  from (select known, unnest(cells) cell from read where known is not null and not substr(md5(url), 1, 1) < '4') group by cell),
-grid as (select c.cell, coalesce(na, 0) na, coalesce(nb, 0) nb, c.cell // {A} xy, c.cell % {A * A} yz, c.cell % {A} z from (select unnest(range({A**3})) cell) c left join n on n.cell = c.cell),
-two as (select yz, yz // {A} y, yz % {A} z, sum(na) n2a, sum(nb) n2b from grid group by yz),
-one as (select z, sum(n2a) n1a, sum(n2b) n1b from two group by z),
-none as (select sum(n1a) s0a, sum(n1b) s0b, count(*) filter (n1a > 0) t0a, count(*) filter (n1b > 0) t0b from one),
-aty as (select y, sum(n2a) s1a, sum(n2b) s1b, count(*) filter (n2a > 0) t1a, count(*) filter (n2b > 0) t1b from two group by y),
-atxy as (select xy, sum(na) s2a, sum(nb) s2b, count(*) filter (na > 0) t2a, count(*) filter (nb > 0) t2b from grid group by xy),
-model as (select list(q order by cell) m from (
-  select cell, cast(floor((ln({_p("a")}) - ln({_p("b")})) * {UNIT} + 0.5) as bigint) q
-  from grid join two using (yz) join one on one.z = grid.z join aty on aty.y = two.y join atxy on atxy.xy = grid.xy cross join none)),
-scored as (select read.*, coalesce(list_sum(list_transform(cells, lambda c: m[c + 1]))::double / len(cells), 0.0) mean from read, model),
+read as (select *, case rule {" ".join(f"when '{r}' then '{v}'" for r, v in RULES)} end known, substr(md5(url), 1, 1) < '4' later,
+  repeat(chr(2), {ORDER}) || translate(url, '{UPPER}', '{LOWER}') || chr(3) marked from ruled),
+runs as (select row, known, later, substr(marked, i, {ORDER + 1}) run from (select row, known, later, marked, unnest(range(1, len(marked) - {ORDER} + 1)) i from read)),
+counts as (select run, count(*) filter (known = 'allow' and not later) na, count(*) filter (known = 'block' and not later) nb from runs group by run),
+{_levels()},
+ratio as (select run, cast(floor((ln(pa) - ln(pb)) * {UNIT} + 0.5) as bigint) q from p{ORDER}),
+means as (select row, sum(q)::double / count(*) mean from runs join ratio using (run) group by row),
+scored as (select read.*, coalesce(mean, 0.0)::double mean from read left join means on means.row = read.row),
 bins as (select bin, count(*) filter (known = 'allow') a, count(*) filter (known = 'block') b from (
-  select known, greatest(0, least({BINS - 1}, floor(mean / {BIN}) + {BINS // 2})) bin from scored where known is not null and substr(md5(url), 1, 1) < '4') group by bin),
+  select known, greatest(0, least({BINS - 1}, floor(mean / {BIN}) + {BINS // 2})) bin from scored where known is not null and later) group by bin),
 gains as (select bin, coalesce((sum(a) over (order by bin rows between current row and unbounded following))::double / nullif(sum(a) over (), 0), 0)
   + coalesce((sum(b) over (order by bin rows between unbounded preceding and 1 preceding))::double / nullif(sum(b) over (), 0), 0) gain,
   (bin + coalesce(lag(bin) over (order by bin), bin)) / 2 middle from bins),

@@ -1,14 +1,17 @@
 """URL filters: host and path rules, then a character language-model ratio. DataFrame functions only.
 
-URLs that a rule accepts train one Markov model, those that a rule blocks another: interpolated trigram, bigram and
-unigram estimates with Witten-Bell weights, so the order in use varies with what each context has shown. Characters
-are folded to 40 symbols, which bounds the model at 64,000 cells at every input size; it is handed to the scan as one
-array by a scalar subquery. A URL's score is the mean log-likelihood difference over its characters. The threshold is
-the one that best separates accepted and blocked URLs of a fold that the models have not seen, midway between the two
-bins it parts.
-
-A null or malformed URL has an empty host and path and no rule; a null URL scores 0. Without rule-matched URLs all
-scores and the threshold are 0 and the verdict is allow. Repeated rows give repeated results.
+URLs that a rule accepts train one Markov model, those that a rule blocks another. Contexts are of variable order: up
+to ORDER characters, as far back as the corpus has shown them; Witten-Bell weights mix each order with the one below,
+by how often and in how many ways its context has gone on, down to a uniform guess. Characters are kept as they are, but
+for A-Z in lower case. The models are tables of the character runs that occur in the URLs, so they grow with the input;
+each run of ORDER + 1 characters has one log-likelihood difference, which the runs of a URL find by a join. A URL's
+score is the mean difference over its characters. The threshold is the one that best separates accepted and blocked
+URLs of a fold that the models have not seen, midway between the two bins it parts.
+
+The ``most_broadcast`` commonest runs are broadcast, so that no run that every URL has is a hot key; rarer ones are
+joined by shuffle. A null or malformed URL has an empty host and path and no rule; a null URL scores 0. Without
+rule-matched URLs all scores and the threshold are 0 and the verdict is allow. Very long URLs are scored whole. Repeated
+rows give repeated results; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,10 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corrob.llm.common import stash
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Letters, digits as one, punctuation, anything else, start, end.
-ALPHABET = LOWER + "0./-:?=&_#%" + "*^$"
-A = len(ALPHABET)
+#: Characters of context; marks of a URL's start and end; the guess below all orders.
+ORDER = 5
+START, END = "\x02", "\x03"
+UNIFORM = 1.0 / 256
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Scores are whole millionths per character, so sums don't depend on order; bins of calibration are hundredths.
 UNIT, BIN, BINS = 1_000_000, 10_000, 2001
@@ -49,58 +55,56 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def trigrams(url: Column) -> tuple[Column, callable]:
-    """Folded symbols of ``url`` as codes, and a function from the column of codes to trigram cells."""
-    folded = F.regexp_replace(F.translate(url, UPPER + "123456789", LOWER + "0" * 9), r"[^a-z0./:?=&_#%-]", "*")
-    codes = F.transform(F.split(F.concat(F.lit("^^"), folded, F.lit("$")), ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+def runs_of(symbols: Column) -> Column:
+    """The runs of ORDER + 1 symbols of an array of symbols, in order."""
+    out = symbols
+    for k in range(1, ORDER + 1):
+        out = F.zip_with(out, F.slice(symbols, k + 1, F.size(symbols)), lambda x, y: F.concat(x, y))
+    return F.filter(out, lambda g: g.isNotNull())
 
-    def cells(c: Column) -> Column:
-        pairs = F.zip_with(c, F.slice(c, 2, F.size(c)), lambda x, y: x * A + y)
-        return F.filter(F.zip_with(pairs, F.slice(c, 3, F.size(c)), lambda xy, z: xy * A + z), lambda x: x.isNotNull())
 
-    return codes, cells
+def symbols_of(url: Column) -> Column:
+    """The characters of ``url`` between marks of its start and end."""
+    return F.split(F.concat(F.lit(START * ORDER), F.translate(url, UPPER, LOWER), F.lit(END)), "")
 
 
-def model(labelled: DataFrame) -> DataFrame:
-    """One row, column ``llr``: the log-likelihood difference of each of the A³ cells, in millionths.
+def model(counts: DataFrame) -> DataFrame:
+    """run, q: the log-likelihood difference of each run's last character after the others, in millionths.
 
-    ``labelled`` has ``cells`` and ``ok``. Counts per cell are the only aggregation over the input.
+    ``counts``: run, na, nb: how often accepted and blocked URLs have it; runs that only other URLs have count zero.
     """
-    spark = labelled.sparkSession
-    n = labelled.select("ok", F.explode("cells").alias("cell")).groupBy("cell").agg(*(F.count_if(x).alias(f"n{k}") for k, x in (("a", F.col("ok")), ("b", ~F.col("ok")))))
-    grid = spark.range(A**3).select(F.col("id").cast("int").alias("cell"))
-    full = grid.join(n, "cell", "left").fillna(0).withColumns({"xy": F.floor(F.col("cell") / A), "yz": F.col("cell") % (A * A), "z": F.col("cell") % A})
-    two = full.groupBy("yz").agg(*(F.sum(f"n{k}").alias(f"n2{k}") for k in "ab")).withColumns({"y": F.floor(F.col("yz") / A), "z": F.col("yz") % A})
-    one = two.groupBy("z").agg(*(F.sum(f"n2{k}").alias(f"n1{k}") for k in "ab"))
-    none = one.agg(*(x for k in "ab" for x in (F.sum(f"n1{k}").alias(f"s0{k}"), F.count_if(F.col(f"n1{k}") > 0).alias(f"t0{k}"))))
-    at_y = two.groupBy("y").agg(*(x for k in "ab" for x in (F.sum(f"n2{k}").alias(f"s1{k}"), F.count_if(F.col(f"n2{k}") > 0).alias(f"t1{k}"))))
-    at_xy = full.groupBy("xy").agg(*(x for k in "ab" for x in (F.sum(f"n{k}").alias(f"s2{k}"), F.count_if(F.col(f"n{k}") > 0).alias(f"t2{k}"))))
-    # All sides below have A³ rows at most, whatever the input; ``none`` has one row.
-    one = one.join(F.broadcast(none), F.lit(True))
-    all_ = full.join(two.drop("z"), "yz").join(one, "z").join(at_y, "y").join(at_xy, "xy")
-
-    def p(k: str) -> Column:
-        out = F.lit(1.0 / A)
-        for order, count in ((0, "n1"), (1, "n2"), (2, "n")):
-            s, t = F.col(f"s{order}{k}"), F.col(f"t{order}{k}")
-            out = F.when(s > 0, (F.col(f"{count}{k}") + t * out) / (s + t)).otherwise(out)
-        return out
-
-    llr = F.floor((F.log(p("a")) - F.log(p("b"))) * UNIT + 0.5).cast("long")
-    return all_.select("cell", llr.alias("q")).agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "q"))), lambda x: x["q"]).alias("llr"))
-
-
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+    below = None
+    for k in range(ORDER + 1):
+        # The runs of k + 1 symbols that end those of ORDER + 1, and what follows their contexts.
+        t = counts.groupBy(F.right("run", F.lit(k + 1)).alias("run")).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb")).withColumn("context", F.left("run", F.lit(k)))
+        after = t.groupBy("context").agg(*(x for m in "ab" for x in (F.sum(f"n{m}").alias(f"s{m}"), F.count_if(F.col(f"n{m}") > 0).alias(f"t{m}"))))
+        t = t.join(after, "context")
+        t = t.withColumns({"la": F.lit(UNIFORM), "lb": F.lit(UNIFORM)}) if below is None else t.join(below, F.right("run", F.lit(k)) == F.col("tail"))
+        p = lambda m: F.when(F.col(f"s{m}") > 0, (F.col(f"n{m}") + F.col(f"t{m}") * F.col(f"l{m}")) / (F.col(f"s{m}") + F.col(f"t{m}"))).otherwise(F.col(f"l{m}"))
+        below = t.select(F.col("run").alias("tail"), p("a").alias("la"), p("b").alias("lb"))
+    return below.select(F.col("tail").alias("run"), F.floor((F.log("la") - F.log("lb")) * UNIT + 0.5).cast("long").alias("q"))
+
+
+def judge(pages: DataFrame, rules=RULES, most_broadcast: int = 200_000) -> DataFrame:
     """page_id, host, path, rule, verdict, score (mean log-likelihood difference a character), threshold."""
     verdicts = F.create_map(*(F.lit(x) for r in rules for x in r))
-    codes, cells = trigrams(F.col("url"))
     read = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     read = read.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))}).withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
-    read = read.withColumn("codes", codes).withColumn("cells", cells(F.col("codes"))).drop("codes")
-    known = read.where("rule is not null").withColumns({"ok": verdicts[F.col("rule")] == "allow", "later": F.substring(F.md5(F.col("url")), 1, 1) < "4"})
-    llr = model(known.where("not later")).scalar()
-    mean = lambda m: F.coalesce(F.aggregate("cells", F.lit(0).cast("long"), lambda s, c: s + F.element_at(m, c + 1)) / F.size("cells"), F.lit(0.0))
-    bins = known.where("later").withColumn("llr", llr).select("ok", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(mean(F.col("llr")) / BIN) + BINS // 2)).alias("bin"))
+    later = F.substring(F.md5("url"), 1, 1) < "4"
+    rows = stash(read.withColumns({"known": verdicts[F.col("rule")], "later": later, "row": F.monotonically_increasing_id()}), "urls")
+    runs = rows.withColumn("symbols", symbols_of(F.col("url"))).select("row", "known", "later", F.explode(runs_of(F.col("symbols"))).alias("run"))
+    trains = lambda verdict: F.count_if((F.col("known") == verdict) & ~F.col("later"))
+    counts = stash(runs.groupBy("run").agg(trains("allow").alias("na"), trains("block").alias("nb"), F.count(F.lit(1)).alias("n")), "runs")
+    ratios = stash(model(counts).join(counts.select("run", "n"), "run"), "ratios")
+    # Most runs of most URLs are among the commonest, which are no more than most_broadcast rows.
+    common = F.broadcast(ratios.orderBy(F.col("n").desc(), "run").limit(most_broadcast).select("run", "q"))
+    found = runs.select("row", "run").join(common, "run").select("row", "q")
+    if ratios.count() > most_broadcast:
+        rare = ratios.select("run", "q").join(common.select("run"), "run", "left_anti")
+        found = found.unionByName(runs.select("row", "run").join(common.select("run"), "run", "left_anti").join(rare, "run").select("row", "q"))
+    means = found.groupBy("row").agg((F.sum("q") / F.count(F.lit(1))).alias("mean"))
+    scored = stash(rows.drop("url").join(means, "row", "left").withColumn("mean", F.coalesce("mean", F.lit(0.0))), "scored-urls")
+    bins = scored.where("known is not null and later").select((F.col("known") == "allow").alias("ok"), F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(F.col("mean") / BIN) + BINS // 2)).alias("bin"))
     bins = bins.groupBy("bin").agg(F.count_if("ok").alias("a"), F.count_if(~F.col("ok")).alias("b"))  # BINS rows at most
     ranked = bins.selectExpr(
         "bin", "coalesce((sum(a) over (order by bin rows between current row and unbounded following)) / nullif(sum(a) over (), 0), 0) "
@@ -108,6 +112,6 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         "(bin + coalesce(lag(bin) over (order by bin), bin)) / 2 as middle",
     )
     best = ranked.agg(F.coalesce((F.max_by("middle", F.struct("gain", -F.col("bin"))) - BINS // 2) * F.lit(1.0 * BIN), F.lit(0.0)).alias("least")).scalar()
-    out = read.withColumn("llr", llr).withColumn("mean", mean(F.col("llr"))).withColumn("least", best)
-    verdict = F.coalesce(verdicts[F.col("rule")], F.when(F.col("mean") >= F.col("least"), "allow").otherwise("block"))
+    out = scored.withColumn("least", best)
+    verdict = F.coalesce("known", F.when(F.col("mean") >= F.col("least"), "allow").otherwise("block"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), (F.col("mean") / UNIT).alias("score"), (F.col("least") / UNIT).alias("threshold"))

@@ -41,6 +41,48 @@ def test_model_generalises_and_no_labels_allow(spark):
     assert {r["verdict"] for r in urls.judge(pages(spark, new)).collect()} == {"allow"}
 
 
+def score_by_hand(rows, fits):
+    """The score of each URL by recursion over dictionaries. fits: (url, 'allow' or 'block') to train on."""
+    import math
+
+    symbols = lambda u: urls.START * urls.ORDER + "".join(c.lower() if "A" <= c <= "Z" else c for c in u) + urls.END
+    seen = {"allow": {}, "block": {}}
+    for u, v in fits:
+        s = symbols(u)
+        for i in range(urls.ORDER, len(s)):
+            for k in range(urls.ORDER + 1):
+                after = seen[v].setdefault(s[i - k : i], {})
+                after[s[i]] = after.get(s[i], 0) + 1
+
+    def p(v, context, c):
+        low = p(v, context[1:], c) if context else urls.UNIFORM
+        after = seen[v].get(context, {})
+        n = sum(after.values())
+        return (after.get(c, 0) + len(after) * low) / (n + len(after)) if n else low
+
+    out = []
+    for u in rows:
+        s = symbols(u) if u is not None else ""
+        q = [math.floor((math.log(p("allow", s[i - urls.ORDER : i], s[i])) - math.log(p("block", s[i - urls.ORDER : i], s[i]))) * 1e6 + 0.5) for i in range(urls.ORDER, len(s))]
+        out.append(sum(q) / len(q) / 1e6 if q else 0.0)
+    return out
+
+
+def test_scores_equal_models_by_hand_and_tell_digits_and_scripts_apart(spark):
+    import hashlib
+
+    bad = [f"http://s{i}.net/777{i}77/плохо{i}" for i in range(40)]
+    good = [f"http://s{i}.org/fr/333{i}33/добро{i}" for i in range(40)]
+    new = ["http://q.com/777777", "http://q.com/333333", "http://q.com/плохо", "http://q.com/добро", None, "", "HTTP://Q.COM/" + "x" * 5000]
+    rows = bad + good + new
+    first = lambda u: hashlib.md5(u.encode()).hexdigest()[0] < "4"
+    want = score_by_hand(rows, [(u, "block") for u in bad if not first(u)] + [(u, "allow") for u in good if not first(u)])
+    for most in (200_000, 7):
+        got = {r["page_id"]: r for r in urls.judge(pages(spark, [*rows, rows[0]]), most_broadcast=most).collect()}
+        assert all(abs(got[i]["score"] - w) < 2e-6 for i, w in enumerate(want))
+    assert [got[80 + i]["verdict"] for i in range(4)] == ["block", "allow", "block", "allow"]
+
+
 def talk(spark, rows):
     return spark.createDataFrame([(*r, 5, "z") for r in rows], "conv_id long, turn long, role string, text string, depth int, hash string")
 
