@@ -64,6 +64,17 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], fine: int = 1024,
     return joined.withColumn(name, (F.col("__before") + inside).cast("long")).drop("__cell", "__before")
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, n: str = "n", least: int = 10_000) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and in ``n`` how many of the ``total`` rows of ``left`` have it.
+
+    Keys of more than a thousandth of all rows (and more than ``least``) are at most 1,000, so their side is broadcast and
+    their rows stay where they are; all others are shuffled. ``n`` is dropped.
+    """
+    many = max(least, total // 1000)
+    hot, rest = F.broadcast(right.where(F.col(n) > many).drop(n)), right.where(F.col(n) <= many).drop(n)
+    return left.join(hot.select(key), key, "left_anti").join(rest, key).unionByName(left.join(hot, key))
+
+
 def histogram_threshold(good: list[int], bad: list[int], most_good_lost: float) -> int | None:
     """The lowest bin from which on rows count as bad: best (share of bad found − share of good lost) under the limit.
 

@@ -12,6 +12,10 @@ At a variant, any fingerprint within 1 of it (the hub) is within 3 of all others
 every group together with one link a member; each link is verified. At most 1,057 different fingerprints can share a
 variant. Components come from alternating large-star and small-star steps, each a join written to the shared folder.
 
+Variants are sorted in their partitions, and a worker streams over them: it holds a few hundred thousand rows, however
+large the partition, so the number of tasks is bounded. A fingerprint or component of very many rows isn't a key of a
+shuffle (``join_hot``). Very long texts are read whole.
+
 A null or empty text has fingerprint zero, which links like any other. Rows with equal doc_id are one document in a
 component. A null doc_id takes part, but is never a component's id while another is there.
 """
@@ -24,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrob.llm.common import slices, stash, utf8
+from corrob.llm.common import join_hot, slices, stash, utf8
 
 RADIUS = 3
 SINGLE = [1 << i for i in range(64)]
 PAIRS = [SINGLE[h + i] | SINGLE[h + j] for h in (0, 32) for i in range(32) for j in range(i)]
-#: Rows that one task of the verification holds.
-TASK_ROWS = 2_000_000
+#: Rows that a task of the verification is given, up to MOST_TASKS; rows that its worker holds.
+TASK_ROWS, MOST_TASKS, HELD_ROWS = 2_000_000, 50_000, 250_000
 
 
 def _signed(x: int) -> int:
@@ -70,40 +74,49 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(key, utf8(text).alias("text")).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, fp long")
 
 
-def links(fps: DataFrame, distinct: int) -> DataFrame:
+def links(fps: DataFrame, distinct: int, held_rows: int = HELD_ROWS) -> DataFrame:
     """(a, b): links that join each set of different fingerprints reachable over 3 or fewer bits. ``fps``: ``fp``, each once."""
     spark = fps.sparkSession
     odd = F.bit_count("fp") % 2 == 1
     long = lambda xs: F.array(*(F.lit(_signed(x)) for x in xs))
     masks = F.when(odd, long([0, *SINGLE, *PAIRS])).otherwise(long(SINGLE))
     variants = fps.select("fp", F.explode(masks).alias("m")).select(F.expr("fp ^ m").alias("v"), "fp")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct * 560 // TASK_ROWS))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-distinct * 560 // TASK_ROWS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not held:
-            return
-        v, fp = (np.concatenate(x) for x in zip(*held))
-        del held
-        order = np.argsort(v, kind="stable")
-        v, fp = v[order], fp[order]
-        same = v[1:] == v[:-1]
-        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        v, fp = v[shared], fp[shared]
-        far = np.bitwise_count((v ^ fp).view(np.uint64))
-        order = np.lexsort((fp, far, v))
-        v, fp, far = v[order], fp[order], far[order]
-        first = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.zeros(0, bool)
-        hub = np.flatnonzero(first)[np.cumsum(first) - 1] if len(v) else np.zeros(0, int)
-        a, b, ok = fp[hub] if len(v) else fp, fp, far[hub] <= 1 if len(v) else np.zeros(0, bool)
-        ok = ok & (a != b) & (np.bitwise_count((a ^ b).view(np.uint64)) <= RADIUS)
-        pairs = np.unique(np.stack([np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])], axis=1), axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return variants.repartition(tasks, "v").mapInArrow(run, "a long, b long").distinct()
+        held, n = [], 0
+        for b in batches:
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            n += b.num_rows
+            if n >= held_rows:
+                v, fp = (np.concatenate(x) for x in zip(*held))
+                cut = int(np.searchsorted(v, v[-1]))  # the last variant may go on
+                yield linked(v[:cut], fp[:cut])
+                held, n = [(v[cut:], fp[cut:])], len(v) - cut
+        if n:
+            yield linked(*(np.concatenate(x) for x in zip(*held)))
+
+    return variants.repartition(tasks, "v").sortWithinPartitions("v").mapInArrow(run, "a long, b long").distinct()
+
+
+def linked(v, fp) -> pa.RecordBatch:
+    """The links (a, b) of fingerprints ``fp`` that meet at variants ``v``, in whose order both are."""
+    import numpy as np
+
+    same = v[1:] == v[:-1]
+    shared = np.concatenate([same, [False]])[: len(v)] | np.concatenate([[False], same])[: len(v)]
+    v, fp = v[shared], fp[shared]
+    far = np.bitwise_count((v ^ fp).view(np.uint64))
+    order = np.lexsort((fp, far, v))
+    v, fp, far = v[order], fp[order], far[order]
+    first = np.concatenate([[True], v[1:] != v[:-1]])[: len(v)]
+    hub = np.flatnonzero(first)[np.cumsum(first) - 1]
+    a, b = fp[hub], fp
+    ok = (far[hub] <= 1) & (a != b) & (np.bitwise_count((a ^ b).view(np.uint64)) <= RADIUS)
+    pairs = np.unique(np.stack([np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -117,7 +130,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = stash(small.distinct(), "edges")
+        now = stash(small.distinct(), "edges", instead_of=now)
         found = mark(now)
         if found == was:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -125,19 +138,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) for each row, and (fp, component_id): the least doc_id reachable, itself included."""
+    """(doc_id, fp, component_id of each row; fp, component_id): a component's id is the least doc_id in it."""
     each = stash(fingerprints(docs), "fps")
-    fps = stash(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fps")
-    tree = components(links(fps.select("fp"), fps.count()))
-    roots = fps.join(tree, fps["fp"] == tree["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    return each, roots.join(least, "root").select("fp", "component_id")
+    fps = stash(each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "distinct-fps")
+    distinct = fps.count()
+    tree = components(links(fps.select("fp"), distinct))
+    roots = stash(fps.join(tree, fps["fp"] == tree["node"], "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root")), "roots")
+    least = roots.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    classes = stash(join_hot(roots.select("fp", "rows", "root"), least, "root", distinct).select("fp", "component_id", "rows"), "classes")
+    return join_hot(each, classes, "fp", each.count(), "rows"), classes.select("fp", "component_id")
 
 
 def clusters(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id."""
-    each, classes = near_duplicates(docs)
-    return each.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    each, _ = near_duplicates(docs)
+    return each.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, most_broadcast: int = 2_000_000) -> DataFrame:
@@ -147,7 +162,7 @@ def keep_one(docs: DataFrame, most_broadcast: int = 2_000_000) -> DataFrame:
     The ids that go or repeat (8 bytes each) are broadcast up to ``most_broadcast``; beyond it both sides are shuffled.
     """
     each, classes = near_duplicates(docs)
-    ids = each.where("doc_id is not null").join(classes, "fp").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("__own"))
+    ids = each.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("__own"))
     other = stash(ids.where("not (__own and __rows = 1)"), "not-kept")
     few = (lambda df: F.broadcast(df)) if other.count() <= most_broadcast else (lambda df: df)
     same = F.col("doc_id") == F.col("__id")

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from corrob.llm import decontaminate, langid, packing, queries, rules, secrets, sharding, simhash, sites
+from corrob.llm import common, decontaminate, langid, packing, queries, rules, secrets, sharding, simhash, sites
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, fp string, length int, rank int, hits int, lang_pred string"
 
@@ -445,7 +445,15 @@ def test_simhash_components(spark, texts):
     assert simhash.clusters(docs_of(spark, texts).limit(0)).count() == 0
 
 
-def test_ball_hashing_loses_no_link(spark):
+def test_hot_keys_join_like_others(spark):
+    left = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(40)] + [(99, "c"), (100, "d")], "i long, k string")
+    right = spark.createDataFrame([("a", 1, 20), ("b", 2, 20), ("c", 3, 1)], "k string, x int, n long")
+    got = sorted(map(tuple, common.join_hot(left, right, "k", 42, least=5).select("i", "k", "x").collect()))
+    assert got == sorted(map(tuple, left.join(right, "k").select("i", "k", "x").collect())) and len(got) == 41
+
+
+@pytest.mark.parametrize("held", [250_000, 50])
+def test_ball_hashing_loses_no_link(spark, held):
     rng = random.Random(8)
     fps = set()
     for _ in range(40):
@@ -457,7 +465,7 @@ def test_ball_hashing_loses_no_link(spark):
             fps.add(x)
     fps = sorted(fps)
     df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
-    tree = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, len(fps))).collect()}
+    tree = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, len(fps), held)).collect()}
     got = [tree.get(simhash._signed(f), simhash._signed(f)) for f in fps]
     want = classes_by_hand(fps)
     for i in range(len(fps)):
