@@ -1,12 +1,15 @@
 """Quality rules: statistics of whole texts, fixed limits, and an isolation forest over the statistics.
 
-Random trees split the statistics of bounded samples of labelled documents that pass the fixed limits; documents that few splits isolate have
-short paths and are anomalous. The threshold on the anomaly score comes from all labelled rows that pass them: the best separation of
-the two labels among those that lose at most ``most_good_lost`` of the good ones (by a histogram with fixed bins).
-
-A null text has no words. A text without words fails the base rule. Without labels of both kinds, or without labelled
-rows, the method rejects nothing. A document with contradicting labels counts as bad. Repeated rows give repeated
-results; other columns are not read.
+Random trees split the rule statistics (as shares: word length, symbols, repeated lines, repeated words) of a bounded
+sample of all documents that pass the fixed limits; labels play no part in it. Documents that few splits isolate have
+short paths and are anomalous. Each tree sees few documents (``sample``), so that many alike bad ones don't hide each
+other. Labels calibrate the threshold on the anomaly score alone: over all labelled rows that pass the limits, the best
+separation of the two labels among those that lose at most ``most_good_lost`` of the good ones (by a histogram with
+fixed bins).
+
+A null text has no words. A text without words fails the base rule. Very long texts are read whole. Without labels of
+both kinds, or without labelled rows, the method rejects nothing. A document with contradicting labels counts as bad.
+Repeated rows give repeated results; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,22 +25,18 @@ from pyspark.sql import functions as F
 from corrob.llm.common import histogram_threshold, slices, stash, utf8
 
 SYMBOLS = b"#*$%&|<>"
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars_all", "n_lines", "n_upper", "n_distinct")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars_all", "n_lines")
 BINS = 1000
 
 
 @dataclass(frozen=True)
 class ForestParams:
-    """trees of depth log2(sample), each on ``sample`` of at most ``fit_rows`` labelled documents (about; taken by hash).
-
-    ``bad_each`` documents of each sample are bad: enough to stretch the ranges of splits, few enough to stay isolated.
-    """
+    """trees of depth log2(sample), each on ``sample`` of the ``fit_rows`` documents (about; taken by hash) that are drawn in all; most_good_lost: the share of good labelled rows that the threshold may cost."""
 
-    trees: int = 128
-    sample: int = 128
+    trees: int = 256
+    sample: int = 16
     fit_rows: int = 8192
     seed: int = 7
-    bad_each: int = 1
     most_good_lost: float = 0.005
 
 
@@ -67,7 +66,7 @@ def statistics_of(raw: bytes | None) -> tuple[int, ...]:
             repeat = int((np.cumsum(edge) > 0).sum())
     return (
         n, points - spaces, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeat,
-        points, len(lines), len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")), len(np.unique(hashes)),
+        points, len(lines),
     )
 
 
@@ -84,15 +83,15 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def features(stats):
-    """The forest's columns from an array of STATS: word length, and shares of symbols, repeated lines and words, capitals.
+    """The forest's columns from an array of STATS: word length, and shares of symbols, repeated lines and repeated words.
 
     Shares only: very short and very long texts would be anomalies by their size.
     """
     import numpy as np
 
-    w, chars, sym, dup, rep, points, lines, upper, _ = stats.T.astype(float)
+    w, chars, sym, dup, rep, points, lines = stats.T.astype(float)
     one = lambda x: np.maximum(x, 1)
-    return np.stack([chars / one(w), np.log1p(1000 * sym / one(points)), dup / one(lines), rep / one(w), upper / one(chars)], axis=1)
+    return np.stack([chars / one(w), np.log1p(1000 * sym / one(points)), dup / one(lines), rep / one(w)], axis=1)
 
 
 def expected_path(n: float) -> float:
@@ -100,16 +99,14 @@ def expected_path(n: float) -> float:
     return 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
 
 
-def grow(x, good, p: ForestParams) -> list[tuple]:
-    """Trees over rows ``x``, of which ``good`` marks the good, as arrays (feature, split, left, path length): children are left and left + 1, leaves have feature −1."""
+def grow(x, p: ForestParams) -> list[tuple]:
+    """Trees over rows ``x`` as arrays (feature, split, left, path length): children are left and left + 1, leaves have feature −1."""
     import numpy as np
 
     rng, depth = np.random.default_rng(p.seed), max(1, math.ceil(math.log2(max(2, p.sample))))
-    few = p.bad_each if good.any() else p.sample
     out = []
     for _ in range(p.trees):
-        bad = rng.permutation(np.flatnonzero(~good))[:few]
-        todo = [(x[np.concatenate([rng.permutation(np.flatnonzero(good))[: p.sample - len(bad)], bad])], 0)]
+        todo = [(x[rng.permutation(len(x))[: p.sample]], 0)]
         feature, split, left, path = [], [], [], []
         at = 0
         while at < len(todo):
@@ -154,15 +151,15 @@ def judge(docs: DataFrame, labels: DataFrame, p: ForestParams = ForestParams())
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     # What fails the base rule is gone already: the forest learns, and its threshold is set, on the rest.
-    known = stash(known.join(stats.where(~failed), "doc_id").select("good", "doc_id", *STATS), "labelled")
-    n = known.count()
-    share = min(1.0, p.fit_rows / max(1, n))
-    taken = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("good", "doc_id", *STATS)
-    # About fit_rows rows; the limit only guards the driver against an unlucky hash.
-    rows = taken.limit(2 * p.fit_rows + 100).orderBy("doc_id", *STATS).collect()
-    fit, is_good = np.array([tuple(r)[2:] for r in rows], np.int64).reshape(-1, len(STATS)), np.array([r["good"] > 0 for r in rows], bool)
+    passed = stats.where(~failed)
+    known = stash(known.join(passed, "doc_id").select("good", *STATS), "labelled")
+    share = min(1.0, p.fit_rows / max(1, passed.count()))
+    draw = F.pmod(F.xxhash64("doc_id", *STATS), F.lit(1 << 30))
+    # About fit_rows rows; the limit only guards the driver against an unlucky hash, and takes the same rows each time.
+    rows = passed.where(draw < F.lit(int(share * (1 << 30)))).orderBy(draw, *STATS).select(*STATS).limit(2 * p.fit_rows + 100).collect()
+    fit = np.array([tuple(r) for r in rows], np.int64).reshape(-1, len(STATS))
     sample = min(p.sample, len(fit))
-    trees = spark.sparkContext.broadcast(grow(features(fit), is_good, p) if len(fit) else [])
+    trees = spark.sparkContext.broadcast(grow(features(fit), p) if len(fit) else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -271,14 +271,41 @@ def test_rule_statistics(spark, texts):
         assert tuple(got[i][k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == rule_by_hand(t), repr(t)[:60]
 
 
+def path_by_hand(tree, row):
+    feature, split, left, path, _ = tree
+    at = 0
+    while feature[at] >= 0:
+        at = left[at] + (row[feature[at]] > split[at])
+    return path[at]
+
+
 def test_forest_isolates_junk_and_keeps_clean(spark):
+    """Labels of one half set the threshold; the other half is judged."""
     rng = random.Random(2)
     texts = [prose(rng, rng.randrange(60, 200)) for _ in range(300)] + [" ".join(w + "#$%" for w in prose(rng, 80).split()) for _ in range(40)]
     labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(0, 340, 2)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r["kept"] for r in rules.judge(docs_of(spark, texts), labels).collect()}
-    assert sum(not got[i] for i in range(300)) <= 6 and sum(got[i] for i in range(300, 340)) <= 4
+    judged = {r["doc_id"]: r for r in rules.judge(docs_of(spark, texts), labels).collect()}
+    got = {i: r["kept"] for i, r in judged.items()}
+    assert sum(not got[i] for i in range(1, 300, 2)) <= 3 and sum(got[i] for i in range(301, 340, 2)) <= 2
     none = rules.judge(docs_of(spark, texts), labels.limit(0))
     assert none.where("kept = base_failed").count() == 0
+    # The scores are those of the forest over all documents, whatever their labels.
+    p = rules.ForestParams()
+    assert {r["doc_id"]: r["score"] for r in none.select("doc_id", "score").distinct().collect()} == {i: r["score"] for i, r in judged.items()}
+    x = rules.features(np.array([rules.statistics_of(t.encode()) for t in texts]))
+    trees = rules.grow(x, p)
+    want = [2 ** (-np.mean([path_by_hand(t, row) for t in trees]) / rules.expected_path(p.sample)) for row in x]
+    assert np.allclose(rules.anomaly(x, trees, p.sample), want)
+    good, bad = np.sort(want[:300]), np.sort(want[300:])
+    assert bad[5] > good[-5]
+
+
+def test_rules_on_empty_tables_and_very_long_texts(spark):
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, [" ".join(f"w{i}" for i in range(400_000)), "a b " * 200_000])
+    assert rules.judge(docs.limit(0), labels).count() == 0
+    got = {r["doc_id"]: r for r in rules.judge(docs, labels).collect()}
+    assert got[0]["n_words"] == 400_000 and not got[0]["base_failed"] and got[1]["base_failed"] and not got[1]["kept"]
 
 
 # --- language
