@@ -1,19 +1,22 @@
 """Quality classifier by hierarchical empirical Bayes: document evidence with host- and path-level posteriors.
 
-Evidence: log-likelihood ratios of word presence (and of a few shape classes) in 2^BITS hashed cells, counted over all
-labelled documents by grouped aggregation; ratios are shrunk by pseudo-counts, and those within chance are zero. Words
-of one text depend on one another (a passage that bad documents share brings all its words), so the ``worst`` few ratios
-speak against a document, and those for it add up divided by the root of their number. One fold of the labelled rows scales the evidence to a logit (two coefficients, over a histogram).
+A document is good if it is neither of low quality nor toxic; each of the two has its own evidence. Evidence is the sum
+of log-likelihood ratios of the words (and of a few shape classes) that a document has, in 2^BITS hashed cells, counted
+over all labelled documents by grouped aggregation. Ratios are shrunk by pseudo-counts toward none, and those within
+``least_z`` of chance, at 2^BITS cells and words that come in passages, are none. One fold of the labelled rows, which
+the counts leave out, scales each sum to a logit (two coefficients, over a histogram); a document's probability of being
+good is the product of both.
 
 Sites: a document's host is its ``source``, its path ``source`` and ``lang``. The share of good labelled documents of
 each host is shrunk toward the global share, and that of each path toward its host's, with strengths estimated from
-the spread between groups (method of moments); a site without labels takes its parent's value. The score adds the
-site's shift of the logit to the document's. The threshold is the best separation on the scaling fold that loses at
-most ``most_good_lost`` of the good.
-
-Good means quality 1 and not toxic; contradicting labels count as bad. Null text: no words. Null source or lang: a
-site of its own. Without labels of both kinds all documents are kept with score 0.5. Repeated rows give repeated
-results; other columns are not read.
+the spread between groups (method of moments); a site without labels takes its parent's value, so a sparse one is near
+it. The score adds the site's shift of the logit to the document's. The threshold is the best separation on the scaling
+fold that loses at most ``most_good_lost`` of the good.
+
+Contradicting labels count as the worse. Null text: no words. Very long texts are read whole. Null source or lang: a
+site of its own. A kind of label that isn't there in both values has no evidence; without good and bad labels all
+documents are kept with score 0.5. Repeated rows give repeated results; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from pyspark.sql import functions as F
 from corrob.llm.common import histogram_threshold, slices, stash, utf8
 
 BITS = 18
-EVIDENCE_BINS, SCORE_BINS, RANGE = 2001, 1001, 50.0
+EVIDENCE_BINS, SCORE_BINS, RANGE = 2001, 1001, 100.0
+PARTS = ("low", "toxic")
 
 
 @dataclass(frozen=True)
@@ -37,9 +41,8 @@ class SiteParams:
     """pseudo: counts that each cell has beforehand; least_z: of a cell that counts; folds: one of so many scales; most_broadcast, most_labels: rows of sites and of labels (16 bytes each) up to which a join broadcasts them."""
 
     pseudo: float = 2.0
-    least_z: float = 4.0
+    least_z: float = 6.0
     clip: float = 6.0
-    worst: int = 3
     folds: int = 4
     most_good_lost: float = 0.005
     most_broadcast: int = 100_000
@@ -77,8 +80,18 @@ def platt(x, good, bad) -> tuple[float, float]:
     return max(0.0, float(a)), float(b)
 
 
+def ratios(total, bad, n: int, n_bad: int, p: SiteParams):
+    """The shrunk log-likelihood ratio of each cell, good over bad; 0 within chance. total, bad: documents that have it."""
+    import numpy as np
+
+    share, good = 1 - n_bad / n, total - bad
+    ratio = np.log((good + p.pseudo * share) / (n - n_bad)) - np.log((bad + p.pseudo * (1 - share)) / n_bad)
+    z = (good - total * share) / np.sqrt(total * share * (1 - share))
+    return np.where(np.abs(z) >= p.least_z, np.clip(ratio, -p.clip, p.clip), 0.0)
+
+
 def classify(docs: DataFrame, labels: DataFrame, p: SiteParams = SiteParams()) -> DataFrame:
-    """doc_id, evidence, host_posterior, path_posterior, score (probability of good), kept."""
+    """doc_id, low_evidence, toxic_evidence, host_posterior, path_posterior, score (probability of good), kept."""
     import numpy as np
 
     spark = docs.sparkSession
@@ -90,50 +103,47 @@ def classify(docs: DataFrame, labels: DataFrame, p: SiteParams = SiteParams()) -
     site = docs.select("doc_id", F.concat(F.lit("h"), F.coalesce("source", F.lit("\x00"))).alias("host"), F.coalesce("lang", F.lit("\x00")).alias("path"), utf8("text").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = stash(site.mapInArrow(cells, f"doc_id {kind}, host string, path string, cells array<int>"), "cells")
-    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(good).alias("good"))
+    low, toxic = F.col("quality") != 1, F.coalesce("toxic", F.lit(0)) != 0
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(low).alias("low"), F.max(toxic).alias("toxic"))
+    known = known.withColumn("good", ~F.col("low") & ~F.col("toxic"))
     if labels.count() <= p.most_labels:  # beyond it, both sides are shuffled
         known = F.broadcast(known)
     known = stash(read.join(known, "doc_id").withColumn("later", F.pmod(F.xxhash64("doc_id"), F.lit(p.folds)) == 0), "labelled")
     first = known.where("not later")
-    n = {r["good"]: r["n"] for r in first.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_good, n_bad = n.get(True, 0), n.get(False, 0)
-    weights = np.zeros(1 << BITS)
-    if n_good and n_bad:
-        # 2^BITS rows at most.
-        count = first.select("good", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b")).toPandas()
-        c, g, b = count["cell"].to_numpy(), count["g"].to_numpy(float), count["b"].to_numpy(float)
-        share, total = n_good / (n_good + n_bad), g + b
-        ratio = np.log((g + p.pseudo * share) / n_good) - np.log((b + p.pseudo * (1 - share)) / n_bad)
-        z = (g - total * share) / np.sqrt(total * share * (1 - share))
-        weights[c] = np.where(np.abs(z) >= p.least_z, np.clip(ratio, -p.clip, p.clip), 0.0)
+    n, n_good, *n_bad = first.agg(F.count(F.lit(1)), F.count_if("good"), *(F.count_if(k) for k in PARTS)).first()
+    # 2^BITS rows at most.
+    count = first.select(*PARTS, F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(k).alias(k) for k in PARTS)).toPandas()
+    weights = np.zeros((2, 1 << BITS))
+    for i, k in enumerate(PARTS):
+        if 0 < n_bad[i] < n:
+            weights[i, count["cell"].to_numpy()] = ratios(count["n"].to_numpy(float), count[k].to_numpy(float), n, n_bad[i], p)
     shared = spark.sparkContext.broadcast(weights)  # fixed size
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(b.num_columns - 1)
-            w = shared.value[lists.flatten().to_numpy()]
+            at = lists.flatten().to_numpy()
             ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            total = lambda x: np.diff(np.append(0.0, np.cumsum(x))[ends])
-            worst = np.array([np.sort(w[s:e])[: p.worst].clip(max=0).sum() for s, e in zip(ends[:-1], ends[1:])], float)
-            evidence = worst + total(np.maximum(w, 0)) / np.sqrt(1 + total(w > 0))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(evidence)], names=[*b.schema.names[:-1], "evidence"])
+            sums = [np.diff(np.append(0.0, np.cumsum(w[at]))[ends]) for w in shared.value]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *map(pa.array, sums)], names=[*b.schema.names[:-1], *(f"{k}_evidence" for k in PARTS)])
 
     def weighed(df: DataFrame) -> DataFrame:
         df = df.select(*(x for x in df.columns if x != "cells"), "cells")
-        return df.mapInArrow(weigh, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != "cells") + ", evidence double")
+        return df.mapInArrow(weigh, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != "cells"] + [f"{k}_evidence double" for k in PARTS]))
 
     step = 2 * RANGE / (EVIDENCE_BINS - 1)
-    bin_ = F.floor((F.greatest(F.lit(-RANGE), F.least(F.lit(RANGE), F.col("evidence"))) + RANGE) / step + 0.5).cast("int")
     held = stash(weighed(known.where("later")), "scaling")
-    hist = held.groupBy(bin_.alias("bin")).agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b")).toPandas()  # EVIDENCE_BINS rows at most
-    both = len(hist) and hist["g"].sum() and hist["b"].sum() and n_good and n_bad
-    slope, base = platt(hist["bin"].to_numpy(float) * step - RANGE, hist["g"].to_numpy(float), hist["b"].to_numpy(float)) if both else (0.0, 0.0)
+    lines = {}
+    for i, k in enumerate(PARTS):
+        bin_ = F.floor((F.greatest(F.lit(-RANGE), F.least(F.lit(RANGE), F.col(f"{k}_evidence"))) + RANGE) / step + 0.5).cast("int")
+        hist = held.groupBy(bin_.alias("bin")).agg(F.count_if(~F.col(k)).alias("g"), F.count_if(k).alias("b")).toPandas()  # EVIDENCE_BINS rows at most
+        if len(hist) and hist["g"].sum() and hist["b"].sum() and 0 < n_bad[i] < n:
+            lines[k] = platt(hist["bin"].to_numpy(float) * step - RANGE, hist["g"].to_numpy(float), hist["b"].to_numpy(float))
 
     # Sites: counts by path, summed to hosts; strengths come from sums over groups.
     paths = stash(first.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if("good").cast("double").alias("k")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"))
-    mean = n_good / (n_good + n_bad) if n_good and n_bad else 0.5
+    mean = n_good / n if 0 < n_good < n else 0.5
 
     def strength(df: DataFrame, n: str, k: str, parent) -> float:
         s = df.select(F.col(n).alias("n"), F.col(k).alias("k"), parent.alias("p")).agg(
@@ -150,20 +160,25 @@ def classify(docs: DataFrame, labels: DataFrame, p: SiteParams = SiteParams()) -
     if paths.count() <= p.most_broadcast:  # beyond it, a shuffled join whose skewed partitions Spark splits
         hosts, paths = F.broadcast(hosts), F.broadcast(paths)
 
+    safe = lambda x: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), x))
+    logit = lambda x: F.log(safe(x) / (1 - safe(x)))
+    good = F.lit(1.0)
+    for k, (slope, base) in lines.items():
+        good = good / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), slope * F.col(f"{k}_evidence") + base))))
+    of_text = logit(good) if lines else F.lit(0.0)
+
     def scored(df: DataFrame) -> DataFrame:
         df = df.join(hosts, "host", "left").join(paths, ["host", "path"], "left").withColumn("host_posterior", F.coalesce("host_posterior", F.lit(mean)))
         df = df.withColumn("path_posterior", F.coalesce("path_posterior", "host_posterior"))
-        safe = lambda x: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), x))
-        logit = lambda x: F.log(safe(x) / (1 - safe(x)))
-        at = slope * F.col("evidence") + base + logit(F.col("path_posterior")) - logit(F.lit(mean))
-        return df.withColumn("score", 1 / (1 + F.exp(-at)))
+        return df.withColumn("score", 1 / (1 + F.exp(logit(F.lit(mean)) - logit(F.col("path_posterior")) - of_text)))
 
-    level = F.floor((1 - F.col("score")) * (SCORE_BINS - 1)).cast("int")
+    # Bins by the logarithm of −ln(score), so that scores near 1 are told apart.
+    level = F.least(F.lit(SCORE_BINS - 1), F.floor(F.log1p(-1000 * F.log(F.greatest(F.lit(1e-300), F.col("score")))) * 80)).cast("int")
     good_by, bad_by = [0] * SCORE_BINS, [0] * SCORE_BINS
     for r in scored(held).groupBy(level.alias("bin")).agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b")).collect():
         good_by[r["bin"]], bad_by[r["bin"]] = r["g"], r["b"]
-    worst = histogram_threshold(good_by, bad_by, p.most_good_lost) if both else None
-    return scored(weighed(read)).select("doc_id", "evidence", "host_posterior", "path_posterior", "score", (F.lit(True) if worst is None else level < worst).alias("kept"))
+    worst = histogram_threshold(good_by, bad_by, p.most_good_lost) if lines else None
+    return scored(weighed(read)).select("doc_id", *(f"{k}_evidence" for k in PARTS), "host_posterior", "path_posterior", "score", (F.lit(True) if worst is None else level < worst).alias("kept"))
 
 
 def strength_from(n: float, nn: float, inside: float, spread: float, var: float) -> float:

@@ -552,3 +552,53 @@ def test_sites_shrink_and_reject_bad_words(spark):
     none = sites.classify(docs_of(spark, texts), labels.limit(0)).collect()
     assert all(r["kept"] and abs(r["score"] - 0.5) < 1e-9 for r in none)
     assert sites.strength_from(0, 0, 0, 0, 0) == 10_000.0
+
+
+def posteriors_by_hand(rows):
+    """(host, path) → (host posterior, path posterior) from (host, path, good), by the formulas of the method of moments."""
+    mean = np.mean([g for *_, g in rows])
+
+    def shrink(groups, parent):
+        n = {k: len(v) for k, v in groups.items()}
+        total = sum(n.values())
+        between = (sum(n[k] * (np.mean(groups[k]) - parent(k)) ** 2 for k in n) - sum(parent(k) * (1 - parent(k)) for k in n)) / (total - sum(x * x for x in n.values()) / total)
+        within = sum(n[k] * parent(k) * (1 - parent(k)) for k in n) / total
+        s = min(1e4, max(1.0, within / between - 1)) if between > 0 else 1e4
+        return {k: (sum(groups[k]) + s * parent(k)) / (n[k] + s) for k in n}
+
+    hosts, paths = {}, {}
+    for h, q, g in rows:
+        hosts.setdefault(h, []).append(g)
+        paths.setdefault((h, q), []).append(g)
+    of_host = shrink(hosts, lambda h: mean)
+    of_path = shrink(paths, lambda k: of_host[k[0]])
+    return mean, of_host, of_path
+
+
+def test_site_posteriors_equal_brute_force_and_decide(spark):
+    rng = random.Random(13)
+    hosts = [f"h{i}" for i in range(10)]
+    rows = []
+    for i in range(1500):
+        h = rng.choice(hosts)
+        q = rng.choice(["a", "a", "a", "b", None])
+        bad = h == "h0" or rng.random() < 0.05 or (h == "h1" and q == "b" and rng.random() < 0.9)
+        rows.append((i, prose(rng, 60), q, h, int(not bad)))
+    rows += [(1500, prose(rng, 60), "never", "h0", None), (1501, prose(rng, 60), "a", "unseen", None), (1502, prose(rng, 60), "a", None, None)]
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(r[0], r[4], 0) for r in rows if r[4] is not None and r[0] % 10], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in sites.classify(docs, labels).collect()}
+    later = {r[0] for r in spark.range(1500).selectExpr("id", "pmod(xxhash64(id), 4) = 0 l").where("l").collect()}
+    mean, of_host, of_path = posteriors_by_hand([(h, q, g) for i, _, q, h, g in rows[:1500] if i % 10 and i not in later])
+    for i, _, q, h, _ in rows:
+        host = of_host.get(h, mean)
+        assert np.isclose(got[i]["host_posterior"], host) and np.isclose(got[i]["path_posterior"], of_path.get((h, q), host)), (i, h, q)
+    # Unlabelled documents of the bad host go, of others they stay; a sparse path is nearer to its host than its own share is.
+    assert not any(got[i]["kept"] for i in range(0, 1500, 10) if rows[i][3] == "h0") and not got[1500]["kept"] and got[1501]["kept"] and got[1502]["kept"]
+    assert sum(not got[i]["kept"] for i in range(0, 1500, 10) if rows[i][3] not in ("h0", "h1")) <= 2
+
+
+def test_sites_of_empty_tables_and_very_long_texts(spark):
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, [" ".join(f"w{i}" for i in range(400_000)), "a"])
+    assert sites.classify(docs.limit(0), labels).count() == 0 and sites.classify(docs, labels).count() == 3
