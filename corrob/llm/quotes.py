@@ -1,13 +1,17 @@
 """Quotation linking in conversations: nested quotes back to the messages they are from. DataFrame functions only.
 
-A line's quote level is the number of ``>`` at its start. Runs of non-blank lines of one level are passages, and all
-lines of a level together are one more; they are normalised (A-Z lower-cased, other characters than letters and digits
-as one space) and hashed. A quoted passage links to the latest earlier turn of its conversation that has the passage
-unquoted. A message answers the linked turn of its least quote level, the latest of several. Chains of answers are
-followed by pointer doubling, and each thread is put in order of turns, in which answers follow what they answer.
-
-Equal rows are one message. Null text counts as empty. Messages with null conv_id or turn are threads of their own.
-Empty passages don't link. An empty table gives an empty result; other columns are not read.
+A line's quote level is the number of ``>`` at its start. Passages of a message are all its lines of a level together,
+runs of non-blank lines of one level, single lines, and sentences of runs, so a message that quotes a part, or breaks
+its lines anew, links as well. They are normalised (A-Z lower-cased, other characters than letters and digits as one
+space) and hashed. A quoted passage links to the latest earlier turn of its conversation that has the passage unquoted.
+A message answers a turn that a passage of its least linked quote level links to: that of the longest passage, the
+latest of several. Chains of answers are followed by pointer doubling, and each thread is put in order of turns, in
+which answers follow what they answer. Bodies are without quotes and without the lines that announce one (``On … wrote:``).
+
+Turns of a conversation are compared in cells of CELL turns, so a passage that many messages of one conversation share
+isn't sorted in one task. Equal rows are one message. Null text counts as empty. Messages with null conv_id or turn are
+threads of their own. Empty passages don't link. Very long texts are read whole. An empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from corrob.llm.common import stash
 from corrob.llm.urls import LOWER, UPPER
 
 MARKS = r"^[ \t]*>[> \t]*"
+#: A line that announces the quote after it, in the languages of mail programs.
+ANNOUNCES = r"(?i)^\s*(?:(?:on|am|le|el|il|em|op)\b.{0,200}\b(?:wrote|schrieb\b.{0,100}|a écrit|escribió|ha scritto|escreveu|schreef\b.{0,100})|.{1,100}\b(?:wrote|writes|schrieb|a écrit|escribió))\s*:\s*$"
 #: Turns that are sorted together at most within a thread.
 CELL = 1024
 
@@ -28,23 +34,48 @@ def normalised(text: Column) -> Column:
 
 
 def body_of(text: Column) -> Column:
-    """The text without quoted lines and without blank lines at its ends."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: ~x.rlike(MARKS))
-    return F.regexp_replace(F.array_join(lines, "\n"), r"^\s+|\s+$", "")
+    """The text without quoted lines, lines that announce them, and blank lines at its ends."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    quoted = lambda x: F.coalesce(x.rlike(MARKS), F.lit(False))
+
+    def own(x: Column, i: Column) -> Column:
+        after = F.get(lines, i + 1)
+        after = F.when(F.trim(after) == "", F.get(lines, i + 2)).otherwise(after)
+        return ~quoted(x) & ~(x.rlike(ANNOUNCES) & quoted(after))
+
+    return F.regexp_replace(F.array_join(F.filter(lines, own), "\n"), r"^\s+|\s+$", "")
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, level, hash: the different passages of messages."""
+    """conv_id, turn, level, size, hash: the different passages of messages."""
     marks = F.regexp_extract("line", MARKS, 0)
     lines = messages.select("conv_id", "turn", F.md5("text").alias("m"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.select("conv_id", "turn", "m", "at", F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), normalised(F.regexp_replace("line", MARKS, "")).alias("said"))
+    raw = F.regexp_replace("line", MARKS, "")
+    lines = lines.select("conv_id", "turn", "m", "at", F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), raw.alias("raw"), normalised(raw).alias("said"))
     own = Window.partitionBy("conv_id", "turn", "m").orderBy("at")
     breaks = (F.col("said") == "") | (F.lag("said", 1, "").over(own) == "") | (F.lag("level").over(own) != F.col("level"))
     runs = lines.withColumn("run", F.sum(F.coalesce(breaks, F.lit(True)).cast("int")).over(own)).where("said <> ''")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]), " ")  # one message's lines
-    each = runs.groupBy("conv_id", "turn", "m", "level", "run").agg(joined.alias("said"))
-    whole = runs.groupBy("conv_id", "turn", "m", "level").agg(joined.alias("said")).withColumn("run", F.lit(-1).cast("long"))
-    return each.unionByName(whole).select("conv_id", "turn", "level", F.sha2("said", 256).alias("hash")).distinct()
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", c))), lambda x: x[c]), " ")  # noqa: E731 (one message's lines)
+    key = ["conv_id", "turn", "m", "level"]
+    each = runs.groupBy(*key, "run").agg(joined("said").alias("said"), joined("raw").alias("raw"), F.collect_set("said").alias("lines"))
+    sentences = F.transform(F.split("raw", r"(?<=[.!?。！？])\s+"), normalised)
+    parts = each.select(*key, F.explode(F.array_union(F.concat(F.array("said"), "lines"), sentences)).alias("said"))
+    whole = runs.groupBy(*key).agg(joined("said").alias("said"))
+    all_ = parts.unionByName(whole).where("said <> ''")
+    return all_.select("conv_id", "turn", "level", F.length("said").alias("size"), F.sha2("said", 256).alias("hash")).distinct()
+
+
+def latest_before(found: DataFrame) -> DataFrame:
+    """``found`` (conv_id, hash, turn, origin) with ``parent``: the greatest origin among rows of its passage at lower turns."""
+    cell = F.floor(F.col("turn") / CELL)
+    rows = found.withColumn("__cell", cell)
+    inside = Window.partitionBy("conv_id", "hash", "__cell").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("__conv", "__hash").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(F.col("conv_id").alias("__conv"), F.col("hash").alias("__hash"), F.col("__cell").alias("__at")).agg(F.max("origin").alias("__last"))
+    cells = cells.withColumn("__earlier", F.max("__last").over(before)).where("__earlier is not null").drop("__last")
+    same = (F.col("conv_id") == F.col("__conv")) & (F.col("hash") == F.col("__hash")) & (F.col("__cell") == F.col("__at"))
+    marked = rows.withColumn("__inside", F.max("origin").over(inside)).join(cells, same, "left")
+    return marked.withColumn("parent", F.coalesce("__inside", "__earlier")).select(*found.columns, "parent")
 
 
 def answers(messages: DataFrame) -> DataFrame:
@@ -53,9 +84,8 @@ def answers(messages: DataFrame) -> DataFrame:
     quoting = known.where(F.col("text").rlike("(?m)" + MARKS))
     concerned = known.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")
     found = passages(concerned).withColumn("origin", F.when(F.col("level") == 0, F.col("turn")))
-    earlier = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    linked = found.withColumn("parent", F.max("origin").over(earlier)).where("level > 0 and parent is not null")
-    return linked.groupBy("conv_id", "turn").agg(F.max_by("parent", F.struct(-F.col("level"), "parent")).alias("parent"))
+    linked = latest_before(found).where("level > 0 and parent is not null")
+    return linked.groupBy("conv_id", "turn").agg(F.max_by("parent", F.struct(-F.col("level"), "size", "parent")).alias("parent"))
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -66,7 +96,7 @@ def roots(parents: DataFrame) -> DataFrame:
         after = now.join(step, ["conv_id", "to"], "left")
         if after.where("next is not null").isEmpty():
             return now.select("conv_id", "turn", "parent", F.col("to").alias("thread_root"), F.col("hops").alias("depth"))
-        now = stash(after.select("conv_id", "turn", "parent", F.coalesce("next", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "answers")
+        now = stash(after.select("conv_id", "turn", "parent", F.coalesce("next", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "answers", instead_of=now)
 
 
 def threads(conversations: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """The native operators: URL rules and models, and quotation threads."""
 
+import random
+import re
+
 from corrob.llm import quotes, urls
 
 
@@ -113,6 +116,86 @@ def test_quotes_link_to_the_latest_earlier_message(spark):
     assert quotes.threads(talk(spark, rows).limit(0)).count() == 0
 
 
+def norm_by_hand(t):
+    return " ".join(re.findall(r"[^\W_]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)))
+
+
+def passages_by_hand(text):
+    """{(level, normalised passage)} of one message, line by line."""
+    lines = []
+    for line in (text or "").split("\n"):
+        m = re.match(r"[ \t]*>[> \t]*", line)
+        lines.append((m[0].count(">") if m else 0, line[m.end() :] if m else line))
+    out, runs, last = set(), [], None
+    for level, raw in lines:
+        if not norm_by_hand(raw):
+            last = None
+            continue
+        if level != last:
+            runs.append((level, []))
+        runs[-1][1].append(raw)
+        last = level
+        out.add((level, norm_by_hand(raw)))
+    for level, raws in runs:
+        out.add((level, norm_by_hand(" ".join(raws))))
+        out |= {(level, norm_by_hand(x)) for x in re.split(r"(?<=[.!?。！？])\s+", " ".join(raws))}
+    for level in {k for k, _ in runs}:
+        out.add((level, norm_by_hand(" ".join(r for k, raws in runs if k == level for r in raws))))
+    return {(k, x) for k, x in out if x}
+
+
+def parents_by_hand(rows):
+    out = {}
+    for conv, turn, _, text in rows:
+        best = None
+        for level, said in passages_by_hand(text):
+            fits = [t for c, t, _, x in rows if c == conv and t < turn and (0, said) in passages_by_hand(x)]
+            if level and fits:
+                best = max(filter(None, [best, (-level, len(said), max(fits))]))
+        out[conv, turn] = best and best[2]
+    return out
+
+
+def test_parts_of_messages_link(spark):
+    rows = [
+        (1, 0, "user", "The first line.\nThe second one is here. And a third sentence\nthat goes on."),
+        (1, 1, "assistant", "> The first line.\nYes."),
+        (1, 2, "user", "On Monday Ann wrote:\n> And a third\n> sentence that goes on.\nNo."),
+        (1, 3, "user", "Am Montag schrieb Ann:\n\n> No.\n\nSo Ann wrote:\nher book."),
+        (1, 4, "user", "> Yes.\n> The first line.\nHm."),
+    ]
+    got = {r["turn"]: r for r in quotes.threads(talk(spark, rows)).collect()}
+    assert {t: r["parent_turn"] for t, r in got.items()} == {0: None, 1: 0, 2: 0, 3: 2, 4: 0}
+    assert got[2]["body"] == "No." and got[3]["body"] == "So Ann wrote:\nher book."
+
+
+def test_parents_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(17)
+    monkeypatch.setattr(quotes, "CELL", 4)
+    rows = []
+    for conv in range(6):
+        said = []
+        for turn in range(25):
+            text = ""
+            for _ in range(rng.randrange(0, 3)):
+                if said:
+                    part = rng.choice(said).split("\n")
+                    a = rng.randrange(len(part))
+                    text += "\n".join(rng.choice([">", "> ", ">> ", " > > "]) + x for x in part[a : a + rng.randrange(1, 4)]) + "\n"
+            text += "\n".join(" ".join(f"w{rng.randrange(6)}" for _ in range(rng.randrange(1, 4))) + rng.choice(["", ".", "!"]) for _ in range(rng.randrange(0, 4)))
+            said.append(text)
+            rows.append((conv, turn, "user", text))
+    got = {(r["conv_id"], r["turn"]): r["parent_turn"] for r in quotes.threads(talk(spark, rows)).collect()}
+    assert got == parents_by_hand(rows) and sum(v is not None for v in got.values()) > 40
+
+
+def test_very_long_messages(spark):
+    line = "one statement of many"
+    rows = [(1, 0, "user", "\n".join(f"{line} {i}." for i in range(20_000))), (1, 1, "user", f"> {line} 19999.\nok")]
+    got = {r["turn"]: r for r in quotes.threads(talk(spark, rows)).collect()}
+    assert got[1]["parent_turn"] == 0 and got[1]["body"] == "ok" and len(got[0]["body"]) == len(rows[0][3])
+
+
 def test_long_chain_of_answers(spark):
     rows = [(9, 0, "user", "statement number 0")] + [(9, i, "user", f"> statement number {i - 1}\nstatement number {i}") for i in range(1, 40)]
     got = {r["turn"]: r for r in quotes.threads(talk(spark, rows)).collect()}
