@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corrob.functions.columns import clamp, half_up, half_up_int
 from corrob.operators import series
 from corrob.operators.aggregate import concentration_tier, hhi
+from corrob.sources.shared import stash
 
 # Weights of the score, in the order of the pressures.
 WEIGHTS = (("conflict", 0.25, "conflict pressure"), ("inflow", 0.25, "inbound precursor pressure"), ("outflow", 0.2, "seized outbound flow"), ("activity", 0.2, "synthetic-drug activity"), ("opium", 0.1, "opium cultivation"))
@@ -167,32 +168,49 @@ def momentum(e: Evidence) -> DataFrame:
     return a.unionByName(e.outflows.select("region", "year", (F.col("qty") * 0.1).alias("m"))).groupBy("region", "year").agg(F.sum("m").alias("m"))
 
 
-def risk_briefing(e: Evidence, year: int, p: RiskParams = RiskParams()) -> DataFrame:
-    """The whole briefing: one row per region."""
+def with_confidence(base: DataFrame, e: Evidence, year: int, p: RiskParams = RiskParams()) -> DataFrame:
+    """``base`` (pressures of the year) with source diversity, notes, staleness and the confidence score."""
     now = e.of(year)
-    base = pressures(now)
     stale = series.staleness([e.stats, e.conflicts, e.inflows, e.outflows], ["region"], "year", year)
     b = base.join(source_diversity(now), "region", "left").fillna(0, ["source_diversity", "raw_names", "reliability"]).fillna("unverified", ["verification"])
     b = b.join(notes_by_region(conflict_notes(now, p)), "region", "left").join(stale, "region", "left").fillna("no-data", ["staleness"])
-    b = b.join(series.trajectory(momentum(e), ["region"], "year", "m", year), "region", "left").fillna("insufficient-data", ["trajectory"])
     penalty = F.when(F.col("staleness") == "stale", p.stale_penalty).when(F.col("staleness") == "aging", p.aging_penalty).otherwise(0.0)
     b = b.withColumn("has_conflict", F.col("notes").isNotNull())
     confidence = (
         F.least(F.lit(100), F.col("evidence") * 16) * 0.45 + F.least(F.lit(100), F.col("source_diversity") * 34) * 0.35 * (0.5 + 0.5 * F.col("reliability"))
         + F.when(F.col("has_stat"), 20.0).otherwise(0.0) - F.when(F.col("has_conflict"), p.conflict_penalty).otherwise(0.0) - penalty
     )
-    b = b.withColumn("confidence_score", half_up_int(clamp(confidence, 0.0, 100.0)))
-    for side, df, key in (("inflow", now.inflows, "origin"), ("outflow", now.outflows, "corridor")):
+    return b.withColumn("confidence_score", half_up_int(clamp(confidence, 0.0, 100.0)))
+
+
+def corridors(regions: DataFrame, e: Evidence) -> DataFrame:
+    """Per region: concentration, tier, dominant side and its share, of inflows and of outflows. ``e`` is of one year."""
+    out = regions.select("region")
+    for side, df, key in (("inflow", e.inflows, "origin"), ("outflow", e.outflows, "corridor")):
         h = hhi(df, ["region"], key, "qty").select("region", F.col("hhi").alias(f"{side}_hhi"), F.col("dominant").alias(f"{side}_dominant"), F.col("dominant_share").alias(f"{side}_share"))
-        b = b.join(h, "region", "left").withColumn(f"{side}_tier", concentration_tier(F.col(f"{side}_hhi")))
-    scores = base.select("region", "risk_score")
+        out = out.join(h, "region", "left").withColumn(f"{side}_tier", concentration_tier(F.col(f"{side}_hhi")))
+    return out
+
+
+def watches(scores: DataFrame, e: Evidence, p: RiskParams = RiskParams()) -> DataFrame:
+    """Spillover and actor watches per region, and whether both warn. ``e`` is of one year."""
+    both = spillover(scores, e.adjacency, p).join(actor_network(scores, e.conflicts, p), "region")
+    return both.withColumn("compound_warning", F.col("spillover_watch") & F.col("actor_watch"))
+
+
+def risk_briefing(e: Evidence, year: int, p: RiskParams = RiskParams()) -> DataFrame:
+    """The whole briefing: one row per region."""
+    now = e.of(year)
+    base = stash(pressures(now), "pressures")  # a row per region, which every part below starts from
+    b = with_confidence(base, e, year, p).join(corridors(e.regions, now), "region")
+    b = b.join(series.trajectory(momentum(e), ["region"], "year", "m", year), "region", "left").fillna("insufficient-data", ["trajectory"])
     b = b.join(fragility(base, now, p).withColumnRenamed("family", "fragile_family").withColumnRenamed("drop", "fragile_drop"), "region", "left").fillna(False, ["fragile"])
-    b = b.join(spillover(scores, e.adjacency, p), "region").join(actor_network(scores, now.conflicts, p), "region")
+    b = b.join(watches(base.select("region", "risk_score"), now, p), "region")
     return b.select(
         "region", F.lit(year).alias("year"), "risk_score", "confidence_score", "source_diversity", "raw_names", "evidence", *(half_up_int(F.col(k)).alias(k) for k in ("conflict", "inflow", "outflow", "activity")), "ha",
         F.array_join(drivers(), ", ").alias("drivers"), "verification", "has_conflict", F.array_join(F.coalesce("notes", F.array().cast("array<string>")), "; ").alias("notes"), half_up(F.col("reliability"), 2).alias("reliability"),
         "trajectory", "change_pct", "baseline_year", "latest", "age", "staleness", "inflow_hhi", "inflow_tier", "inflow_dominant", "inflow_share", "outflow_hhi", "outflow_tier", "outflow_dominant", "outflow_share",
-        "fragile", "fragile_family", "fragile_drop", "neighbor", "neighbor_score", "spillover_watch", "actor", "actor_region", "actor_score", "actor_watch", (F.col("spillover_watch") & F.col("actor_watch")).alias("compound_warning"),
+        "fragile", "fragile_family", "fragile_drop", "neighbor", "neighbor_score", "spillover_watch", "actor", "actor_region", "actor_score", "actor_watch", "compound_warning",
     )
 
 

@@ -16,9 +16,17 @@ P = R.RiskParams(high=65, gap=8)
 
 
 def evidence(spark, d) -> R.Evidence:
-    """Evidence tables; flows are aggregated and written once, as the briefing reads them many times."""
-    inflows, outflows = stash(V.inflows(spark, d), "inflows"), stash(V.outflows(spark, d), "outflows")
-    return R.Evidence(V.regions(spark, d).select("region"), V.stats(spark, d), V.conflicts(spark, d), inflows, outflows, V.adjacency(spark, d))
+    """Evidence tables up to YEAR; each is aggregated or selected and written once, as the briefing reads them many times."""
+    known = lambda df, name: stash(df.where(F.col("year") <= YEAR), name)
+    inflows, outflows = known(V.inflows(spark, d), "inflows"), known(V.outflows(spark, d), "outflows")
+    conflicts = known(V.conflicts(spark, d), "conflicts")
+    return R.Evidence(V.regions(spark, d).select("region"), known(V.stats(spark, d), "stats"), conflicts, inflows, outflows, V.adjacency(spark, d))
+
+
+def evidence_now(spark, d) -> R.Evidence:
+    """Evidence of YEAR alone, as plans: for queries that read each table once."""
+    tables = V.stats(spark, d), V.conflicts(spark, d), V.inflows(spark, d), V.outflows(spark, d)
+    return R.Evidence(V.regions(spark, d).select("region"), *tables, V.adjacency(spark, d)).of(YEAR)
 
 
 _W = "greatest(0.0::double, least(100.0::double, {c} * 0.25::double + {i} * 0.25::double + {o} * 0.2::double + activity * 0.2::double + opium * 0.1::double))"
@@ -76,27 +84,28 @@ briefing as (select region, {YEAR} as "year", risk_score, confidence_score, coal
 
 @query("r1_pressures", f"with {RISK} select region, floor(conflict * 100 + 0.5) / 100 conflict, floor(inflow * 100 + 0.5) / 100 inflow, floor(outflow * 100 + 0.5) / 100 outflow, activity, floor(opium * 100 + 0.5) / 100 opium from base")
 def r1(spark, d):
-    return R.pressures(evidence(spark, d).of(YEAR)).select("region", *(half_up(F.col(k), 2).alias(k) for k in ("conflict", "inflow", "outflow", "activity", "opium")))
+    return R.pressures(evidence_now(spark, d)).select("region", *(half_up(F.col(k), 2).alias(k) for k in ("conflict", "inflow", "outflow", "activity", "opium")))
 
 
 @query("r2_risk_score", f"with {RISK} select region, risk_score from base")
 def r2(spark, d):
-    return R.pressures(evidence(spark, d).of(YEAR)).select("region", "risk_score")
+    return R.pressures(evidence_now(spark, d)).select("region", "risk_score")
 
 
 @query("r3_source_diversity", f"with {RISK} select region, source_diversity, raw_names, floor(reliability * 10000 + 0.5) / 10000 reliability from diversity")
 def r3(spark, d):
-    return R.source_diversity(evidence(spark, d).of(YEAR)).select("region", "source_diversity", "raw_names", half_up(F.col("reliability"), 4).alias("reliability"))
+    return R.source_diversity(evidence_now(spark, d)).select("region", "source_diversity", "raw_names", half_up(F.col("reliability"), 4).alias("reliability"))
 
 
 @query("r4_verification_tier", f"with {RISK} select verification, count(*) n from diversity group by verification")
 def r4(spark, d):
-    return R.source_diversity(evidence(spark, d).of(YEAR)).groupBy("verification").agg(F.count(F.lit(1)).alias("n"))
+    return R.source_diversity(evidence_now(spark, d)).groupBy("verification").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("r5_confidence", f"with {RISK} select region, confidence_score from conf")
 def r5(spark, d):
-    return R.risk_briefing(evidence(spark, d), YEAR, P).select("region", "confidence_score")
+    e = evidence(spark, d)
+    return R.with_confidence(R.pressures(e.of(YEAR)), e, YEAR, P).select("region", "confidence_score")
 
 
 @query("r6_weighted_disagreement", f"with {V.EVIDENCE}, g as (select region, product, year, count(distinct family) families, sum(qty * reliability) / sum(reliability) mean, max(qty) hi, min(qty) lo from inflows group by all) select region, product, year, families, floor(mean * 100 + 0.5) / 100 mean, cast(floor(greatest(hi - mean, mean - lo) / mean * 100 + 0.5) as bigint) deviation_pct from g where families >= 2 and mean > 0 and greatest(hi - mean, mean - lo) / mean > 0.5")
@@ -106,12 +115,13 @@ def r6(spark, d):
 
 @query("r7_conflict_notes", f"with {RISK} select region, \"set\", \"key\", families, deviation_pct from notes")
 def r7(spark, d):
-    return R.conflict_notes(evidence(spark, d).of(YEAR))
+    return R.conflict_notes(evidence_now(spark, d))
 
 
 @query("r8_corridor_hhi", f"with {RISK} select region, inflow_hhi, inflow_dominant, inflow_share, outflow_hhi, outflow_dominant, outflow_share from tiers")
 def r8(spark, d):
-    return R.risk_briefing(evidence(spark, d), YEAR, P).select("region", *(f"{s}_{k}" for s in ("inflow", "outflow") for k in ("hhi", "dominant", "share")))
+    e = evidence_now(spark, d)
+    return R.corridors(e.regions, e).select("region", *(f"{s}_{k}" for s in ("inflow", "outflow") for k in ("hhi", "dominant", "share")))
 
 
 @query("r9_single_source_fragility", f"with {RISK} select * from frag")
@@ -121,7 +131,8 @@ def r9(spark, d):
 
 
 def _scores(spark, d):
-    return R.pressures(evidence(spark, d).of(YEAR)).select("region", "risk_score")
+    """A row per region, written once: watches read it several times."""
+    return stash(R.pressures(evidence_now(spark, d)).select("region", "risk_score"), "scores")
 
 
 @query("r10_spillover_watch", f"with {RISK} select * from near")
@@ -136,7 +147,8 @@ def r11(spark, d):
 
 @query("r12_compound_warning", f"with {RISK} select region, spillover_watch and actor_watch compound_warning from near join net using (region)")
 def r12(spark, d):
-    return R.risk_briefing(evidence(spark, d), YEAR, P).select("region", "compound_warning")
+    e = evidence_now(spark, d)
+    return R.watches(_scores(spark, d), e, P).select("region", "compound_warning")
 
 
 @query("r13_readiness", f"""with {RISK} select cast(floor(count(*) filter (evidence > 1 and source_diversity > 0)::double / count(*) * 100 + 0.5) as bigint) provenance_pct, count(*) filter (source_diversity >= 2) multi_source, count(*) filter (risk_score >= {P.high}) high_risk, cast(sum(evidence) as bigint) evidence, count(*) filter (has_conflict) conflicted,
@@ -153,7 +165,7 @@ def r14(spark, d):
 
 @query("k4_top_drivers", f"with {RISK} select * from ranked_drivers")
 def k4(spark, d):
-    return R.pressures(evidence(spark, d).of(YEAR)).select("region", F.array_join(R.drivers(), ", ").alias("drivers"))
+    return R.pressures(evidence_now(spark, d)).select("region", F.array_join(R.drivers(), ", ").alias("drivers"))
 
 
 @query("j8_spine_join", f"with {V.EVIDENCE}, x as (select region, count(*) n from conflicts where intensity > 97 group by region) select region, coalesce(n, 0) n from regions left join x using (region)")

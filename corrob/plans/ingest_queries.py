@@ -200,7 +200,7 @@ def s5(spark, d):
 
 @query("s6_decode_dictionary", f"with {V.FLOWS} select origin, product, cast(sum(qty) as bigint) qty from flows group by all")
 def s6(spark, d):
-    f = V.flows(spark, d)
+    f = V.flows(spark, d, "origin product orderkey qty")
     rows, products = files.encode_dictionary(f.withColumn("at", F.col("orderkey")), "product", "at")
     rows, origins = files.encode_dictionary(rows.withColumnRenamed("code", "product_code"), "origin", "at")
     coded = rows.withColumnRenamed("code", "origin_code").groupBy("product_code", "origin_code").agg(F.sum("qty").alias("qty"))
@@ -253,7 +253,7 @@ def s12(spark, d):
 
 @query("j1_price_purity", f"with {V.FLOWS} select a.*, b.purity from (select origin, product, year, floor(avg(cents) / 100 * 100 + 0.5) / 100 price from flows group by all) a left join (select origin, product, year, floor(avg(100 - disc) * 100 + 0.5) / 100 purity from flows where size < 3 group by all) b using (origin, product, year)")
 def j1(spark, d):
-    f, keys = V.flows(spark, d), ["origin", "product", "year"]
+    f, keys = V.flows(spark, d, "origin product year cents disc size"), ["origin", "product", "year"]
     return f.groupBy(*keys).agg(half_up(F.avg("cents") / 100, 2).alias("price")).join(f.where("size < 3").groupBy(*keys).agg(half_up(F.avg(100 - F.col("disc")), 2).alias("purity")), keys, "left")
 
 
@@ -265,7 +265,7 @@ def j2(spark, d):
 
 @query("j3_collected_sides", f"with {V.FLOWS} select c_custkey, coalesce(array_to_string(cs, '|'), '') countries, coalesce(array_to_string(ps, '|'), '') products from customer left join (select cust, list_sort(list(distinct origin)) cs from flows where year = 1999 group by cust) a on a.cust = c_custkey left join (select cust, list_sort(list(distinct product)) ps from flows where year = 2000 group by cust) b on b.cust = c_custkey")
 def j3(spark, d):
-    f = V.flows(spark, d)
+    f = V.flows(spark, d, "cust year origin product")
     side = lambda y, c, n: f.where(F.col("year") == y).groupBy(F.col("cust").alias("c_custkey")).agg(F.array_join(F.array_sort(F.collect_set(c)), "|").alias(n))
     out = V.table(spark, d, "customer").select("c_custkey").join(side(1999, "origin", "countries"), "c_custkey", "left").join(side(2000, "product", "products"), "c_custkey", "left")
     return out.fillna("", ["countries", "products"])
@@ -273,7 +273,7 @@ def j3(spark, d):
 
 @query("j4_full_outer_movers", f"with {V.FLOWS} select coalesce(a.cust, b.cust) cust, coalesce(x, 0) x, coalesce(y, 0) y from (select cust, cast(sum(qty) as bigint) x from flows where year = 1996 group by cust) a full join (select cust, cast(sum(qty) as bigint) y from flows where year = 2000 group by cust) b on a.cust = b.cust")
 def j4(spark, d):
-    f = V.flows(spark, d)
+    f = V.flows(spark, d, "cust year qty")
     at = lambda y, n: f.where(F.col("year") == y).groupBy("cust").agg(F.sum("qty").alias(n))
     return at(1996, "x").join(at(2000, "y"), "cust", "full").fillna(0, ["x", "y"])
 

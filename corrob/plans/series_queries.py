@@ -14,12 +14,12 @@ YEARLY = V.FLOWS + ", yearly as (select dest, product, year, cast(sum(qty) as bi
 
 
 def yearly(spark, d):
-    return V.flows(spark, d).groupBy("dest", "product", "year").agg(F.sum("qty").alias("v"))
+    return V.flows(spark, d, "dest product year qty").groupBy("dest", "product", "year").agg(F.sum("qty").alias("v"))
 
 
 @query("w1_trend_densified", f"with {V.FLOWS}, e as (select cust, year, cast(sum(qty) as bigint) v from flows where product = 'SMALL' group by all), y as (select distinct year from e) select c.cust, y.year, coalesce(e.v, 0) as \"value\" from (select distinct cust from e) c cross join y left join e on e.cust = c.cust and e.year = y.year")
 def w1(spark, d):
-    return S.densified(V.flows(spark, d).where("product = 'SMALL'"), ["cust"], "year", "qty")
+    return S.densified(V.flows(spark, d, "cust year product qty").where("product = 'SMALL'"), ["cust"], "year", "qty")
 
 
 @query("w2_latest_yoy", f"with {V.PRICES}, r as (select *, row_number() over (partition by product, country order by year desc) rn, lead(price) over (partition by product, country order by year desc) p from prices) select product, country, year latest, case when p <> 0 then floor((price - p) / p * 100 * 10 + 0.5) / 10 end change_pct from r where rn = 1")
@@ -63,7 +63,7 @@ def w6(spark, d):
 
 @query("w7_pivot_series", f"with {V.FLOWS} select cust, year, " + ", ".join(f"cast(sum(qty) filter (product = '{p}') as bigint) {p}" for p in ("ECONOMY", "LARGE", "SMALL")) + " from flows group by cust, year")
 def w7(spark, d):
-    return V.flows(spark, d).groupBy("cust", "year").pivot("product", ["ECONOMY", "LARGE", "SMALL"]).agg(F.sum("qty"))
+    return V.flows(spark, d, "cust year product qty").groupBy("cust", "year").pivot("product", ["ECONOMY", "LARGE", "SMALL"]).agg(F.sum("qty"))
 
 
 @query("w8_trim_tail", f"with {V.OUTCOMES}, y as (select jurisdiction, year, cast(sum(deaths) as bigint) v from outcomes group by all), r as (select *, row_number() over w rn, lag(v) over w p from y window w as (partition by jurisdiction order by year)), l as (select *, max(case when rn <= 2 or v >= 0.6::double * p then rn end) over (partition by jurisdiction) last_ from r) select jurisdiction, year, v from l where rn <= last_")
@@ -74,7 +74,7 @@ def w8(spark, d):
 
 @query("w9_trend_by_group", f"with {V.FLOWS}, e as (select item, year, sum(qty) v from flows where dest = 'NATION_2' group by all), y as (select distinct year from e), s as (select g.item, y.year, coalesce(e.v, 0) v from (select distinct item from e) g cross join y left join e on e.item = g.item and e.year = y.year), h as (select item, cast(arg_min(v, year) as bigint) f, cast(arg_max(v, year) as bigint) l, cast(sum(v) as bigint) total from s group by item) select item, f as \"first\", l as \"last\", total, case when f > 0 then floor((l - f)::double / f * 100 * 10 + 0.5) / 10 end change_pct from h where total > 0")
 def w9(spark, d):
-    return S.group_trends(V.flows(spark, d).where("dest = 'NATION_2'"), "item", "year", "qty")
+    return S.group_trends(V.flows(spark, d, "dest item year qty").where("dest = 'NATION_2'"), "item", "year", "qty")
 
 
 _MOVE = "g as (select {k}, cast(sum(case when year = 1996 then qty end) as bigint) a, cast(sum(case when year = 2000 then qty end) as bigint) b from flows where year in (1996, 2000) group by {k})"
@@ -82,12 +82,12 @@ _MOVE = "g as (select {k}, cast(sum(case when year = 1996 then qty end) as bigin
 
 @query("w10_movers_abs", f"with {V.FLOWS}, {_MOVE.format(k='cust')} select cust, coalesce(a, 0) as \"before\", coalesce(b, 0) as \"after\", coalesce(b, 0) - coalesce(a, 0) change from g order by abs(coalesce(b, 0) - coalesce(a, 0)) desc, cust limit 20")
 def w10(spark, d):
-    return S.movers(V.flows(spark, d), ["cust"], "year", "qty", 1996, 2000).orderBy(F.desc(F.abs("change")), "cust").limit(20)
+    return S.movers(V.flows(spark, d, "cust year qty"), ["cust"], "year", "qty", 1996, 2000).orderBy(F.desc(F.abs("change")), "cust").limit(20)
 
 
 @query("w11_movers_rate", f"with {V.FLOWS}, {_MOVE.format(k='cust')} select cust, a as \"before\", b as \"after\", b - a change, floor((b - a)::double / a * 1000 + 0.5) / 1000 rate from g where a is not null and b is not null order by rate desc nulls last, cust limit 20")
 def w11(spark, d):
-    m = S.movers(V.flows(spark, d), ["cust"], "year", "qty", 1996, 2000, both=True)
+    m = S.movers(V.flows(spark, d, "cust year qty"), ["cust"], "year", "qty", 1996, 2000, both=True)
     return m.withColumn("rate", half_up(F.col("change") / F.col("before"), 3)).orderBy(F.desc_nulls_last("rate"), "cust").limit(20)
 
 
@@ -100,7 +100,7 @@ def w12(spark, d):
 
 @query("w13_union_axis", f"with {V.FLOWS}, a as (select 'ships' modality, year, cast(sum(qty) as bigint) v from flows where dest = 'NATION_1' and year >= 1997 group by year), b as (select 'orders' modality, cast(year(o_orderdate) as int) \"year\", count(*) v from orders where year(o_orderdate) <= 1999 group by all), u as (select * from a union all select * from b), m as (select distinct modality from u), y as (select distinct year from u) select m.modality, y.year, u.v from m cross join y left join u on u.modality = m.modality and u.year = y.year")
 def w13(spark, d):
-    a = V.flows(spark, d).where("dest = 'NATION_1' and year >= 1997").groupBy("year").agg(F.sum("qty").alias("v")).withColumn("modality", F.lit("ships"))
+    a = V.flows(spark, d, "dest year qty").where("dest = 'NATION_1' and year >= 1997").groupBy("year").agg(F.sum("qty").alias("v")).withColumn("modality", F.lit("ships"))
     b = V.table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("v")).where("year <= 1999").withColumn("modality", F.lit("orders"))
     u = a.unionByName(b)
     spine = u.select("year").distinct().select("year", F.explode(F.array(F.lit("ships"), F.lit("orders"))).alias("modality"))
@@ -119,13 +119,13 @@ def w14(spark, d):
 
 @query("k1_top_products", f"with {V.FLOWS}, g as (select dest, item, cast(sum(qty) as bigint) total from flows where year = 1999 group by all), r as (select *, cast(row_number() over (partition by dest order by total desc, item) as int) as rank from g) select * from r where rank <= 8")
 def k1(spark, d):
-    g = A.totals_by(V.flows(spark, d), ["dest", "item"], "qty", F.col("year") == 1999)
+    g = A.totals_by(V.flows(spark, d, "dest item year qty"), ["dest", "item"], "qty", F.col("year") == 1999)
     return S.top_per(g, ["dest"], [F.desc("total"), F.col("item")], 8)
 
 
 @query("k2_top_n_histogram", f"with {V.FLOWS}, g as (select item, count(*) n, arg_min(product, orderkey * 100000 + partkey) first_product from flows group by item) select item, n, first_product from g order by n desc, item limit 5")
 def k2(spark, d):
-    g = V.flows(spark, d).groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min_by("product", F.col("orderkey") * 100000 + F.col("partkey")).alias("first_product"))
+    g = V.flows(spark, d, "item product orderkey partkey").groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min_by("product", F.col("orderkey") * 100000 + F.col("partkey")).alias("first_product"))
     return g.orderBy(F.desc("n"), "item").limit(5)
 
 
@@ -145,18 +145,18 @@ def k5(spark, d):
 
 @query("k6_strongest_edges", f"with {V.FLOWS} select origin, dest, cast(sum(qty) as bigint) weight from flows group by all order by weight desc, origin, dest limit 14")
 def k6(spark, d):
-    return V.flows(spark, d).groupBy("origin", "dest").agg(F.sum("qty").alias("weight")).orderBy(F.desc("weight"), "origin", "dest").limit(14)
+    return V.flows(spark, d, "origin dest qty").groupBy("origin", "dest").agg(F.sum("qty").alias("weight")).orderBy(F.desc("weight"), "origin", "dest").limit(14)
 
 
 @query("u1_node_union", f"with {V.FLOWS} select distinct node from (select origin node from flows union all select dest from flows union all select r_name from region)")
 def u1(spark, d):
-    f = V.flows(spark, d)
+    f = V.flows(spark, d, "origin dest")
     return f.select(F.col("origin").alias("node")).unionByName(f.select(F.col("dest").alias("node"))).unionByName(V.table(spark, d, "region").select(F.col("r_name").alias("node"))).distinct()
 
 
 @query("u2_merge_notes", f"with {V.FLOWS}, n as (select dest, 1 k, 'heavy ' || item note from flows where qty >= 50 group by all union all select dest, 2, 'discount ' || product from flows where disc >= 10 group by all) select dest, string_agg(note, '; ' order by k, note) notes from n group by dest")
 def u2(spark, d):
-    f = V.flows(spark, d)
+    f = V.flows(spark, d, "dest qty item disc product")
     a = f.where("qty >= 50").select("dest", F.lit(1).alias("k"), F.concat(F.lit("heavy "), "item").alias("note"))
     b = f.where("disc >= 10").select("dest", F.lit(2).alias("k"), F.concat(F.lit("discount "), "product").alias("note"))
     # Distinct notes of one region: as many as checks and their words, not as rows.
@@ -166,7 +166,7 @@ def u2(spark, d):
 
 @query("u3_route_legs", f"with {V.FLOWS}, s as (select list_filter([origin, case when supp % 2 = 0 then 'NATION_' || (supp % 25) end, dest], lambda x: x is not null) s from flows) select distinct s[i] a, s[i + 1] b from (select s, unnest(range(1, len(s))) i from s)")
 def u3(spark, d):
-    f = V.flows(spark, d)
+    f = V.flows(spark, d, "origin dest supp")
     transit = F.when(F.col("supp") % 2 == 0, F.concat(F.lit("NATION_"), (F.col("supp") % 25).cast("string")))
     return f.select(F.explode(C.route_legs(F.col("origin"), transit, F.col("dest"))).alias("l")).select("l.a", "l.b").distinct()
 
@@ -195,7 +195,7 @@ def f10(spark, d):
 
 @query("f12_scaled_positions", f"with {V.FLOWS}, g as (select dest, year, cast(sum(qty) as bigint) v from flows group by all), m as (select *, max(v) over () mx from g) select dest, year, v, floor((case when v > 0 and mx > 0 then least(1.0, log10(v + 1) / log10(mx + 1)) else 0.0 end) * 10000 + 0.5) / 10000 log_share, floor((case when v > 0 and mx > 0 then least(1.0, sqrt(v::double / mx)) else 0.0 end) * 10000 + 0.5) / 10000 ramp from m")
 def f12(spark, d):
-    g = V.flows(spark, d).groupBy("dest", "year").agg(F.sum("qty").alias("v"))
+    g = V.flows(spark, d, "dest year qty").groupBy("dest", "year").agg(F.sum("qty").alias("v"))
     m = g.join(F.broadcast(g.agg(F.max("v").alias("mx"))), F.lit(True))  # one row
     v, mx = F.col("v").cast("double"), F.col("mx").cast("double")
     return m.select("dest", "year", "v", half_up(C.log_share(v, mx), 4).alias("log_share"), half_up(C.sqrt_ramp(v, mx), 4).alias("ramp"))
@@ -206,7 +206,7 @@ _KG = "case when t >= 1000 then printf('%.1f t', floor(t::double / 1000 * 10 + 0
 
 @query("f16_narratives", f"with {V.FLOWS}, g as (select dest, cast(sum(qty) as bigint) t, count(*) n from flows where year = 1997 group by dest), s0 as (select dest, product, sum(qty) q from flows where year = 1997 group by all), s as (select *, row_number() over (partition by dest order by q desc, product) rn from s0) select g.dest, printf('%d records report %s into %s; the largest part is %s.', n, {_KG}, g.dest, product) sentence from g join s on s.dest = g.dest and rn = 1")
 def f16(spark, d):
-    each = V.flows(spark, d).where("year = 1997").groupBy("dest", "product").agg(F.sum("qty").alias("q"), F.count(F.lit(1)).alias("n"))
+    each = V.flows(spark, d, "dest product year qty").where("year = 1997").groupBy("dest", "product").agg(F.sum("qty").alias("q"), F.count(F.lit(1)).alias("n"))
     g = each.groupBy("dest").agg(F.sum("q").alias("t"), F.sum("n").alias("n"), F.min_by("product", F.struct(-F.col("q"), "product")).alias("p"))
     return g.select("dest", F.format_string("%d records report %s into %s; the largest part is %s.", "n", C.humanize_mass(F.col("t").cast("double")), "dest", "p").alias("sentence"))
 

@@ -25,7 +25,7 @@ def pairs(spark, d):
 
 def all_readings(spark, d):
     at, b = pairs(spark, d), F.broadcast(bridge(spark))  # six rows
-    f = V.flows(spark, d).where("size < 4").groupBy(F.col("dest").alias("country"), "product", "year").agg(F.sum("qty").alias("v"))
+    f = V.flows(spark, d, "dest product year qty size").where("size < 4").groupBy(F.col("dest").alias("country"), "product", "year").agg(F.sum("qty").alias("v"))
     p = V.prices(spark, d).select("country", "product", "year", F.col("price").alias("v"))
     covered = V.table(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("country"))
     o = V.outcomes(spark, d).where("not partial").withColumnRenamed("product", "substance").join(covered.withColumnRenamed("country", "jurisdiction"), "jurisdiction")
@@ -119,7 +119,7 @@ def t7(spark, d):
 @query("t8_indexed_series", f"with {TRI}, u as (select 'seizures' modality, country, product, year, v::double v from vf union all select 'retail_price', country, product, year, v from vp union all select 'mortality', country, product, year, v from vm), f as (select *, first_value(v) over (partition by modality, country, product order by year) b from u) select modality, country, product, year, case when b > 0 then floor(v / b * 100 * 10 + 0.5) / 10 end as \"index\" from f")
 def t8(spark, d):
     b = F.broadcast(bridge(spark))
-    f = V.flows(spark, d).where("size < 4").groupBy(F.col("dest").alias("country"), "product", "year").agg(F.sum("qty").cast("double").alias("v")).withColumn("modality", F.lit("seizures"))
+    f = V.flows(spark, d, "dest product year qty size").where("size < 4").groupBy(F.col("dest").alias("country"), "product", "year").agg(F.sum("qty").cast("double").alias("v")).withColumn("modality", F.lit("seizures"))
     p = V.prices(spark, d).select("country", "product", "year", F.col("price").alias("v"), F.lit("retail_price").alias("modality"))
     covered = V.table(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("country"))
     o = V.outcomes(spark, d).where("not partial").withColumnRenamed("product", "substance").join(b, "substance").join(covered, F.col("jurisdiction") == F.col("country"))
@@ -144,7 +144,7 @@ def t10(spark, d):
 
 @query("j12_pair_scan", f"with {TRI} select p.country, p.product, count(v.v) as \"years\" from pairs p left join vf v on v.country = p.country and v.product = p.product group by all")
 def j12(spark, d):
-    f = V.flows(spark, d).where("size < 4").groupBy(F.col("dest").alias("country"), "product").agg(F.countDistinct("year").alias("years"))
+    f = V.flows(spark, d, "dest product year size").where("size < 4").groupBy(F.col("dest").alias("country"), "product").agg(F.countDistinct("year").alias("years"))
     return pairs(spark, d).join(f, ["country", "product"], "left").fillna(0, ["years"])
 
 

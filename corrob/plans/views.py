@@ -2,35 +2,53 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corrob.functions.columns import half_up
 from corrob.functions.sources import reliability_weight, source_family, tier_sql, family_sql, confidence_weight
 
 
+@functools.lru_cache(maxsize=256)
+def _schema(spark: SparkSession, path: str) -> StructType:
+    return spark.read.parquet(path).schema
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A given table. Its schema is read once a session, as a query may read a table several times."""
+    path = f"{d}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
+
 
+def flows(spark: SparkSession, d: str, columns: str) -> DataFrame:
+    """One row per line with the ``columns`` named, of: origin and dest (nations), cust, supp, product, item, year, qty, cents, disc (percent), size, orderkey, partkey.
 
-def flows(spark: SparkSession, d: str) -> DataFrame:
-    """One row per line: origin and dest (nations), cust, supp, product, item, year, qty, cents, disc (percent), size."""
+    Keys between the tables hold, so a table that gives none of the columns isn't joined at all.
+    """
     t = lambda n, *c: table(spark, d, n).select(*c)
+    wanted = columns.split()
     nation = t("nation", "n_nationkey", "n_name")
-    joined = (
-        t("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
-        .join(t("orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t("customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(t("supplier", "s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(t("part", "p_partkey", "p_type", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("origin")), "s_nationkey")
-        .join(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("dest")), "c_nationkey")
-    )
-    return joined.select(
-        "origin", "dest", F.col("c_custkey").alias("cust"), F.col("s_suppkey").alias("supp"), F.col("p_type").alias("product"), F.col("p_brand").alias("item"),
-        F.year("l_shipdate").alias("year"), F.col("l_quantity").cast("long").alias("qty"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
-        F.round(F.col("l_discount") * 100).cast("long").alias("disc"), F.col("p_size").alias("size"), F.col("o_orderkey").alias("orderkey"), F.col("l_partkey").alias("partkey"),
-    )
+    made = {
+        "origin": F.col("origin"), "dest": F.col("dest"), "cust": F.col("o_custkey"), "supp": F.col("l_suppkey"), "product": F.col("p_type"), "item": F.col("p_brand"),
+        "year": F.year("l_shipdate"), "qty": F.col("l_quantity").cast("long"), "cents": F.round(F.col("l_extendedprice") * 100).cast("long"),
+        "disc": F.round(F.col("l_discount") * 100).cast("long"), "size": F.col("p_size"), "orderkey": F.col("l_orderkey"), "partkey": F.col("l_partkey"),
+    }
+    out = t("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
+    if {"dest", "cust"} & set(wanted):
+        out = out.join(t("orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if "dest" in wanted:
+        # A customer's nation comes with it, so that lines meet one table.
+        customer = t("customer", "c_custkey", "c_nationkey").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("dest"))
+        out = out.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    if "origin" in wanted:
+        supplier = t("supplier", "s_suppkey", "s_nationkey").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("origin"))
+        out = out.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    if {"product", "item", "size"} & set(wanted):
+        out = out.join(t("part", "p_partkey", "p_type", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    return out.select(*(made[c].alias(c) for c in wanted))
 
 
 FLOWS = """flows as (select a.n_name origin, b.n_name dest, c_custkey cust, s_suppkey supp, p_type product, p_brand item, cast(year(l_shipdate) as int) "year",
@@ -41,7 +59,7 @@ FLOWS = """flows as (select a.n_name origin, b.n_name dest, c_custkey cust, s_su
 
 def prices(spark: SparkSession, d: str) -> DataFrame:
     """product, country, year, price (a unit), purity (percent), n: means over lines."""
-    f = flows(spark, d).groupBy("product", F.col("origin").alias("country"), "year")
+    f = flows(spark, d, "product origin year cents qty disc").groupBy("product", F.col("origin").alias("country"), "year")
     return f.agg(half_up(F.sum("cents") / F.sum("qty") / 100, 2).alias("price"), half_up(100 - F.avg("disc"), 2).alias("purity"), F.count(F.lit(1)).alias("n"))
 
 
@@ -73,7 +91,7 @@ LOAD = """load as (select c_mktsegment site, n_name country, cast(year(o_orderda
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
     """entity (order), program (priority), kind (status), countries: the different nations of its suppliers."""
-    f = flows(spark, d).groupBy("orderkey").agg(F.array_sort(F.collect_set("origin")).alias("countries"))
+    f = flows(spark, d, "orderkey origin").groupBy("orderkey").agg(F.array_sort(F.collect_set("origin")).alias("countries"))
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("program"), F.col("o_orderstatus").alias("kind"))
     return o.join(f, F.col("o_orderkey") == F.col("orderkey"), "left").select(F.col("o_orderkey").alias("entity"), "program", "kind", F.coalesce("countries", F.array().cast("array<string>")).alias("countries"))
 
@@ -100,17 +118,25 @@ def _source_sql(key: str) -> str:
     return ", ".join(f"case {key} % 8 " + " ".join(f"when {i} then {q(s[k])}" for i, s in enumerate(SOURCES)) + f" end {c}" for k, c in enumerate(("source_name", "source_url")))
 
 
+@functools.lru_cache(maxsize=1)
+def source_facts(spark: SparkSession) -> DataFrame:
+    """n, u (name and URL), family, reliability: decided once a session for each of SOURCES, not once per row and query."""
+    name, url = source_columns(F.col("id"))
+    named = spark.range(len(SOURCES)).select(name.alias("n"), url.alias("u"))
+    facts = named.select("n", "u", source_family(F.col("n"), F.col("u")).alias("family"), reliability_weight(F.col("n"), F.col("u")).alias("reliability"))
+    return spark.createDataFrame(facts.collect(), facts.schema)  # eight rows
+
+
 def with_source_facts(df: DataFrame) -> DataFrame:
-    """Adds family and reliability: decided once per source, not once per row."""
-    named = df.select("source_name", "source_url").distinct()
-    facts = named.select(F.col("source_name").alias("n"), F.col("source_url").alias("u"), source_family(F.col("source_name"), F.col("source_url")).alias("family"), reliability_weight(F.col("source_name"), F.col("source_url")).alias("reliability"))
-    return df.join(facts, df["source_name"].eqNullSafe(facts["n"]) & df["source_url"].eqNullSafe(facts["u"])).drop("n", "u")
+    """Adds family and reliability."""
+    facts = source_facts(df.sparkSession)
+    return df.join(F.broadcast(facts), df["source_name"].eqNullSafe(facts["n"]) & df["source_url"].eqNullSafe(facts["u"])).drop("n", "u")  # eight rows
 
 
 def inflows(spark: SparkSession, d: str) -> DataFrame:
     """origin, region, year, product, source, confidence, qty; weighted = qty · confidence · reliability, in ten-thousandths, so that sums are exact."""
     name, url = source_columns(F.col("k"))
-    f = flows(spark, d).groupBy("origin", F.col("dest").alias("region"), "year", "product", (F.col("supp") % 7).alias("k")).agg(F.sum("qty").alias("qty"))
+    f = flows(spark, d, "origin dest year product supp qty").groupBy("origin", F.col("dest").alias("region"), "year", "product", (F.col("supp") % 7).alias("k")).agg(F.sum("qty").alias("qty"))
     f = f.select("origin", "region", "year", "product", "qty", name.alias("source_name"), url.alias("source_url"), F.when(F.col("product").isin("ECONOMY", "SMALL"), "official").when(F.col("product").isin("MEDIUM", "LARGE"), "reported").otherwise("estimated").alias("confidence"))
     return with_source_facts(f).withColumn("weighted", F.col("qty") * F.round(confidence_weight(F.col("confidence")) * F.col("reliability") * 10_000).cast("long"))
 
@@ -118,7 +144,7 @@ def inflows(spark: SparkSession, d: str) -> DataFrame:
 def outflows(spark: SparkSession, d: str) -> DataFrame:
     """region, corridor, year, product, source (null: unattributed), qty."""
     name, url = source_columns(F.col("k"))
-    f = flows(spark, d).groupBy(F.col("origin").alias("region"), F.col("dest").alias("corridor"), "year", "product", (F.col("cust") % 8).alias("k")).agg(F.sum("qty").alias("qty"))
+    f = flows(spark, d, "origin dest year product cust qty").groupBy(F.col("origin").alias("region"), F.col("dest").alias("corridor"), "year", "product", (F.col("cust") % 8).alias("k")).agg(F.sum("qty").alias("qty"))
     return with_source_facts(f.select("region", "corridor", "year", "product", "qty", name.alias("source_name"), url.alias("source_url")))
 
 
