@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,9 +146,17 @@ def content_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
 
 
-def normalize_body(x: Column, most: int = 20_000) -> Column:
-    s = F.regexp_replace(x, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(s, r"[0-9]{3,}", "#"), r"\s+", " ")), 1, most)
+#: White space as scripts of pages mean it: ASCII, Unicode separators and the byte-order mark.
+BLANKS = r"[\s\x0B\p{Z}\x{FEFF}]+"
+
+
+def normalize_body(x: Column, most: int | None = None) -> Column:
+    """Text without scripts and styles, runs of three digits and more masked, white space collapsed; its first ``most`` characters, or all."""
+    s = F.coalesce(x, F.lit(""))
+    for tag in ("script", "style"):
+        s = F.regexp_replace(s, rf"(?is)<{tag}.*?</{tag}>", " ")
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, r"[0-9]{3,}", "#"), BLANKS, " "))
+    return s if most is None else F.substring(s, 1, most)
 
 
 def strip_tags(x: Column) -> Column:
@@ -154,13 +164,18 @@ def strip_tags(x: Column) -> Column:
     s = F.regexp_replace(x, r"<[^>]+>", " ")
     for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         s = F.replace(s, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    return F.trim(F.regexp_replace(s, BLANKS, " "))
+
+
+def items_pattern(tag: str, klass: str | None = None) -> str:
+    """Elements ``tag``, their content as group 1; with ``klass``, those whose quoted class attribute has that word."""
+    has = rf"""(?=[^>]*\bclass=["'][^"']*\b{re.escape(klass)}\b[^"']*["'])""" if klass else ""
+    return rf"(?is)<{re.escape(tag)}\b{has}[^>]*>(.*?)</{re.escape(tag)}>"
 
 
 def extract_items(html: Column, tag: str, klass: str | None = None) -> Column:
-    """Stripped texts of all elements ``tag``, with a class if one is given; empty ones dropped."""
-    has = rf"(?=[^>]*class=[\"'][^\"']*\b{klass}\b)" if klass else ""
-    found = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b{has}[^>]*>(.*?)</{tag}>"), F.lit(1))
+    """Stripped texts of all elements ``tag``, with a class if one is given, in order; empty ones dropped."""
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(items_pattern(tag, klass)), F.lit(1))
     return F.filter(F.transform(found, strip_tags), lambda t: t != "")
 
 

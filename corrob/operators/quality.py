@@ -95,9 +95,12 @@ def history_gate(df: DataFrame, chain: str, order: str, kind: str, first_kind: s
     return g.select(chain, (F.col("first") == first_kind).alias("starts_right"), (F.col("n") == F.col("hashes")).alias("unique_hashes"), (F.col("back") == 0).alias("monotone"))
 
 
-def append_revision(history: DataFrame, candidates: DataFrame, chain: str, digest: str, time: str) -> DataFrame:
-    """Per candidate: ``no-op`` (the current hash), ``replay`` (an earlier one), ``backwards``, or ``append``."""
-    last = history.groupBy(chain).agg(F.max(time).alias("__last"), F.max_by(digest, time).alias("__current"))
+def append_revision(history: DataFrame, candidates: DataFrame, chain: str, digest: str, time: str, tie: str | None = None) -> DataFrame:
+    """Per candidate: ``no-op`` (the current hash), ``replay`` (an earlier one), ``backwards``, or ``append``.
+
+    ``tie`` tells which of the records of one time is the current one.
+    """
+    last = history.groupBy(chain).agg(F.max(time).alias("__last"), F.max_by(digest, F.struct(time, tie) if tie else F.col(time)).alias("__current"))
     seen = history.select(chain, digest).distinct().withColumn("__seen", F.lit(True))
     c = candidates.join(last, chain, "left").join(seen, [chain, digest], "left")
     what = F.when(F.col(digest) == F.col("__current"), "no-op").when(F.col("__seen"), "replay").when(F.col(time) <= F.col("__last"), "backwards").otherwise("append")

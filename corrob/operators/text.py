@@ -2,27 +2,48 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrob.functions.columns import content_key, extract_items, normalize_body, strip_tags
 
 
-def page_fingerprint(html: Column, tag: str = "article") -> Column:
-    """SHA-256 of the sorted items' texts, or of the stripped page where it has none; digit runs are masked."""
-    items = extract_items(html, tag)
-    body = F.when(F.size(items) > 0, F.array_join(F.array_sort(items), "\x1f")).otherwise(strip_tags(normalize_body(html)))
-    return F.sha2(normalize_body(body), 256)
+def read_pages(pages: DataFrame, tag: str | None = None, klass: str | None = None, most: int | None = None) -> DataFrame:
+    """page_id, url, text, content_sha, item_sha: what a page says.
+
+    The text is that of its items (elements ``tag``, with a class if one is given) in their order or, where it has none,
+    of the whole page without tags; either is normalised last, and cut at ``most`` characters if a limit is given. The
+    fingerprint of the items doesn't depend on their order; it is empty where there are none. A null page is empty.
+    """
+    html = F.coalesce("html", F.lit(""))
+    found = pages.select("page_id", "url", "html", (extract_items(html, tag, klass) if tag else F.array().cast("array<string>")).alias("items"))
+    said = F.when(F.size("items") > 0, F.array_join("items", "\n")).otherwise(strip_tags(html))
+    each = found.select("page_id", "url", "items", normalize_body(said, most).alias("text"))
+    item_sha = F.when(F.size("items") > 0, F.sha2(F.array_join(F.array_sort("items"), "\x1f"), 256)).otherwise("")
+    return each.select("page_id", "url", "text", F.sha2("text", 256).alias("content_sha"), item_sha.alias("item_sha"))
+
+
+def page_fingerprints(pages: DataFrame, tag: str | None = None, klass: str | None = None) -> DataFrame:
+    """page_id, fingerprint: of the items, or else of the text."""
+    return read_pages(pages, tag, klass).select("page_id", F.coalesce(F.nullif("item_sha", F.lit("")), "content_sha").alias("fingerprint"))
 
 
-def keyword_observations(pages: DataFrame, keywords: list[str], before: int = 140, after: int = 180) -> DataFrame:
-    """First hit of each keyword in a page's text: page_id, keyword, excerpt, content_sha, item_sha. One row per hit."""
-    read = pages.select("page_id", "url", strip_tags(normalize_body(F.col("html"))).alias("text"), F.sha2(normalize_body(F.col("html")), 256).alias("content_sha"))
+def keyword_observations(pages: DataFrame, keywords: list[str], tag: str | None = None, klass: str | None = None, before: int = 140, after: int = 180, most: int | None = None) -> DataFrame:
+    """First hit of each keyword in a page's text: page_id, keyword, excerpt, content_sha, item_sha, fingerprint. One row per hit.
+
+    The fingerprint (of source, keyword, and items or else text) tells an observation of an earlier run again.
+    """
+    read = read_pages(pages, tag, klass, most)
     at = F.instr(F.lower("text"), F.lower("keyword"))
     hits = read.select("*", F.explode(F.array(*map(F.lit, keywords))).alias("keyword")).withColumn("at", at).where("at > 0")
     start = F.greatest(F.lit(1), F.col("at") - before)
     excerpt = F.trim(F.substring("text", start, F.col("at") - start + F.length("keyword") + after))
-    return hits.select("page_id", "keyword", excerpt.alias("excerpt"), "content_sha", content_key(F.col("url"), F.col("keyword"), excerpt).alias("item_sha"))
+    seen_as = content_key(F.col("url"), F.col("keyword"), F.coalesce(F.nullif("item_sha", F.lit("")), "content_sha"))
+    return hits.select("page_id", "keyword", excerpt.alias("excerpt"), "content_sha", "item_sha", seen_as.alias("fingerprint"))
 
 
 def dedupe_against(new: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,11 +54,21 @@ def dedupe_against(new: DataFrame, seen: DataFrame, keys: list[str]) -> DataFram
 def hash_chain(df: DataFrame, chain: str, order: str, payload: Column) -> DataFrame:
     """chain, order, previous_hash, hash: each record carries the hash of the one before.
 
-    A chain is sequential by nature: its payload hashes are gathered to one row, 64 characters a record.
+    A chain is sequential by nature. Records are sorted within partitions by chain and order, and a worker folds over
+    them with one hash in hand, so chains of any length take linear time and no memory.
     """
     each = df.select(chain, order, F.sha2(payload, 256).alias("p"))
-    rows = each.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "p"))).alias("r"))
-    start = F.array(F.struct(F.lit(None).cast(df.schema[order].dataType).alias("o"), F.lit("").alias("prev"), F.lit("").alias("hash")))
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["o"].alias("o"), F.element_at(acc, -1)["hash"].alias("prev"), F.sha2(F.concat(F.element_at(acc, -1)["hash"], x["p"]), 256).alias("hash"))))
-    chained = rows.select(chain, F.explode(F.slice(F.aggregate("r", start, step), 2, 1 << 30)).alias("__c"))
-    return chained.select(chain, F.col("__c.o").alias(order), F.col("__c.prev").alias("previous_hash"), F.col("__c.hash").alias("hash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, prev = object(), ""
+        for b in batches:
+            before, after = [], []
+            for k, p in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                prev, last = prev if k == last else "", k
+                before.append(prev)
+                prev = hashlib.sha256((prev + p).encode()).hexdigest()
+                after.append(prev)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(before, pa.string()), pa.array(after, pa.string())], names=[chain, order, "previous_hash", "hash"])
+
+    types = dict(each.dtypes)
+    return each.repartition(chain).sortWithinPartitions(chain, order, "p").mapInArrow(run, f"`{chain}` {types[chain]}, `{order}` {types[order]}, previous_hash string, hash string")

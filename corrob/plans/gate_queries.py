@@ -93,33 +93,52 @@ def g7(spark, d):
 # --- text
 
 
-_BODY = r"left(trim(regexp_replace(regexp_replace(regexp_replace({x}, '<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'gis'), '[0-9]{{3,}}', '#', 'g'), '\s+', ' ', 'g')), 20000)"
-_STRIP = r"trim(regexp_replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\s+', ' ', 'g'))"
-_TEXT = _STRIP.format(x=_BODY.format(x="html"))
+_BLANKS = r"[\s\x0B\p{{Z}}\x{{FEFF}}]+"
+_BODY = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '<script.*?</script>', ' ', 'gis'), '<style.*?</style>', ' ', 'gis'), '[0-9]{{3,}}', '#', 'g'), '" + _BLANKS + "', ' ', 'g'))"
+_STRIP = "trim(regexp_replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '" + _BLANKS + "', ' ', 'g'))"
 KEYWORDS = ["nicht", "track", "ther", "Para"]
 
 
-@query("n1_keyword_observations", f"""with p as (select page_id, url, {_TEXT} t, sha256({_BODY.format(x="html")}) content_sha from pages), k as (select *, unnest({KEYWORDS}) keyword from p), h as (select *, instr(lower(t), lower(keyword)) pos from k),
-  e as (select page_id, url, keyword, content_sha, trim(substr(t, greatest(1, pos - 140), pos - greatest(1, pos - 140) + len(keyword) + 180)) excerpt from h where pos > 0)
-  select page_id, keyword, excerpt, content_sha, sha256(coalesce(url, '') || chr(31) || keyword || chr(31) || excerpt) item_sha from e""")
-def n1(spark, d):
-    return N.keyword_observations(V.table(spark, d, "pages"), KEYWORDS)
+def _items(tag: str) -> str:
+    return rf"list_filter(list_transform(regexp_extract_all(html, '(?is)<{tag}\b[^>]*>(.*?)</{tag}>', 1), lambda x: {_STRIP.format(x='x')}), lambda t: t <> '')"
+
+
+def _read(tag: str | None, source: str = "pages") -> str:
+    """Table read_: page_id, url, t (the text), content_sha, item_sha: items first, stripped; then normalised."""
+    said = f"case when len(items) > 0 then array_to_string(items, chr(10)) else {_STRIP.format(x='html')} end"
+    return f"""i as (select page_id, url, coalesce(html, '') html from {source}), it as (select *, {_items(tag) if tag else "[]::varchar[]"} items from i), pg as (select page_id, url, items, {_BODY.format(x=said)} t from it),
+  read_ as (select page_id, url, t, sha256(t) content_sha, case when len(items) > 0 then sha256(array_to_string(list_sort(items), chr(31))) else '' end item_sha from pg)"""
+
+
+def _seen(tag: str | None, source: str = "pages") -> str:
+    """Table seen: observations, with their fingerprints."""
+    return f"""{_read(tag, source)}, k as (select *, unnest({KEYWORDS}) keyword from read_), h as (select *, instr(lower(t), lower(keyword)) pos from k),
+  seen as (select page_id, keyword, trim(substr(t, greatest(1, pos - 140), pos - greatest(1, pos - 140) + len(keyword) + 180)) excerpt, content_sha, item_sha,
+  sha256(coalesce(url, '') || chr(31) || keyword || chr(31) || case when item_sha = '' then content_sha else item_sha end) fingerprint from h where pos > 0)"""
 
 
-_ITEMS = r"select page_id, html, list_filter(list_transform(regexp_extract_all(html, '(?is)<article\b[^>]*>(.*?)</article>', 1), lambda x: " + _STRIP.format(x="x") + "), lambda t: t <> '') items from pages"
-_SHOWN = f"case when len(items) > 0 then array_to_string(list_sort(items), chr(31)) else {_STRIP.format(x=_BODY.format(x='html'))} end"
+@query("n1_keyword_observations", f"with {_seen('article')} select * from seen")
+def n1(spark, d):
+    return N.keyword_observations(V.table(spark, d, "pages"), KEYWORDS, "article")
 
 
-@query("n2_page_fingerprint", f"select page_id, sha256({_BODY.format(x='shown')}) fingerprint from (select page_id, {_SHOWN} shown from ({_ITEMS}))")
+@query("n2_page_fingerprint", f"with {_read('b')} select page_id, case when item_sha = '' then content_sha else item_sha end fingerprint from read_")
 def n2(spark, d):
-    return V.table(spark, d, "pages").select("page_id", N.page_fingerprint(F.col("html")).alias("fingerprint"))
+    return N.page_fingerprints(V.table(spark, d, "pages"), "b")
+
+
+#: What an earlier run saw: pages of one host said another word then.
+_THEN = "case when contains(url, 'example.com') then replace(html, 'ther', 'thor') else html end"
 
 
-@query("n3_dedupe_prior", f"""with p as (select page_id, url, {_TEXT} t from pages), k as (select *, unnest({KEYWORDS}) keyword from p), h as (select page_id, keyword from k where instr(lower(t), lower(keyword)) > 0) select keyword, count(*) n from h where page_id % 3 <> 0 group by keyword""")
+@query("n3_dedupe_prior", f"with now_ as (with {_seen('article')} select * from seen), then_ as (with {_seen('article', f'(select page_id, url, {_THEN} html from pages)')} select * from seen) select keyword, count(*) n, count(*) filter (fingerprint in (select fingerprint from then_)) suppressed from now_ group by keyword")
 def n3(spark, d):
-    seen = N.keyword_observations(V.table(spark, d, "pages").where("page_id % 3 = 0"), KEYWORDS)
-    new = N.dedupe_against(N.keyword_observations(V.table(spark, d, "pages"), KEYWORDS), seen, ["item_sha"])
-    return new.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
+    pages = V.table(spark, d, "pages").select("page_id", "url", "html")
+    then = N.keyword_observations(pages.withColumn("html", F.expr(_THEN)), KEYWORDS, "article")
+    now = N.keyword_observations(pages, KEYWORDS, "article").select("page_id", "keyword", "fingerprint")
+    new = N.dedupe_against(now, then, ["fingerprint"]).groupBy("keyword").agg(F.count(F.lit(1)).alias("new"))
+    all_ = now.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
+    return all_.join(new, "keyword", "left").select("keyword", "n", (F.col("n") - F.coalesce("new", F.lit(0))).alias("suppressed"))
 
 
 @query("n4_hash_chain", """with recursive m as (select conv_id, turn, sha256(coalesce(role, '') || chr(31) || coalesce(text, '')) p, row_number() over (partition by conv_id order by turn) rn from conversations),
@@ -128,7 +147,7 @@ def n4(spark, d):
     return N.hash_chain(V.table(spark, d, "conversations"), "conv_id", "turn", F.concat(F.coalesce("role", F.lit("")), F.lit("\x1f"), F.coalesce("text", F.lit(""))))
 
 
-@query("f25_normalize_body", f"select page_id, sha256({_BODY.format(x='html')}) body from pages")
+@query("f25_normalize_body", f"select page_id, sha256({_BODY.format(x="coalesce(html, '')")}) body from pages")
 def f25(spark, d):
     return V.table(spark, d, "pages").select("page_id", F.sha2(C.normalize_body(F.col("html")), 256).alias("body"))
 
@@ -138,7 +157,7 @@ def f26(spark, d):
     return V.table(spark, d, "pages").select("page_id", F.sha2(C.strip_tags(F.col("html")), 256).alias("text"))
 
 
-@query("f27_extract_items", r"select page_id, cast(len(list_filter(list_transform(regexp_extract_all(html, '(?is)<li\b[^>]*>(.*?)</li>', 1), lambda x: " + _STRIP.format(x="x") + r"), lambda x: x <> '')) as int) n from pages")
+@query("f27_extract_items", f"select page_id, cast(len({_items('li')}) as int) n from (select page_id, coalesce(html, '') html from pages)")
 def f27(spark, d):
     return V.table(spark, d, "pages").select("page_id", F.size(C.extract_items(F.col("html"), "li")).alias("n"))
 
@@ -223,10 +242,16 @@ def q8(spark, d):
     return Q.history_gate(V.table(spark, d, "events"), "user_id", "event_id", "event_type", "click", "value", "ts")
 
 
-@query("q9_append_revision", "with h as (select * from events where event_id < 9000), l as (select user_id, max(ts) t, arg_max(props, ts) cur from h group by user_id), c as (select * from events where event_id >= 8990) select c.user_id, c.props, c.ts, case when c.props = cur then 'no-op' when exists (select 1 from h where h.user_id = c.user_id and h.props = c.props) then 'replay' when c.ts <= t then 'backwards' else 'append' end outcome from c left join l using (user_id)")
+#: Candidates: every event again, as it was, with other properties, or with other properties and a later time.
+_NEXT = "select user_id, case when event_type in ('click', 'view') then props else props || ' ' end props, case when event_type = 'error' then ts + interval 400 days else ts end ts from events"
+
+
+@query("q9_append_revision", f"with l as (select user_id, max(ts) t, max_by(props, (ts, event_id)) cur from events group by user_id), h as (select distinct user_id, props from events), c as ({_NEXT}) select c.user_id, c.props, c.ts, case when c.props = cur then 'no-op' when h.props is not null then 'replay' when c.ts <= t then 'backwards' else 'append' end outcome from c left join l on l.user_id = c.user_id left join h on h.user_id = c.user_id and h.props = c.props".replace("(ts, event_id)", "row(ts, event_id)"))
 def q9(spark, d):
-    e = V.table(spark, d, "events").select("user_id", "props", "ts", "event_id")
-    return Q.append_revision(e.where("event_id < 9000"), e.where("event_id >= 8990"), "user_id", "props", "ts")
+    e = V.table(spark, d, "events").select("user_id", "props", "ts", "event_id", "event_type")
+    later = F.col("ts") + F.expr("interval 400 days")
+    again = e.select("user_id", F.when(F.col("event_type").isin("click", "view"), F.col("props")).otherwise(F.concat("props", F.lit(" "))).alias("props"), F.when(F.col("event_type") == "error", later).otherwise(F.col("ts")).alias("ts"))
+    return Q.append_revision(e, again, "user_id", "props", "ts", "event_id")
 
 
 _GATES = " union all ".join(f"select '{n}: ' || rule as \"rule\", passed from ({ORACLE[k]})" for n, k in (("orders", "q1_expectations"), ("suppliers", "q2_registry_gate"), ("flows", "q3_audited_flow_gate")))
@@ -309,10 +334,10 @@ def i5(spark, d):
     return I.drain(events_stream(spark, d).select("event_id", C.content_key(F.col("event_id"), F.col("event_type")).alias("receipt")), "ledger")
 
 
-@query("i6_observation_stream", f"with p as (select {_TEXT} t from pages), k as (select t, unnest({KEYWORDS}) keyword from p) select keyword, count(*) n from k where instr(lower(t), lower(keyword)) > 0 group by keyword")
+@query("i6_observation_stream", f"with {_seen(None)} select keyword, count(distinct fingerprint) n from seen group by keyword")
 def i6(spark, d):
     pages = I.stream_table(spark, d, "pages")
-    out = I.drain(N.keyword_observations(pages, KEYWORDS).dropDuplicates(["item_sha"]), "observations")
+    out = I.drain(N.keyword_observations(pages, KEYWORDS).dropDuplicates(["fingerprint"]), "observations")
     return out.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -322,8 +347,9 @@ def i7(spark, d):
     return I.drain(I.weekly_rollup(e, "ts", ["event_type"], "v"), "weekly").select(F.unix_timestamp("week").alias("week_s"), "event_type", "n", "total")
 
 
-@query("i8_changed_only", "select c_custkey, c_mktsegment from customer where c_custkey % 5 = 0 or c_custkey >= 1000")
+@query("i8_changed_only", "select c_custkey, c_mktsegment from customer where c_acctbal < 0 or c_mktsegment = 'FURNITURE'")
 def i8(spark, d):
-    now = V.table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    then = now.where("c_custkey < 1000").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 5 == 0, "OLD").otherwise(F.col("c_mktsegment")))
+    """Published before: all customers but those of one segment, with another segment for those in debt."""
+    now = V.table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    then = now.where("c_mktsegment <> 'FURNITURE'").withColumn("c_mktsegment", F.when(F.col("c_acctbal") < 0, "OLD").otherwise(F.col("c_mktsegment")))
     return I.changed_only(now, then, "c_custkey", ["c_mktsegment"]).select("c_custkey", "c_mktsegment")

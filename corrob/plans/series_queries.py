@@ -171,10 +171,12 @@ def u3(spark, d):
     return f.select(F.explode(C.route_legs(F.col("origin"), transit, F.col("dest"))).alias("l")).select("l.a", "l.b").distinct()
 
 
-@query("u4_except_seen", "select event_id, user_id, event_type from events e where not exists (select 1 from events s where s.event_id < 5000 and s.user_id = e.user_id and s.event_type = e.event_type) and event_id >= 5000")
+@query("u4_except_seen", """select event_id, user_id, event_type from events e where event_type <> 'click' and not exists (select 1 from events s where s.event_type = 'click' and s.user_id = e.user_id and cast(s.ts as date) = cast(e.ts as date))""")
 def u4(spark, d):
-    e = V.table(spark, d, "events").select("event_id", "user_id", "event_type")
-    return e.where("event_id >= 5000").join(e.where("event_id < 5000").select("user_id", "event_type").distinct(), ["user_id", "event_type"], "left_anti").select("event_id", "user_id", "event_type")
+    """Events of users on days on which the clicks haven't shown the user already."""
+    e = V.table(spark, d, "events").select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"))
+    seen = e.where("event_type = 'click'").select("user_id", "day").distinct()
+    return e.where("event_type <> 'click'").join(seen, ["user_id", "day"], "left_anti").select("event_id", "user_id", "event_type")
 
 
 @query("u5_full_years", f"with {V.OUTCOMES} select distinct year from outcomes where not \"partial\"")

@@ -42,11 +42,50 @@ def test_small_columns(spark):
     assert one(spark, C.content_key(F.lit("a"), F.lit(None).cast("string"))) != one(spark, C.content_key(F.lit("a")))
 
 
+def pages_of(spark, *htmls):
+    return spark.createDataFrame([(i, "u", h) for i, h in enumerate(htmls)], "page_id int, url string, html string")
+
+
 def test_fingerprints_ignore_volatile_parts(spark):
-    a, b = "<p>Run  123456 today</p><script>x()</script>", "<p>Run 999999   today</p>"
-    assert one(spark, N.page_fingerprint(F.lit(a))) == one(spark, N.page_fingerprint(F.lit(b)))
-    html = '<article class="report">One <b>two</b></article><article>Three</article><article class="x report y">Four &amp; five</article>'
+    a, b = "<p>Run  123456 today</p>", "<p>Run\u00a0999999   today</p>"
+    items = "<b>Two</b><b>One</b>", "x <b>One</b> y <B class='q'>Two</B>"
+    got = [r[1] for r in N.page_fingerprints(pages_of(spark, a, b, *items, None, ""), "b").orderBy("page_id").collect()]
+    assert got[0] == got[1] != got[2] and got[2] == got[3] and got[4] == got[5]
+
+
+def test_items_have_the_class_asked_for(spark):
+    html = (
+        '<article class="report">One <b>two</b></article><article>Three</article><article id=1 class="x report y">Four &amp; five</article>'
+        '<article dataclass="report">Six</article><article class="reporting">Seven</article><article class="a.b">Nine</article><article class="axb">Ten</article><article class="report>Eight</article>'
+    )
     assert one(spark, C.extract_items(F.lit(html), "article", "report")) == ["One two", "Four & five"]
+    assert one(spark, C.extract_items(F.lit(html), "article", "a.b")) == ["Nine"]
+
+
+def test_markup_hides_no_keyword(spark):
+    """Items come first, tags go before anything is measured, and a limit cuts the text last."""
+    long = f'<p title="{"x" * 30_000}">A track record of 12345</p>'
+    script = "<script>track</script><article>Quiet</article>"
+    rows = {(r["page_id"], r["keyword"]): r for r in N.keyword_observations(pages_of(spark, long, script, "a " * 15_000 + "track"), ["Track"], "article").collect()}
+    assert set(rows) == {(0, "Track"), (2, "Track")} and rows[0, "Track"]["excerpt"] == "A track record of #" and rows[0, "Track"]["item_sha"] == ""
+    assert N.keyword_observations(pages_of(spark, long, "a " * 15_000 + "track"), ["Track"], most=20_000).count() == 1
+    # The same items in another order are the same observation; another keyword isn't.
+    one_, two = "<article>ab</article><article>cd track</article>", "<article>cd track</article> new <article>ab</article>"
+    prints = [r["fingerprint"] for r in N.keyword_observations(pages_of(spark, one_, two), ["track", "ab"], "article").collect()]
+    assert len(prints) == 4 and len(set(prints)) == 2
+
+
+def test_hash_chain_of_a_long_chain(spark):
+    import hashlib
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    df = spark.range(30_000).selectExpr("id % 2 c", "id o", "cast(id as string) t")
+    rows = {(r["c"], r["o"]): r for r in N.hash_chain(df, "c", "o", F.col("t")).collect()}
+    prev = ""
+    for i in range(1, 30_000, 2):
+        assert rows[1, i]["previous_hash"] == prev
+        prev = sha(prev + sha(str(i)))
+        assert rows[1, i]["hash"] == prev
 
 
 def test_source_rules(spark):
