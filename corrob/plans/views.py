@@ -118,19 +118,24 @@ def _source_sql(key: str) -> str:
     return ", ".join(f"case {key} % 8 " + " ".join(f"when {i} then {q(s[k])}" for i, s in enumerate(SOURCES)) + f" end {c}" for k, c in enumerate(("source_name", "source_url")))
 
 
+def _facts(named: DataFrame) -> DataFrame:
+    """n, u (name and URL), family, reliability of the sources ``named``."""
+    n, u = F.col("source_name"), F.col("source_url")
+    return named.select(n.alias("n"), u.alias("u"), source_family(n, u).alias("family"), reliability_weight(n, u).alias("reliability"))
+
+
 @functools.lru_cache(maxsize=1)
-def source_facts(spark: SparkSession) -> DataFrame:
-    """n, u (name and URL), family, reliability: decided once a session for each of SOURCES, not once per row and query."""
+def known_facts(spark: SparkSession) -> DataFrame:
+    """The facts of SOURCES, decided once a session."""
     name, url = source_columns(F.col("id"))
-    named = spark.range(len(SOURCES)).select(name.alias("n"), url.alias("u"))
-    facts = named.select("n", "u", source_family(F.col("n"), F.col("u")).alias("family"), reliability_weight(F.col("n"), F.col("u")).alias("reliability"))
+    facts = _facts(spark.range(len(SOURCES)).select(name.alias("source_name"), url.alias("source_url")))
     return spark.createDataFrame(facts.collect(), facts.schema)  # eight rows
 
 
-def with_source_facts(df: DataFrame) -> DataFrame:
-    """Adds family and reliability."""
-    facts = source_facts(df.sparkSession)
-    return df.join(F.broadcast(facts), df["source_name"].eqNullSafe(facts["n"]) & df["source_url"].eqNullSafe(facts["u"])).drop("n", "u")  # eight rows
+def with_source_facts(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Adds family and reliability: by ``facts``, or else decided once per source of ``df``, not once per row."""
+    facts = _facts(df.select("source_name", "source_url").distinct()) if facts is None else F.broadcast(facts)
+    return df.join(facts, df["source_name"].eqNullSafe(facts["n"]) & df["source_url"].eqNullSafe(facts["u"])).drop("n", "u")
 
 
 def inflows(spark: SparkSession, d: str) -> DataFrame:
@@ -138,14 +143,14 @@ def inflows(spark: SparkSession, d: str) -> DataFrame:
     name, url = source_columns(F.col("k"))
     f = flows(spark, d, "origin dest year product supp qty").groupBy("origin", F.col("dest").alias("region"), "year", "product", (F.col("supp") % 7).alias("k")).agg(F.sum("qty").alias("qty"))
     f = f.select("origin", "region", "year", "product", "qty", name.alias("source_name"), url.alias("source_url"), F.when(F.col("product").isin("ECONOMY", "SMALL"), "official").when(F.col("product").isin("MEDIUM", "LARGE"), "reported").otherwise("estimated").alias("confidence"))
-    return with_source_facts(f).withColumn("weighted", F.col("qty") * F.round(confidence_weight(F.col("confidence")) * F.col("reliability") * 10_000).cast("long"))
+    return with_source_facts(f, known_facts(spark)).withColumn("weighted", F.col("qty") * F.round(confidence_weight(F.col("confidence")) * F.col("reliability") * 10_000).cast("long"))
 
 
 def outflows(spark: SparkSession, d: str) -> DataFrame:
     """region, corridor, year, product, source (null: unattributed), qty."""
     name, url = source_columns(F.col("k"))
     f = flows(spark, d, "origin dest year product cust qty").groupBy(F.col("origin").alias("region"), F.col("dest").alias("corridor"), "year", "product", (F.col("cust") % 8).alias("k")).agg(F.sum("qty").alias("qty"))
-    return with_source_facts(f.select("region", "corridor", "year", "product", "qty", name.alias("source_name"), url.alias("source_url")))
+    return with_source_facts(f.select("region", "corridor", "year", "product", "qty", name.alias("source_name"), url.alias("source_url")), known_facts(spark))
 
 
 def conflicts(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +162,7 @@ def conflicts(spark: SparkSession, d: str) -> DataFrame:
         F.concat("event_type", F.lit("-"), F.pmod("user_id", F.lit(7)).cast("string")).alias("actor"), F.col("event_type").alias("kind"),
         F.least(F.lit(100), F.greatest(F.lit(0), F.floor(F.col("value")))).cast("long").alias("intensity"), name.alias("source_name"), url.alias("source_url"),
     )
-    return with_source_facts(out)
+    return with_source_facts(out, known_facts(spark))
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:
