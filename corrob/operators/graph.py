@@ -61,20 +61,23 @@ def betweenness(edges: DataFrame) -> DataFrame:
 def articulation_points(edges: DataFrame) -> DataFrame:
     """node, articulation: whether the parts of the network grow in number when the node goes.
 
-    Least labels spread over the network once per removed node, keyed by (removed, node).
+    Only neighbors of a removed node can be parted, so for each node its neighbors' labels spread over the rest, the
+    least one winning, and only where something changes; a node with one neighbor needs none. The state is keyed by
+    (removed node, node).
     """
     e = stash(both_ways(edges), "graph")
-    nodes = e.select(F.col("a").alias("node")).distinct()
-    # Only neighbors of the removed node can be parted, so a node is one if its neighbors end with several labels.
-    state = stash(nodes.withColumnRenamed("node", "gone").join(nodes, F.col("gone") != F.col("node")).withColumn("label", F.col("node")), "labels")
+    nodes = e.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    inner = nodes.where("degree > 1").select(F.col("node").alias("gone"))
+    starts = inner.join(e, F.col("gone") == F.col("a")).select("gone", F.col("b").alias("node"), F.col("b").alias("label"), F.lit(True).alias("new"))
+    now = stash(starts, "labels")
     while True:
-        heard = state.join(e, state["node"] == e["a"]).where("b <> gone").groupBy("gone", F.col("b").alias("node")).agg(F.min("label").alias("heard"))
-        after = state.join(heard, ["gone", "node"], "left").select("gone", "node", "label", F.least("label", "heard").alias("next"))
-        after = stash(after, "labels")
-        if after.where("next <> label").isEmpty():
+        changed = now.where("new")
+        if changed.isEmpty():
             break
-        state = after.select("gone", "node", F.col("next").alias("label"))
-    near = state.join(e, (state["gone"] == e["a"]) & (state["node"] == e["b"])).groupBy("gone").agg(F.countDistinct("label").alias("n"))
+        heard = changed.join(e, changed["node"] == e["a"]).where("b <> gone").groupBy("gone", F.col("b").alias("node")).agg(F.min("label").alias("heard"))
+        both = now.select("gone", "node", "label").join(heard, ["gone", "node"], "full")
+        now = stash(both.select("gone", "node", F.least("label", "heard").alias("label"), F.coalesce(F.col("label").isNull() | (F.col("heard") < F.col("label")), F.lit(False)).alias("new")), "labels", instead_of=now)
+    near = now.join(e, (F.col("gone") == F.col("a")) & (F.col("node") == F.col("b"))).groupBy("gone").agg(F.countDistinct("label").alias("n"))
     return nodes.join(near, nodes["node"] == near["gone"], "left").select("node", (F.coalesce("n", F.lit(0)) > 1).alias("articulation"))
 
 

@@ -54,11 +54,20 @@ def reasoned(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return df.withColumn("reason", reason)
 
 
-def validate(df: DataFrame, rules: Sequence[Rule], line: str = "line") -> tuple[DataFrame, DataFrame]:
+class Checked(tuple):
+    """(valid rows, rejects); ``marked`` has both in one table, with ``reason``."""
+
+    def __new__(cls, valid: DataFrame, rejects: DataFrame, marked: DataFrame) -> Checked:
+        out = super().__new__(cls, (valid, rejects))
+        out.marked = marked
+        return out
+
+
+def validate(df: DataFrame, rules: Sequence[Rule], line: str = "line") -> Checked:
     """(valid rows, rejects as line, reason and message)."""
     marked = reasoned(df, rules)
     rejects = marked.where("reason is not null").select(line, "reason", F.format_string("Row %s: %s", F.col(line).cast("string"), "reason").alias("message"))
-    return marked.where("reason is null").drop("reason"), rejects
+    return Checked(marked.where("reason is null").drop("reason"), rejects, marked)
 
 
 def flag_unknown(df: DataFrame, field: str, known: DataFrame, key: str) -> DataFrame:

@@ -18,9 +18,16 @@ from corrob.streaming import incremental as I
 EDGES = V.ENTITIES + ", edges as (select a, b, count(*) weight from (select x a, unnest(countries) b from (select countries, unnest(countries) x from entities)) where a < b group by all)"
 
 
-def strong_edges(spark, d):
-    """Pairs of nations at or above the 0.9 quantile of weights: the rest would make the network complete."""
-    _, e = G.co_occurrence(V.entities(spark, d), "countries")
+STRONG = "strong as (select a, b, weight from edges where weight >= (select quantile_cont(weight, 0.9) from edges))"
+
+
+def all_edges(spark, d):
+    return G.co_occurrence(V.entities(spark, d), "countries")[1]
+
+
+def backbone(spark, d):
+    """The strong ties of a network that is nearly complete: pairs of nations at or above the 0.9 quantile of weights."""
+    e = all_edges(spark, d)
     least = e.agg(F.percentile("weight", F.lit(0.9)).alias("least"))
     return e.join(F.broadcast(least), F.col("weight") >= F.col("least")).select("a", "b", "weight")  # one row
 
@@ -35,16 +42,42 @@ def g1b(spark, d):
     return G.co_occurrence(V.entities(spark, d), "countries")[0]
 
 
-@query("g2_betweenness")
+def _between(edges: str) -> str:
+    """Betweenness by the shortest paths of all pairs: those through a node have lengths that add up."""
+    return f"""e as (select a, b from {edges} union select b, a from {edges}), n as (select distinct a node from e), walk(s, t, d) as (select node, node, 0 from n union select s, b, d + 1 from walk join e on a = t where d < (select count(*) from n)),
+  far as (select s, t, min(d) d from walk group by all), path(s, t, d) as (select node, node, 0 from n union all select p.s, e.b, p.d + 1 from path p join e on e.a = p.t join far f on f.s = p.s and f.t = e.b and f.d = p.d + 1),
+  sigma as (select s, t, d, count(*) c from path group by all), through as (select x.t node, sum(x.c * y.c / z.c::double) / 2 bc from sigma x join sigma y on y.s = x.t join sigma z on z.s = x.s and z.t = y.t and z.d = x.d + y.d where x.s <> x.t and y.t <> x.t and x.s <> y.t group by x.t)
+  select node, floor(coalesce(bc, 0) * 1000000 + 0.5) / 1000000 betweenness, floor(coalesce(bc, 0) / greatest(1.0, ((select count(*) from n) - 1) * ((select count(*) from n) - 2) / 2.0) * 1000000 + 0.5) / 1000000 normalized from n left join through using (node)"""
+
+
+def _cut(edges: str) -> str:
+    """Nodes without which their neighbors no longer all reach each other."""
+    return f"""e as (select a, b from {edges} union select b, a from {edges}), n as (select distinct a node from e), reach(gone, start_, node) as (select e.a, e.b, e.b from e union select r.gone, r.start_, e.b from reach r join e on e.a = r.node where e.b <> r.gone),
+  l as (select gone, start_, min(node) label from reach group by all) select node, coalesce(c > 1, false) articulation from n left join (select gone, count(distinct label) c from l group by gone) on gone = node"""
+
+
+def _shown(df):
+    return df.select("node", half_up(F.col("betweenness"), 6).alias("betweenness"), half_up(F.col("normalized"), 6).alias("normalized"))
+
+
+@query("g2_betweenness", f"with recursive {EDGES}, {_between('edges')}")
 def g2(spark, d):
-    return G.betweenness(strong_edges(spark, d)).select("node", half_up(F.col("betweenness"), 6).alias("betweenness"), half_up(F.col("normalized"), 6).alias("normalized"))
+    return _shown(G.betweenness(all_edges(spark, d)))
+
 
+@query("g2b_backbone_betweenness", f"with recursive {EDGES}, {STRONG}, {_between('strong')}")
+def g2b(spark, d):
+    return _shown(G.betweenness(backbone(spark, d)))
 
-@query("g3_articulation", f"""with recursive {EDGES}, q as (select quantile_cont(weight, 0.9) w from edges), e as (select a, b from edges, q where weight >= w union all select b, a from edges, q where weight >= w), n as (select distinct a node from e),
-  reach(gone, start_, node) as (select e.a, e.b, e.b from e union select r.gone, r.start_, e.b from reach r join e on e.a = r.node where e.b <> r.gone),
-  l as (select gone, start_, min(node) label from reach group by all) select node, coalesce(c > 1, false) articulation from n left join (select gone, count(distinct label) c from l group by gone) on gone = node""")
+
+@query("g3_articulation", f"with recursive {EDGES}, {_cut('edges')}")
 def g3(spark, d):
-    return G.articulation_points(strong_edges(spark, d))
+    return G.articulation_points(all_edges(spark, d))
+
+
+@query("g3b_backbone_articulation", f"with recursive {EDGES}, {STRONG}, {_cut('strong')}")
+def g3b(spark, d):
+    return G.articulation_points(backbone(spark, d))
 
 
 @query("g4_concentration", f"with {V.ENTITIES}, g as (select program, n, count(*) c from (select program, unnest(countries) n from entities) group by all) select program, cast(floor(sum(c * c)::double * 10000.0 / (sum(c) * sum(c))::double + 0.5) as bigint) hhi from g group by program")

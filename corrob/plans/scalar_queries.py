@@ -80,3 +80,20 @@ def f23(spark, d):
 @query("f30_header", r"select p_partkey, trim(regexp_replace(regexp_replace(lower(regexp_replace('avgPrice_' || p_brand || '%', '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[%_]', ' ', 'g'), '\s+', ' ', 'g')) as header from part")
 def f30(spark, d):
     return V.table(spark, d, "part").select("p_partkey", C.normalized_header(F.concat(F.lit("avgPrice_"), "p_brand", F.lit("%"))).alias("header"))
+
+
+@query("f13_rate_per_100k", """with p as (select c_nationkey, count(*) filter (c_acctbal > 0) pop from customer group by 1), n as (select c_nationkey, o_orderpriority, count(*) n from orders join customer on o_custkey = c_custkey group by all)
+  select c_nationkey, o_orderpriority, case when pop > 0 then floor(n * 100000 / pop::double * 10 + 0.5) / 10 end rate from n join p using (c_nationkey)""")
+def f13(spark, d):
+    c = V.table(spark, d, "customer")
+    pop = c.groupBy("c_nationkey").agg(F.count_if(F.col("c_acctbal") > 0).alias("pop"))
+    n = V.table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(pop, "c_nationkey").select("c_nationkey", "o_orderpriority", C.rate_per_100k(F.col("n"), F.col("pop")).alias("rate"))
+
+
+@query("f14_round_sig", """with v as (select event_id, case when event_type = 'error' then -"value" when event_type = 'click' then "value" / 1000000 when event_type = 'view' then 0.0 else "value" * 1234.5 end v from events)
+  select event_id, case when v = 0 then 0.0 else floor(v * pow(10.0, 6 - ceil(log10(abs(v)))) + 0.5) / pow(10.0, 6 - ceil(log10(abs(v)))) end rounded from v""")
+def f14(spark, d):
+    e, v, kind = V.table(spark, d, "events"), F.col("value"), F.col("event_type")
+    spread = F.when(kind == "error", -v).when(kind == "click", v / 1_000_000).when(kind == "view", F.lit(0.0)).otherwise(v * 1234.5)
+    return e.select("event_id", C.round_sig(spread).alias("rounded"))

@@ -171,6 +171,14 @@ def u3(spark, d):
     return f.select(F.explode(C.route_legs(F.col("origin"), transit, F.col("dest"))).alias("l")).select("l.a", "l.b").distinct()
 
 
+@query("f9_route_legs", f"with {V.FLOWS}, s as (select product, list_filter([origin, case when supp % 3 = 0 then 'NATION_' || (size % 25) end, dest], lambda x: x is not null) s from flows) select product, s[i] || ' > ' || s[i + 1] leg, count(*) n from (select product, s, unnest(range(1, len(s))) i from s) group by all")
+def f9(spark, d):
+    """How often each product goes each leg; transit is known for a third of the lines."""
+    transit = F.when(F.col("supp") % 3 == 0, F.concat(F.lit("NATION_"), (F.col("size") % 25).cast("string")))
+    legs = V.flows(spark, d, "origin dest supp size product").select("product", F.explode(C.route_legs(F.col("origin"), transit, F.col("dest"))).alias("l"))
+    return legs.groupBy("product", F.concat("l.a", F.lit(" > "), "l.b").alias("leg")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("u4_except_seen", """select event_id, user_id, event_type from events e where event_type <> 'click' and not exists (select 1 from events s where s.event_type = 'click' and s.user_id = e.user_id and cast(s.ts as date) = cast(e.ts as date))""")
 def u4(spark, d):
     """Events of users on days on which the clicks haven't shown the user already."""

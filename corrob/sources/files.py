@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corrob.functions.columns import coerce_number, coerce_string, half_up
+from corrob.operators.ingest import Checked
+from corrob.sources.shared import stash
 
 
 def normalize_header(header: str) -> str:
@@ -55,10 +57,17 @@ def read_headerless(spark: SparkSession, path: str, schema: str, null_token: str
 
 
 def encode_dictionary(df: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with codes, dictionary): codes number the values by first appearance in ``order``, from 0."""
+    """(rows with codes, dictionary): codes number the values by first appearance in ``order``, from 0.
+
+    The dictionary is parted by range; parts are counted, and each numbers its own values on from those before it.
+    """
     first = df.groupBy(key).agg(F.min(order).alias("__first"))
-    # A dictionary has a row per value; only it is numbered in one place.
-    codes = first.withColumn("code", F.row_number().over(Window.orderBy("__first", key)) - 1).select(key, "code")
+    parted = stash(first.repartitionByRange("__first", key).withColumn("__part", F.spark_partition_id()), "dictionary")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy("__first", key)) - 1
+    numbered = parted.withColumn("__at", inside).join(F.broadcast(starts), "__part")  # a row per partition
+    codes = numbered.select(key, (F.col("__start") + F.col("__at")).cast("int").alias("code"))
     return df.join(codes, key).drop(key), codes
 
 
@@ -89,12 +98,11 @@ def take_until_marker(df: DataFrame, sheet: str, order: str, start: Column, stop
     return marked.where((F.col("__on") == 1) & (F.col("__off") == 0) & ~start).drop("__on", "__off")
 
 
-def load_bundle(sets: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """dataset, loaded, rejected: one row per data set of (valid, rejects), whatever subset was given."""
-    rows = []
-    for name, (valid, rejects) in sorted(sets.items()):
-        a = valid.agg(F.count(F.lit(1)).alias("loaded"))
-        rows.append(a.join(rejects.agg(F.count(F.lit(1)).alias("rejected")), F.lit(True)).select(F.lit(name).alias("dataset"), "loaded", "rejected"))
+def load_bundle(sets: dict[str, Checked]) -> DataFrame:
+    """dataset, loaded, rejected: one row per data set, whatever subset was given; each is read once."""
+    ok = F.col("reason").isNull()
+    counted = lambda name, checked: checked.marked.agg(F.count_if(ok).alias("loaded"), F.count_if(~ok).alias("rejected")).select(F.lit(name).alias("dataset"), "loaded", "rejected")
+    rows = [counted(name, checked) for name, checked in sorted(sets.items())]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
