@@ -51,6 +51,13 @@ def flows(spark: SparkSession, d: str, columns: str) -> DataFrame:
     return out.select(*(made[c].alias(c) for c in wanted))
 
 
+def orders_by_nation(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with their customers and those customers' nations: orders are joined once, with what customers have."""
+    nation = table(spark, d, "nation")
+    customer = table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # a row per nation
+    return table(spark, d, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+
+
 FLOWS = """flows as (select a.n_name origin, b.n_name dest, c_custkey cust, s_suppkey supp, p_type product, p_brand item, cast(year(l_shipdate) as int) "year",
   cast(l_quantity as bigint) qty, cast(round(l_extendedprice * 100) as bigint) cents, cast(round(l_discount * 100) as bigint) disc, p_size size, o_orderkey orderkey, l_partkey partkey
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
@@ -69,7 +76,7 @@ PRICES = FLOWS + """, prices as (select product, origin country, "year", floor(s
 
 def outcomes(spark: SparkSession, d: str) -> DataFrame:
     """jurisdiction, year, month (last of the window), partial, product (priority), deaths (orders)."""
-    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = orders_by_nation(spark, d)
     last = F.when(F.year("o_orderdate") == 2001, 7).otherwise(12)
     return o.groupBy(F.col("n_name").alias("jurisdiction"), F.year("o_orderdate").alias("year"), last.alias("month"), F.col("o_orderpriority").alias("product")).agg(F.count(F.lit(1)).alias("deaths")).withColumn("partial", F.col("month") != 12)
 
@@ -80,7 +87,7 @@ OUTCOMES = """outcomes as (select n_name jurisdiction, cast(year(o_orderdate) as
 
 def monthly_load(spark: SparkSession, d: str) -> DataFrame:
     """site (segment), country, year, month, rate: mean order value of the month."""
-    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = orders_by_nation(spark, d)
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     return o.groupBy(F.col("c_mktsegment").alias("site"), F.col("n_name").alias("country"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg((F.sum(cents) / F.count(F.lit(1)) / 100).alias("rate"))
 
@@ -167,7 +174,7 @@ def conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 def stats(spark: SparkSession, d: str) -> DataFrame:
     """region, year, ha, index: a region's own statistics; one region in six has none."""
-    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = orders_by_nation(spark, d)
     out = o.where("n_nationkey % 6 <> 5").groupBy(F.col("n_name").alias("region"), "n_nationkey", F.year("o_orderdate").alias("year")).agg((F.count(F.lit(1)) * 10).alias("ha"))
     return out.select("region", "year", "ha", ((F.col("n_nationkey") * 37 + F.col("year")) % 101).cast("int").alias("index"))
 
