@@ -85,7 +85,7 @@ def model(counts: DataFrame) -> DataFrame:
     return below.select(F.col("tail").alias("run"), F.floor((F.log("la") - F.log("lb")) * UNIT + 0.5).cast("long").alias("q"))
 
 
-def judge(pages: DataFrame, rules=RULES, most_broadcast: int = 200_000) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, most_broadcast: int = 50_000) -> DataFrame:
     """page_id, host, path, rule, verdict, score (mean log-likelihood difference a character), threshold."""
     verdicts = F.create_map(*(F.lit(x) for r in rules for x in r))
     read = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
