@@ -104,11 +104,12 @@ def classify(docs: DataFrame, labels: DataFrame, p: SiteParams = SiteParams()) -
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = stash(site.mapInArrow(cells, f"doc_id {kind}, host string, path string, cells array<int>"), "cells")
     low, toxic = F.col("quality") != 1, F.coalesce("toxic", F.lit(0)) != 0
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(low).alias("low"), F.max(toxic).alias("toxic"))
-    known = known.withColumn("good", ~F.col("low") & ~F.col("toxic"))
+    flags = F.max(low).cast("int") + 2 * F.max(toxic).cast("int")  # one number, so that what is broadcast is small
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(flags.alias("flags"))
     if labels.count() <= p.most_labels:  # beyond it, both sides are shuffled
         known = F.broadcast(known)
-    known = stash(read.join(known, "doc_id").withColumn("later", F.pmod(F.xxhash64("doc_id"), F.lit(p.folds)) == 0), "labelled")
+    known = read.join(known, "doc_id").withColumns({"low": F.col("flags") % 2 == 1, "toxic": F.col("flags") >= 2, "good": F.col("flags") == 0}).drop("flags")
+    known = stash(known.withColumn("later", F.pmod(F.xxhash64("doc_id"), F.lit(p.folds)) == 0), "labelled")
     first = known.where("not later")
     n, n_good, *n_bad = first.agg(F.count(F.lit(1)), F.count_if("good"), *(F.count_if(k) for k in PARTS)).first()
     # 2^BITS rows at most.
