@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrob.llm import decontaminate, langid, packing, quotes, rules, secrets, sharding, simhash, sites, urls
+from corrob.llm import decontaminate, langid, packing, quotes, rules, secrets, sharding, simhash, sites, token_files, urls
 from corrob.llm.sql import ORACLE
+from corrob.sources.shared import clear_at_exit, new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,13 @@ def op10_site_quality(spark, sf_dir):
     return sites.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_files(spark, sf_dir):
+    at = new_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), at, tokenizer()[0])
+    clear_at_exit(spark, at)
+    return token_files.digest(spark, at)
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -69,6 +77,6 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_url_filter, op3_best_fit_packing, op4_quality_rules, op5_language_id, op6_decontamination,
-    op7_simhash, op8_quote_threads, op9_sharding, op10_site_quality, pipeline,
+    op7_simhash, op8_quote_threads, op9_sharding, op10_site_quality, op11_token_files, pipeline,
 )}
 ORACLE_SQL = dict(ORACLE)
