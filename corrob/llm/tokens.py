@@ -18,12 +18,14 @@ from collections.abc import Callable
 KEPT_PARTS, KEPT_LENGTH = 300_000, 64
 # Letters in every version of Unicode; other characters beyond ASCII may be letters or not.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-UNSURE = re.compile(f"[^\0-\x7f{LETTERS}]")
-#: White space with the letters, or the marks and digits, after it; letters stay with an apostrophe before them.
-PARTS = re.compile(rf"\s*(?:[{LETTERS}]+|[^\s{LETTERS}]+(?:(?<=')[{LETTERS}]+)?)|\s+")
+#: Characters that may be letters or not, white space or not.
+UNSURE = re.compile(f"[^\0-\x1b\x20-\x7f{LETTERS}]")
+#: A word with a blank before it; single other white space; or white space with the letters, or the marks and digits,
+#: after it, where letters stay with an apostrophe before them.
+PARTS = re.compile(rf"\x20?[{LETTERS}]+|[\t-\r](?=\S)|\s*(?:[{LETTERS}]+|[^\s{LETTERS}]+(?:(?<=')[{LETTERS}]+)?)|\s+")
 #: For texts with other characters: before a blank between two characters that are no white space.
 BLANKS = re.compile(r"(?<=\S)(?= \S)")
-WORD = re.compile(r"\x20?[A-Za-z]+")
+WORD = re.compile(rf"\x20?[{LETTERS}]+")
 
 
 def parts(text: str) -> list[str]:
@@ -82,6 +84,7 @@ def encoder(file: str) -> Callable[[str], bytes]:
 
     tok = Tokenizer.from_file(file)
     model = tok.model
+    letters = [c for c in map(chr, range(0x250)) if WORD.fullmatch(c)]
 
     def pack(*ids: int) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in ids)
@@ -90,12 +93,13 @@ def encoder(file: str) -> Callable[[str], bytes]:
         return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def part(text: str) -> bytes:
-        # One word of ASCII letters needs no cutting any more: its bytes are its characters, a blank's is written Ġ.
+        # One word needs no cutting any more, only its bytes as the model writes them.
         if WORD.fullmatch(text):
-            return pack(*(t.id for t in model.tokenize(text.replace(" ", "Ġ"))))
+            return pack(*(t.id for t in model.tokenize(text.translate(written))))
         return whole(text)
 
     if not cuts_plainly(file):
         return whole
+    written = str.maketrans({c: tok.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in (" ", *letters)})
     ids, cut = Ids(part), joiner([t.content for t in tok.get_added_tokens_decoder().values()])
     return lambda text: b"".join(map(ids.__getitem__, cut(text)))
