@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrob.llm import decontaminate, langid, packing, quotes, rules, runs, secrets, sharding, simhash, sites, token_files, urls
+from corrob.llm import decontaminate, langid, packing, quotes, rules, runs, secrets, sharding, simhash, sites, spelling, token_files, urls
 from corrob.llm.sql import ORACLE
 from corrob.sources.shared import clear_at_exit, new_path
 
@@ -73,6 +73,10 @@ def op12_periodic_runs(spark, sf_dir):
     return runs.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -81,6 +85,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_url_filter, op3_best_fit_packing, op4_quality_rules, op5_language_id, op6_decontamination,
-    op7_simhash, op8_quote_threads, op9_sharding, op10_site_quality, op11_token_files, op12_periodic_runs, pipeline,
+    op7_simhash, op8_quote_threads, op9_sharding, op10_site_quality, op11_token_files, op12_periodic_runs,
+    op13_spelling_variants, pipeline,
 )}
 ORACLE_SQL = dict(ORACLE)
