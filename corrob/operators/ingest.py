@@ -63,10 +63,16 @@ class Checked(tuple):
         return out
 
 
+def place(df: DataFrame) -> list[str]:
+    """The columns that say where a row comes from: its line, and its file where the reader told it."""
+    return [c for c in ("file", "line") if c in df.columns]
+
+
 def validate(df: DataFrame, rules: Sequence[Rule], line: str = "line") -> Checked:
-    """(valid rows, rejects as line, reason and message)."""
+    """(valid rows, rejects as file (if there is one), line, reason and message)."""
     marked = reasoned(df, rules)
-    rejects = marked.where("reason is not null").select(line, "reason", F.format_string("Row %s: %s", F.col(line).cast("string"), "reason").alias("message"))
+    at = [c for c in place(df) if c != line] + [line]
+    rejects = marked.where("reason is not null").select(*at, "reason", F.format_string("Row %s: %s", F.col(line).cast("string"), "reason").alias("message"))
     return Checked(marked.where("reason is null").drop("reason"), rejects, marked)
 
 
@@ -86,45 +92,45 @@ def _n(name: str) -> Column:
 
 def prices(raw: DataFrame, drugs: Sequence[str] = DRUGS):
     """drug, country, iso3, region, year, price, purity (clamped to 0-100, null if unreadable)."""
-    typed = raw.select("line", C.slug(_s("drug")).alias("drug"), _s("country").alias("country"), F.upper(_s("iso3")).alias("iso3"), _s("region").alias("region"), C.coerce_int(F.col("year")).alias("year"), _n("price").alias("price"), C.clamp_pct(F.col("purity")).alias("purity"))
+    typed = raw.select(*place(raw), C.slug(_s("drug")).alias("drug"), _s("country").alias("country"), F.upper(_s("iso3")).alias("iso3"), _s("region").alias("region"), C.coerce_int(F.col("year")).alias("year"), _n("price").alias("price"), C.clamp_pct(F.col("purity")).alias("purity"))
     return validate(typed, [Rule(F.col("drug").isNull() | F.col("country").isNull() | F.col("year").isNull() | F.col("price").isNull(), "missing required fields"), member("drug", drugs), non_negative("price")])
 
 
 def precursor_prices(raw: DataFrame, precursors: Sequence[str] = PRECURSORS):
-    typed = raw.select("line", C.slug(_s("precursor")).alias("precursor"), _s("country").alias("country"), C.coerce_int(F.col("year")).alias("year"), _n("price").alias("price"))
+    typed = raw.select(*place(raw), C.slug(_s("precursor")).alias("precursor"), _s("country").alias("country"), C.coerce_int(F.col("year")).alias("year"), _n("price").alias("price"))
     return validate(typed, [required("precursor", "country", "year", "price"), member("precursor", precursors), non_negative("price")])
 
 
 def flows(raw: DataFrame, precursors: Sequence[str] = PRECURSORS):
-    typed = raw.select("line", C.slug(_s("precursor")).alias("precursor"), _s("origin").alias("origin"), _s("transit").alias("transit"), _s("destination").alias("destination"), C.coerce_int(F.col("year")).alias("year"), _n("quantity").alias("quantity"))
+    typed = raw.select(*place(raw), C.slug(_s("precursor")).alias("precursor"), _s("origin").alias("origin"), _s("transit").alias("transit"), _s("destination").alias("destination"), C.coerce_int(F.col("year")).alias("year"), _n("quantity").alias("quantity"))
     return validate(typed, [required("precursor", "origin", "destination", "year", "quantity"), member("precursor", precursors), non_negative("quantity")])
 
 
 def nodes(raw: DataFrame):
-    typed = raw.select("line", C.slug(F.coalesce(_s("id"), _s("label"))).alias("id"), _s("label").alias("label"), _n("lat").alias("lat"), _n("lng").alias("lng"))
+    typed = raw.select(*place(raw), C.slug(F.coalesce(_s("id"), _s("label"))).alias("id"), _s("label").alias("label"), _n("lat").alias("lat"), _n("lng").alias("lng"))
     return validate(typed, [required("id", "label", "lat", "lng"), within("lat", -90, 90), within("lng", -180, 180)])
 
 
 def region_stats(raw: DataFrame, known: DataFrame | None = None):
-    typed = raw.select("line", C.slug(_s("region")).alias("region"), C.coerce_int(F.col("year")).alias("year"), _n("ha").alias("ha"), C.clamp_pct(F.col("index")).alias("index"))
+    typed = raw.select(*place(raw), C.slug(_s("region")).alias("region"), C.coerce_int(F.col("year")).alias("year"), _n("ha").alias("ha"), C.clamp_pct(F.col("index")).alias("index"))
     valid, rejects = validate(typed, [required("region", "year", "ha"), non_negative("ha")])
     return (flag_unknown(valid, "region", known, "region") if known is not None else valid), rejects
 
 
 def regional_flows(raw: DataFrame, synonyms: dict[str, str], known: DataFrame | None = None):
-    typed = raw.select("line", C.slug(_s("from")).alias("from"), C.slug(_s("to")).alias("to"), C.coerce_int(F.col("year")).alias("year"), _n("quantity").alias("quantity"), C.synonym(_s("product"), synonyms).alias("product"), _s("source_name").alias("source_name"))
+    typed = raw.select(*place(raw), C.slug(_s("from")).alias("from"), C.slug(_s("to")).alias("to"), C.coerce_int(F.col("year")).alias("year"), _n("quantity").alias("quantity"), C.synonym(_s("product"), synonyms).alias("product"), _s("source_name").alias("source_name"))
     valid, rejects = validate(typed, [required("from", "to", "year", "quantity"), Rule(F.col("product").isNull(), "unknown product"), non_negative("quantity")])
     return (flag_unknown(flag_unknown(valid, "from", known, "region"), "to", known, "region") if known is not None else valid), rejects
 
 
 def events(raw: DataFrame):
     """Unknown actor and event types take defaults instead of being rejected; intensity is clamped."""
-    typed = raw.select("line", C.slug(_s("region")).alias("region"), C.coerce_int(F.col("year")).alias("year"), _s("actor").alias("actor"), C.synonym(_s("actor_type"), ACTOR_TYPES, "unknown").alias("actor_type"), C.synonym(_s("event_type"), EVENT_TYPES, "other").alias("event_type"), C.clamp_pct(F.col("intensity")).alias("intensity"))
+    typed = raw.select(*place(raw), C.slug(_s("region")).alias("region"), C.coerce_int(F.col("year")).alias("year"), _s("actor").alias("actor"), C.synonym(_s("actor_type"), ACTOR_TYPES, "unknown").alias("actor_type"), C.synonym(_s("event_type"), EVENT_TYPES, "other").alias("event_type"), C.clamp_pct(F.col("intensity")).alias("intensity"))
     return validate(typed, [required("region", "year", "actor", "intensity")])
 
 
 def inflows(raw: DataFrame, precursors: Sequence[str] = PRECURSORS):
-    typed = raw.select("line", _s("origin").alias("origin"), C.slug(_s("to")).alias("to"), C.coerce_int(F.col("year")).alias("year"), C.slug(_s("precursor")).alias("precursor"), _n("quantity").alias("quantity"), C.synonym(_s("confidence"), CONFIDENCE, "reported").alias("confidence"))
+    typed = raw.select(*place(raw), _s("origin").alias("origin"), C.slug(_s("to")).alias("to"), C.coerce_int(F.col("year")).alias("year"), C.slug(_s("precursor")).alias("precursor"), _n("quantity").alias("quantity"), C.synonym(_s("confidence"), CONFIDENCE, "reported").alias("confidence"))
     return validate(typed, [required("origin", "to", "year", "precursor", "quantity"), member("precursor", precursors), non_negative("quantity")])
 
 
@@ -139,13 +145,13 @@ def substance(label: Column) -> Column:
 def mortality(raw: DataFrame):
     """A suppressed cell is rejected, never zero; the window's month defaults to 12, others are partial years."""
     month = F.coalesce(C.coerce_month(F.col("month")), F.lit(12).cast("long"))
-    typed = raw.select("line", _s("jurisdiction").alias("jurisdiction"), C.coerce_int(F.col("year")).alias("year"), month.alias("month"), substance(F.col("substance")).alias("substance"), _n("deaths").alias("deaths"), _n("predicted").alias("predicted"))
+    typed = raw.select(*place(raw), _s("jurisdiction").alias("jurisdiction"), C.coerce_int(F.col("year")).alias("year"), month.alias("month"), substance(F.col("substance")).alias("substance"), _n("deaths").alias("deaths"), _n("predicted").alias("predicted"))
     typed = typed.withColumns({"partial": F.col("month") != 12, "predicted": F.when(~F.col("predicted").eqNullSafe(F.col("deaths")), F.col("predicted"))})
     return validate(typed, [required("jurisdiction", "year"), Rule(F.col("substance").isNull(), "unknown substance"), Rule(F.col("deaths").isNull(), "suppressed or missing deaths"), non_negative("deaths")])
 
 
 def wastewater(raw: DataFrame, drugs: Sequence[str] = DRUGS):
-    typed = raw.select("line", _s("site").alias("site"), _s("country").alias("country"), C.coerce_int(F.col("year")).alias("year"), C.slug(_s("drug")).alias("drug"), _n("load").alias("load"))
+    typed = raw.select(*place(raw), _s("site").alias("site"), _s("country").alias("country"), C.coerce_int(F.col("year")).alias("year"), C.slug(_s("drug")).alias("drug"), _n("load").alias("load"))
     return validate(typed, [required("site", "country", "year", "load"), member("drug", drugs), non_negative("load")])
 
 
@@ -153,7 +159,7 @@ def designations(raw: DataFrame):
     """Lists are split; no program rejects a row, an unknown kind counts as organization."""
     kind = C.slug(_s("kind"))
     known = F.coalesce(kind.isin("individual", "vessel", "aircraft", "organization"), F.lit(False))
-    typed = raw.select("line", _s("name").alias("name"), F.when(known, kind).otherwise("organization").alias("kind"), (~known).alias("kind_defaulted"), C.split_list(F.col("programs")).alias("programs"), C.split_list(F.col("countries")).alias("countries"))
+    typed = raw.select(*place(raw), _s("name").alias("name"), F.when(known, kind).otherwise("organization").alias("kind"), (~known).alias("kind_defaulted"), C.split_list(F.col("programs")).alias("programs"), C.split_list(F.col("countries")).alias("countries"))
     return validate(typed, [required("name"), Rule(F.size("programs") == 0, "no program")])
 
 

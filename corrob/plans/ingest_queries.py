@@ -12,7 +12,7 @@ from corrob.plans import views as V
 from corrob.plans.aggregate_queries import AUDITED, audited
 from corrob.plans.registry import query
 from corrob.sources import files
-from corrob.sources.shared import new_path
+from corrob.sources.shared import clear_at_exit, new_path
 
 K = "o_orderkey"
 
@@ -178,10 +178,42 @@ ALIASES = {"product": ["product", "product type"], "country": ["country", "natio
 
 @query("s1_aliased_csv", f"with {V.PRICES} select product, country, cast(year as varchar) \"year\", price, country jurisdiction from prices")
 def s1(spark, d):
-    at = new_path(spark, "csv")
-    V.prices(spark, d).select(F.col("product").alias("Product_Type"), F.col("country").alias("Nation"), F.col("year").alias("YR"), F.col("price").alias("priceUsdPerGram")).write.csv(at, header=True)
+    """Files of two layouts in one folder: columns in another order, under other names, with one that nobody knows."""
+    at, p = new_path(spark, "csv"), V.prices(spark, d)
+    p.where("year % 2 = 0").select(F.col("product").alias("Product_Type"), F.col("country").alias("Nation"), F.col("year").alias("YR"), F.col("price").alias("priceUsdPerGram")).write.csv(f"{at}/even", header=True)
+    p.where("year % 2 = 1").select(F.col("price").alias("price % usd_per gram"), F.lit("x, y").alias("note"), F.col("year").alias("Year"), F.col("country"), F.col("product")).write.csv(f"{at}/odd", header=True)
+    clear_at_exit(spark, at)
     out, _ = files.read_aliased_csv(spark, at, ALIASES, ["product", "year"], {"jurisdiction": "country"})
-    return out.withColumn("price", C.coerce_number(F.col("price")))
+    return out.drop("file", "line").withColumn("price", C.coerce_number(F.col("price")))
+
+
+FEED_ALIASES = {c: [c] for c in ("drug", "precursor", "country", "iso3", "region", "year", "price", "purity")}
+FEED_ALIASES["drug"], FEED_ALIASES["price"], FEED_ALIASES["precursor"] = ["drug", "substance"], ["price", "usd per gram"], ["precursor", "chemical"]
+
+
+def orders_feed(spark, d):
+    """The dirty feed of orders as CSV: a file for each of 16 buckets, in three layouts, its lines by key; one layout has no year."""
+    at, raw = new_path(spark, "feed"), raw_orders(spark, d).withColumn("bucket", F.col("line") % 16)
+    layouts = {
+        "plain": (raw["bucket"] < 8, ["drug", "precursor", "country", "iso3", "region", "year", "price", "purity"], {}),
+        "turned": (raw["bucket"].between(8, 13), ["purity", "price", "year", "region", "note", "iso3", "country", "drug"], {"price": "Usd_per_Gram", "drug": "Substance"}),
+        "yearless": (raw["bucket"] > 13, ["country", "drug", "price", "iso3", "region"], {}),
+    }
+    for name, (mine, columns, renamed) in layouts.items():
+        rows = raw.where(mine).withColumn("note", F.lit('said "so", twice')).repartition("bucket").sortWithinPartitions("bucket", "line")
+        rows.select("bucket", *(F.col(c).alias(renamed.get(c, c)) for c in columns)).write.partitionBy("bucket").csv(f"{at}/{name}", header=True, escape='"')
+    clear_at_exit(spark, at)
+    return at
+
+
+_BUCKET = "try_cast(regexp_extract(file, 'bucket=([0-9]+)', 1) as long)"
+_FED = f"{RAW}, fed as (select *, line % 16 bucket, row_number() over (partition by line % 16 order by line) + 1 at_line from raw), judged as (select *, case when country is null or year is null or num is null then 'missing required fields' when drug = 'soap' then 'unknown drug' when num < 0 then 'negative price' end r from fed where bucket < 14)"
+
+
+@query("p1b_csv_rejects", f"with {_FED} select bucket, at_line line, 'Row ' || at_line || ': ' || r message from judged where r is not null")
+def p1b(spark, d):
+    records, _ = files.read_aliased_csv(spark, orders_feed(spark, d), FEED_ALIASES, ["drug", "country", "year", "price"])
+    return I.prices(records)[1].select(F.expr(_BUCKET).alias("bucket"), "line", "message")
 
 
 @query("s4_sharded_csv", "select o_orderkey, o_orderpriority, o_custkey from orders")
@@ -225,6 +257,22 @@ def s9(spark, d):
     return files.load_bundle({"prices": I.prices(raw), "precursor_prices": I.precursor_prices(raw)})
 
 
+@query("s9b_feed_report", f"""with {_FED}, c as (select 'prices' dataset, 'loaded' kind, count(*) filter (r is null) n, null::bigint bucket, null::bigint line, null::varchar message from judged
+  union all select 'prices', 'warning', null, bucket, at_line, 'Row ' || at_line || ': ' || r from judged where r is not null union all select distinct 'prices', 'warning', null::bigint, bucket, null::bigint, 'missing columns: year' from fed where bucket > 13
+  union all select 'precursor_prices', 'loaded', 0, null, null, null union all select distinct 'precursor_prices', 'warning', null::bigint, bucket, null::bigint, 'missing columns: precursor' || case when bucket > 13 then ', year' else '' end from fed where bucket >= 8
+  union all select 'precursor_prices', 'warning', null, bucket, at_line, 'Row ' || at_line || ': ' || q from (select *, case when country is null or year is null or num is null then 'missing required fields' when precursor = 'water' then 'unknown precursor' when num < 0 then 'negative price' end q from fed where bucket < 8) where q is not null
+  union all select 'nodes', 'error', null, null, null, 'PATH_NOT_FOUND') select * from c where kind <> 'loaded' or dataset = 'prices' union all select 'precursor_prices', 'loaded', count(*), null, null, null from fed where bucket < 8 and country is not null and year is not null and num >= 0 and precursor <> 'water'""")
+def s9b(spark, d):
+    at = orders_feed(spark, d)
+    _, report = files.load_feeds(spark, {
+        "prices": files.Feed(at, FEED_ALIASES, ["drug", "country", "year", "price"], I.prices),
+        "precursor_prices": files.Feed(at, FEED_ALIASES, ["precursor", "country", "year", "price"], I.precursor_prices),
+        "nodes": files.Feed(f"{at}/none", {"id": ["id"]}, ["id"], I.nodes),
+    })
+    message = F.when(F.col("kind") == "error", F.regexp_extract("message", "PATH_NOT_FOUND", 0)).otherwise(F.col("message"))
+    return report.select("dataset", "kind", "n", F.expr(_BUCKET).alias("bucket"), "line", message.alias("message"))
+
+
 @query("s10_fallback_dataset", "select n_nationkey, n_name from nation")
 def s10(spark, d):
     n = V.table(spark, d, "nation").select("n_nationkey", "n_name")

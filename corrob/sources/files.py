@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,16 +38,61 @@ def header_plan(headers: list[str], aliases: dict[str, list[str]], fallbacks: di
     return plan, ambiguous
 
 
-def read_aliased_csv(spark: SparkSession, path: str, aliases: dict[str, list[str]], required: list[str], fallbacks: dict[str, str] | None = None) -> tuple[DataFrame, list[str]]:
-    """(records as strings under canonical names, warnings). A missing required column gives no rows and one warning."""
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    plan, ambiguous = header_plan(raw.columns, aliases, fallbacks)
-    warnings = [f"ambiguous header: {h}" for h in ambiguous]
-    lacking = [f for f in required if f not in plan]
-    out = raw.select(*((F.col(f"`{plan[f]}`") if f in plan else F.lit(None).cast("string")).alias(f) for f in aliases))
-    if lacking:
-        return out.limit(0), [*warnings, "missing columns: " + ", ".join(lacking)]
-    return out, warnings
+#: White space that scripts trim: ASCII, the no-break space and the byte-order mark.
+_TRIMMED = " \t\n\x0b\f\r\u00a0\ufeff"
+_CSV = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "mode": "PERMISSIVE"}
+
+
+def text_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(lines as file, block, at, value; blocks as file, block, first, before, head) of text files, in folders too.
+
+    Lines are trimmed, blank ones left out. A file is read in blocks by many tasks; ``before`` counts the lines of the
+    blocks before, ``first`` is the place of a block's first line and ``head`` that line. So a line's number in its file
+    is before + at − first + 1, and all numbers and headers come from one pass that keeps a row a block.
+    """
+    trimmed = F.btrim("value", F.lit(_TRIMMED))
+    raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), trimmed.alias("value"))
+    lines = raw.where("value <> ''").withColumn("at", F.monotonically_increasing_id())
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.min_by("value", "at").alias("head"))
+    return lines, stash(blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "blocks")
+
+
+def read_aliased_csv(
+    spark: SparkSession, path: str, aliases: dict[str, list[str]], required: list[str], fallbacks: dict[str, str] | None = None, most_layouts: int = 1000, most_broadcast: int = 100_000
+) -> tuple[DataFrame, DataFrame]:
+    """(records, warnings) of one or many CSV files, each with its own header.
+
+    Records have ``file``, ``line`` (in the file, blank lines not counted, the header being 1) and the canonical fields as strings; null where a file has
+    no column for one. Warnings have ``file`` and ``message``: ambiguous headers, and missing required columns, for which
+    none of the file's rows are read. Headers may differ in order, names and number of columns; at most ``most_layouts``
+    different ones are planned, once each, and all files are parsed in one scan. Plans (a row a block of a file) are broadcast up to ``most_broadcast`` rows.
+    """
+    lines, blocks = text_blocks(spark, path)
+    heads = [r["head"] for r in blocks.where("before = 0").select("head").distinct().limit(most_layouts + 1).collect()]
+    if len(heads) > most_layouts:
+        raise ValueError(f"more than {most_layouts} different headers under {path}")
+    planned, width = [], 1
+    for head in heads:
+        names = next(csv.reader([head], skipinitialspace=True, strict=False))
+        names = [n.strip(_TRIMMED) for n in names]
+        plan, ambiguous = header_plan(names, aliases, fallbacks)
+        last = {n: i for i, n in enumerate(names)}
+        lacking = [f for f in required if f not in plan]
+        said = [f"ambiguous header: {h}" for h in ambiguous] + ["missing columns: " + ", ".join(lacking)] * bool(lacking)
+        planned.append((head, [last[plan[f]] if f in plan else -1 for f in aliases], not lacking, said))
+        width = max(width, len(names))
+    plans = spark.createDataFrame(planned, "head string, places array<int>, usable boolean, said array<string>")
+    files = blocks.where("before = 0").select("file", "head").join(F.broadcast(plans), "head")
+    warnings = files.select("file", F.explode("said").alias("message"))
+    known = stash(blocks.select("file", "block", "first", "before").join(files.where("usable").select("file", "places"), "file"), "layouts")
+    rows = lines.join(F.broadcast(known) if known.count() <= most_broadcast else known, ["file", "block"])
+    rows = rows.withColumn("line", F.col("before") + F.col("at") - F.col("first") + 1).where("line > 1")
+    parsed = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), _CSV)
+    fields = rows.select("file", "line", "places", parsed.alias("c")).select("file", "line", "places", F.array(*(F.col(f"c.c{i}") for i in range(width))).alias("fields"))
+    field = lambda i: F.get("fields", F.when(F.get("places", F.lit(i)) >= 0, F.get("places", F.lit(i))))
+    return fields.select("file", "line", *(field(i).alias(f) for i, f in enumerate(aliases))), warnings
 
 
 def read_sharded_csv(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -109,6 +159,51 @@ def load_bundle(sets: dict[str, Checked]) -> DataFrame:
     return out
 
 
+@dataclass(frozen=True)
+class Feed:
+    """A data set's files and how they are read: the parser takes the records and gives (valid rows, rejects).
+
+    ``knows``: data sets whose ids the parser takes as well, as a table with ``region``.
+    """
+
+    path: str
+    aliases: dict[str, list[str]]
+    required: list[str]
+    parser: Callable[..., tuple[DataFrame, DataFrame]]
+    fallbacks: dict[str, str] | None = None
+    knows: tuple[str, ...] = ()
+
+
+def load_feeds(spark: SparkSession, feeds: dict[str, Feed]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables by data set, report) of whatever feeds are given; one that can't be read is an error of its own.
+
+    The report has ``dataset, kind, n, file, line, message``: a ``loaded`` row with the number of rows for each data set
+    that could be read, a ``warning`` for each header and row that wasn't taken, an ``error`` for each that couldn't be
+    read. Data sets whose ids others ask for are read first, whatever the order. Each is parsed once and written.
+    """
+    tables: dict[str, DataFrame] = {}
+    schema = "dataset string, kind string, n long, file string, line long, message string"
+    report = spark.createDataFrame([], schema)
+    row = lambda name, kind, n, file, line, message: [F.lit(name).alias("dataset"), F.lit(kind).alias("kind"), n.cast("long").alias("n"), file.alias("file"), line.cast("long").alias("line"), message.alias("message")]
+    none = F.lit(None).cast("string")
+    for name in sorted(feeds, key=lambda k: bool(feeds[k].knows)):
+        feed = feeds[name]
+        try:
+            records, headers = read_aliased_csv(spark, feed.path, feed.aliases, feed.required, feed.fallbacks)
+            known = [tables[k].select(F.col("id").alias("region")) for k in feed.knows if k in tables]
+            more = [known[0] if len(known) == 1 else reduce(DataFrame.unionByName, known)] if known else []
+            valid, rejects = feed.parser(records, *more)
+            tables[name], rejects = stash(valid, f"feed-{name}"), stash(rejects, f"rejects-{name}")
+        except (AnalysisException, ValueError) as e:
+            message = str(e).splitlines()[0]
+            report = report.unionByName(spark.createDataFrame([(name, "error", None, None, None, message)], schema))
+            continue
+        report = report.unionByName(tables[name].agg(F.count(F.lit(1)).alias("rows")).select(*row(name, "loaded", F.col("rows"), none, none, none)))
+        report = report.unionByName(headers.select(*row(name, "warning", none, F.col("file"), none, F.col("message"))))
+        report = report.unionByName(rejects.select(*row(name, "warning", none, F.col("file"), F.col("line"), F.col("message"))))
+    return tables, report
+
+
 def fallback_dataset(loaded: DataFrame, bundled: DataFrame) -> DataFrame:
     """The loaded rows, or the bundled ones if none was loaded."""
     return bundled if loaded.isEmpty() else loaded.select(*bundled.columns)
