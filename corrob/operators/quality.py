@@ -60,10 +60,11 @@ def citation_coverage(df: DataFrame, citations: str) -> DataFrame:
     return df.agg(c.alias("cited"), n.alias("total"), F.when(n > 0, half_up(c / n * 100, 1)).alias("pct"))
 
 
-def rule_scan(df: DataFrame, key: str, columns: list[str], rules: list[tuple[str, str]]) -> DataFrame:
+def rule_scan(df: DataFrame, key: str | list[str], columns: list[str], rules: list[tuple[str, str]]) -> DataFrame:
     """key, field, rule: every rule that matches any text column. Rules are few; texts are read once."""
+    keys = [key] if isinstance(key, str) else key
     hits = [F.when(F.col(c).rlike(p), F.struct(F.lit(c).alias("field"), F.lit(n).alias("rule"))) for c in columns for p, n in rules]
-    return df.select(key, F.explode(F.array_compact(F.array(*hits))).alias("h")).select(key, "h.field", "h.rule")
+    return df.select(*keys, F.explode(F.array_compact(F.array(*hits))).alias("h")).select(*keys, "h.field", "h.rule")
 
 
 def forbidden_columns(df: DataFrame, denied: set[str]) -> list[str]:
@@ -81,12 +82,6 @@ def forbidden_columns(df: DataFrame, denied: set[str]) -> list[str]:
     return list(walk(df.schema, []))
 
 
-def forbidden_json_keys(df: DataFrame, key: str, json: str, denied: list[str]) -> DataFrame:
-    """key, name: denied top-level keys of a JSON column; unreadable JSON has none."""
-    names = F.json_object_keys(json)
-    return df.select(key, F.explode(F.array_intersect(names, F.array(*map(F.lit, denied)))).alias("name"))
-
-
 def history_gate(df: DataFrame, chain: str, order: str, kind: str, first_kind: str, digest: str, time: str) -> DataFrame:
     """Per chain: first event of the right type, all hashes different, times never going back."""
     w = Window.partitionBy(chain).orderBy(order)

@@ -8,12 +8,16 @@ from corrob.functions.sources import family_sql, source_family
 from corrob.operators import aggregate as A
 from corrob.operators import graph as G
 from corrob.operators import quality as Q
+from corrob.operators import records as R
 from corrob.operators import text as N
 from corrob.operators.ingest import Rule
 from corrob.plans import views as V
 from corrob.plans.aggregate_queries import AUDITED, audited
 from corrob.plans.registry import ORACLE, query
+from corrob.sources.shared import clear_at_exit, new_path
+from corrob.streaming import imports as P
 from corrob.streaming import incremental as I
+from corrob.streaming.summaries import SURFACE, Contract
 
 EDGES = V.ENTITIES + ", edges as (select a, b, count(*) weight from (select x a, unnest(countries) b from (select countries, unnest(countries) x from entities)) where a < b group by all)"
 
@@ -265,9 +269,36 @@ def q6(spark, d):
     return Q.rule_scan(V.table(spark, d, "documents"), "doc_id", ["text"], BANNED)
 
 
-@query("q7_forbidden_fields", "select event_id, unnest(list_filter(json_keys(props), lambda k: k in ('k', 'email'))) as \"name\" from events")
+#: An event as a record with records inside; those of errors say their properties only.
+_RECORD = """case when event_type = 'error' then props else concat('{"z":', cast(`value` as string), ',"Props":', props, ',"owner":{"E-Mail":"u', user_id, '@example.org","more":[{"Phone Number":', event_id, ',"b":null,"B":true},"', event_type, ' said é",[]]}}') end"""
+
+
+def event_records(spark, d):
+    """event_id and ``record``."""
+    return V.table(spark, d, "events").select("event_id", "event_type", F.expr(_RECORD).alias("record"))
+
+
+@query("q6b_strings_anywhere", "select event_id, 'owner.E-Mail' path, 'address' \"rule\" from events where event_type <> 'error' union all select event_id, 'owner.more.1', 'purchase' from events where event_type = 'purchase'")
+def q6b(spark, d):
+    said = R.strings(R.nodes(event_records(spark, d), "event_id", "record"))
+    return Q.rule_scan(said, ["event_id", "path"], ["text"], [("@[a-z]+[.]org", "address"), ("^purchase\\b", "purchase")]).drop("field")
+
+
+@query("q7_forbidden_fields", "select event_id, unnest(case when event_type = 'error' then ['k'] else ['Props.k', 'owner.E-Mail', 'owner.more.0.Phone Number'] end) path from events")
 def q7(spark, d):
-    return Q.forbidden_json_keys(V.table(spark, d, "events"), "event_id", "props", ["k", "email"])
+    return R.forbidden_keys(R.nodes(event_records(spark, d), "event_id", "record"), (*R.PERSONAL_KEYS, "k"))
+
+
+_CANON = """case when event_type = 'error' then replace(props, ' ', '') else concat('{"Props":', replace(props, ' ', ''), ',"owner":{"E-Mail":"u', user_id, '@example.org","more":[{"B":true,"Phone Number":', event_id, ',"b":null},"', event_type, ' said é",[]]},"z":', regexp_replace(cast("value" as varchar), '[.]0$', ''), '}') end"""
+
+
+@query("f29b_canonical_hash", f"select event_id, sha256({_CANON}) h, event_type <> 'click' verified from events")
+def f29b(spark, d):
+    """Hashes of nested records; each record then carries its hash, those of clicks one of other content."""
+    r = event_records(spark, d).withColumn("h", R.content_hash(F.col("record")))
+    said = F.when(F.col("event_type") == "click", F.sha2("record", 224)).otherwise(F.col("h"))
+    carried = F.concat(F.lit('{"contentHash":"'), said, F.lit('",'), F.substring("record", 2, 1 << 30))
+    return R.verify_hashes(r.withColumn("record", carried), "record").select("event_id", "h", "verified")
 
 
 @query("q8_history_gate", "with m as (select *, row_number() over w rn, ts < lag(ts) over w back from events window w as (partition by user_id order by event_id)) select user_id, max(case when rn = 1 then event_type end) = 'click' starts_right, count(*) = count(distinct \"value\") unique_hashes, count(*) filter (back) = 0 monotone from m group by user_id")
@@ -338,11 +369,33 @@ def events_stream(spark, d, files=4):
     return I.stream_table(spark, d, "events", files).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("i1_firewall", "select case when json_extract_string(props, '$.k') is null then 'missing key' when \"value\" < 0.5 then 'value too small' when event_type = 'error' then 'unexpected type' else 'accepted' end reason, count(*) n from events group by 1")
+_SUMMARY = """concat('{"schema_version":"summary/v1","producer":"', case when user_id % 7 = 0 then 'other' else 'monitor' end, '","data_classification":"PRIVATE_ANALYST_REVIEW","review_status":"HUMAN_REVIEW_REQUIRED","publication_eligible":', case when user_id % 11 = 0 then '"false"' else 'false' end,
+  ',"intended_consumers":["analysts"],"window":{"start":"2024-01-01T00:00:00Z","end":"', case when user_id % 13 = 0 then '2023-12-31T00:00:00Z' else '2024-02-01T00:00:00.5Z' end, '","complete":true', case when user_id % 17 = 0 then ',"note":1' else '' end,
+  '},"sampling_frame":{"surface":"SURFACE","universal_telegram_coverage":false,"raw_messages_included":false,"exact_iocs_included":false,"source_identifiers_included":false},"coverage":{"messages_observed":', n, ',"messages_flagged":', errors, ',"sources_observed":', kinds,
+  ',"collection_errors":', case when user_id % 5 = 0 then '1.5' else '0' end, '},"detections":{"status":"', case when n >= 60 then 'AVAILABLE_FOR_REVIEW' else 'INSUFFICIENT_COVERAGE' end, '","minimum_messages":60,"minimum_sources":2,"tier_counts":{', case when n >= 60 or user_id % 3 = 0 then concat('"', case when user_id % 19 = 0 then 'SURE' else 'WATCH' end, '":', errors) else '' end,
+  '},"family_counts":{', case when user_id % 23 = 0 then '"-bad":1' else '' end, '}},"limitations":["unverified"]}')""".replace("SURFACE", SURFACE)
+_MONITORED = "select user_id, count(*) n, count(*) filter (where event_type = 'error') errors, count(distinct event_type) kinds from events group by user_id"
+_WRONG = [
+    ("producer: unknown", "user_id % 7 = 0"), ("publication_eligible: not false", "user_id % 11 = 0"), ("window: end doesn't follow start", "user_id % 13 = 0"), ("window: keys", "user_id % 17 = 0"), ("coverage.collection_errors: no count", "user_id % 5 = 0"),
+    ("detections.tier_counts: unknown name", "user_id % 19 = 0 and (n >= 60 or user_id % 3 = 0)"), ("detections.family_counts: unknown name", "user_id % 23 = 0"), ("detections: counts not suppressed", "n < 60 and (user_id % 3 = 0 or user_id % 23 = 0)"), ("detections: coverage too small", "n >= 60 and kinds < 2"),
+]
+
+
+def written(spark, df, name):
+    """``df`` as a table of files, to be read as a stream."""
+    at = new_path(spark, name)
+    df.write.parquet(f"{at}/{name}.parquet")
+    clear_at_exit(spark, at)
+    return at
+
+
+@query("i1_firewall", "with s as (" + _MONITORED + "), f as (" + " union all ".join(f"""select user_id, '{r.replace("'", "''")}' reason from s where {c}""" for r, c in _WRONG) + ") select user_id, reason from f union all select user_id, 'accepted' from s where user_id not in (select user_id from f)")
 def i1(spark, d):
-    rules = [Rule(F.get_json_object("props", "$.k").isNull(), "missing key"), Rule(F.col("value") < 0.5, "value too small"), Rule(F.col("event_type") == "error", "unexpected type")]
-    out = I.drain(I.firewall(events_stream(spark, d), rules).select("event_id", "reason"), "firewall")
-    return out.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    e = V.table(spark, d, "events")
+    s = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.countDistinct("event_type").alias("kinds"))
+    at = written(spark, s.select("user_id", F.expr(_SUMMARY).alias("record")), "summaries")
+    accepted, rejects = P.screen(I.stream_table(spark, at, "summaries"), "record", Contract("summary/v1", "monitor", "analysts"), f"{at}/state")
+    return accepted.read().select("user_id", F.lit("accepted").alias("reason")).unionByName(rejects.read().select("user_id", "reason"))
 
 
 @query("i2_coverage_suppression", "with g as (select user_id, count(*) messages, count(distinct event_type) sources, count(*) filter (event_type = 'error') n from events group by user_id) select user_id, messages, sources, case when messages >= 60 and sources >= 5 then n end n, case when messages >= 60 and sources >= 5 then 'sufficient' else 'insufficient' end status from g")
@@ -351,10 +404,15 @@ def i2(spark, d):
     return I.suppressed(g, "n", "messages", "sources", 60, 5)
 
 
-@query("i3_idempotent_import", "select distinct event_id from events")
+@query("i3_idempotent_import", "with c as (select *, props is distinct from lag(props) over (partition by user_id order by ts, event_id) changed from events) select user_id, count(*) filter (changed) snapshots, count(*) filter (changed) receipts, max_by(sha256(props), row(ts, event_id)) \"current\" from c group by user_id")
 def i3(spark, d):
-    e = events_stream(spark, d)
-    return I.drain(I.idempotent(e.unionByName(e), ["event_id"], "ts", "400 days").select("event_id"), "import")
+    """The events of each user as records of one source, imported; then once more by the same stream, which has nothing left to do."""
+    state = new_path(spark, "import")
+    clear_at_exit(spark, state)
+    for _ in range(2):
+        snapshots, receipts = P.import_snapshots(events_stream(spark, d, None), "user_id", F.col("props"), ["ts", "event_id"], state)
+    kept = snapshots.read().groupBy("user_id").agg(F.count(F.lit(1)).alias("snapshots"), F.max_by("sha256", F.struct("imported_at", "at")).alias("current"))
+    return kept.join(receipts.read().groupBy("user_id").agg(F.count(F.lit(1)).alias("receipts")), "user_id", "left")
 
 
 @query("i4_hourly_snapshot", "with w as (select cast(floor(epoch(ts) / 3600) as bigint) w, arg_max(\"value\", ts) latest, count(*) n from events group by 1) select w * 3600 hour_s, latest, n from w where (w + 1) * 3600 <= (select epoch(max(ts)) - 600 from events)")
@@ -367,11 +425,16 @@ def i5(spark, d):
     return I.drain(events_stream(spark, d).select("event_id", C.content_key(F.col("event_id"), F.col("event_type")).alias("receipt")), "ledger")
 
 
-@query("i6_observation_stream", f"with {_seen(None)} select keyword, count(distinct fingerprint) n from seen group by keyword")
+@query("i6_observation_stream", f"with then_ as (with {_seen(None, f'(select page_id, url, {_THEN} html from pages)')} select keyword, fingerprint from seen), now_ as (with {_seen(None)} select keyword, fingerprint from seen), t as (select count(*) n, count(distinct fingerprint) u from then_), n as (select count(*) n, count(distinct case when fingerprint not in (select fingerprint from then_) then fingerprint end) u from now_) select 'first' run, n found, n - u suppressed from t union all select 'second', n, n - u from n")
 def i6(spark, d):
-    pages = I.stream_table(spark, d, "pages")
-    out = I.drain(N.keyword_observations(pages, KEYWORDS).dropDuplicates(["fingerprint"]), "observations")
-    return out.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
+    """Two runs over the pages; those of one host said another word in the first."""
+    state = new_path(spark, "observations")
+    clear_at_exit(spark, state)
+    pages = I.stream_table(spark, d, "pages").select("page_id", "url", "html")
+    find = lambda df: N.keyword_observations(df, KEYWORDS)
+    P.observe(pages.withColumn("html", F.expr(_THEN)), find, state, "first")
+    _, counts = P.observe(pages, find, state, "second")
+    return counts.read().groupBy("run").agg(F.sum("found").alias("found"), F.sum("suppressed").alias("suppressed"))
 
 
 @query("i7_weekly_rollup", "with w as (select cast(floor(epoch(ts) / 604800) as bigint) w, event_type, count(*) n, cast(sum(floor(\"value\")) as bigint) total from events group by all) select w * 604800 week_s, event_type, n, total from w where (w + 1) * 604800 <= (select epoch(max(ts)) - 86400 from events)")

@@ -6,6 +6,7 @@ from corrob.functions import columns as C
 from corrob.functions.columns import half_up
 from corrob.functions.sources import HOST_SQL, family_label, family_sql, reliability_weight, source_family, tier_sql
 from corrob.operators import aggregate as A
+from corrob.operators import records as R
 from corrob.operators import series as S
 from corrob.plans import views as V
 from corrob.plans.registry import query
@@ -282,10 +283,11 @@ def f28(spark, d):
     return V.table(spark, d, "conversations").select("conv_id", "turn", C.content_key(F.col("conv_id"), F.nullif("role", F.lit("user")), F.col("text")).alias("k"))
 
 
-@query("f29_row_hash", """select n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') h from nation""")
+@query("f29_row_hash", """select n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || case when n_regionkey = 0 then 'null' else n_regionkey::varchar end || '}') h from nation""")
 def f29(spark, d):
-    n = V.table(spark, d, "nation")
-    return n.select("n_nationkey", F.sha2(F.to_json(F.struct(*sorted(n.columns))), 256).alias("h"))
+    n = V.table(spark, d, "nation").select("n_regionkey", "n_name", "n_nationkey")
+    n = n.withColumn("n_regionkey", F.nullif("n_regionkey", F.lit(0)))
+    return n.select("n_nationkey", R.content_hash(R.row_json(*n.columns)).alias("h"))
 
 
 @query("f31_phrase_match", f"with {V.ENTITIES} select entity, case when regexp_matches(program, 'URGENT') then 'name' else 'alias' end field from entities where regexp_matches(program, 'URGENT') or len(list_filter(countries, lambda c: regexp_matches(c, '_13$'))) > 0")

@@ -28,6 +28,12 @@ def _file(spark: SparkSession, at: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def exists(spark: SparkSession, at: str) -> bool:
+    """Whether there is a file or folder at ``at``."""
+    files, path = _file(spark, at)
+    return files.exists(path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/corrob-{name}-{uuid.uuid4().hex}"
