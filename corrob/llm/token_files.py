@@ -164,7 +164,8 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 
     @F.pandas_udf("long")
     def joined(groups: pd.Series) -> pd.Series:
-        return pd.Series([joined_crc([(r["crc"], r["bytes"]) for r in g]) for g in groups], dtype="int64")
+        return pd.Series([None if g is None else joined_crc([(r["crc"], r["bytes"]) for r in g]) for g in groups], dtype="Int64")
 
     one = parts.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("part", "crc", "bytes"))).alias("parts"))
-    return one.select("doc_id", "start", "n_tokens", joined("parts").alias("ids_crc32"))
+    several = F.when(F.size("parts") > 1, F.col("parts"))
+    return one.select("doc_id", "start", "n_tokens", F.coalesce(joined(several), F.col("parts")[0]["crc"]).alias("ids_crc32"))
