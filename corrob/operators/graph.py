@@ -81,22 +81,6 @@ def articulation_points(edges: DataFrame) -> DataFrame:
     return nodes.join(near, nodes["node"] == near["gone"], "left").select("node", (F.coalesce("n", F.lit(0)) > 1).alias("articulation"))
 
 
-def _tokens(c):
-    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), " "), lambda t: t != ""))
-
-
-def search_entities(df: DataFrame, key: str, name: str, aliases: str, text: str) -> DataFrame:
-    """Entities whose name, or else one alias, has every whole word of the query in any order; matched alias or null."""
-    spark = df.sparkSession
-    words = spark.range(1).select(_tokens(F.lit(text)).alias("w")).first()["w"] if len(text.strip()) >= 2 else []
-    if not words:
-        return df.select(key, F.lit(None).cast("string").alias("alias")).limit(0)
-    wanted = F.array(*map(F.lit, words))
-    fits = lambda c: F.size(F.array_intersect(_tokens(c), wanted)) == len(words)
-    found = F.filter(aliases, fits)
-    return df.where(fits(F.col(name)) | (F.size(found) > 0)).select(key, F.when(~fits(F.col(name)), F.get(found, 0)).alias("alias"))
-
-
 def evidence_graph(regions: DataFrame, conflicts: DataFrame, inflows: DataFrame, outflows: DataFrame, corridors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes: id, kind, weight; edges: a, b, relation, weight, source_name, source_url)."""
     p = lambda kind, c: F.concat(F.lit(f"{kind}:"), c)

@@ -6,10 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrob.functions.columns import content_key, extract_items, normalize_body, strip_tags
+from corrob.sources.shared import stash
 
 
 def read_pages(pages: DataFrame, tag: str | None = None, klass: str | None = None, most: int | None = None) -> DataFrame:
@@ -51,24 +52,52 @@ def dedupe_against(new: DataFrame, seen: DataFrame, keys: list[str]) -> DataFram
     return new.join(seen.select(*keys).distinct(), keys, "left_anti")
 
 
-def hash_chain(df: DataFrame, chain: str, order: str, payload: Column) -> DataFrame:
+def hash_chain(df: DataFrame, chain: str, order: str, payload: Column, after: DataFrame | None = None) -> DataFrame:
     """chain, order, previous_hash, hash: each record carries the hash of the one before.
 
-    A chain is sequential by nature. Records are sorted within partitions by chain and order, and a worker folds over
+    ``after`` (chain, hash) has the last hashes of chains that go on; others begin anew. A chain is sequential by
+    nature. Records are sorted within partitions by chain and order, and a worker folds over
     them with one hash in hand, so chains of any length take linear time and no memory.
     """
     each = df.select(chain, order, F.sha2(payload, 256).alias("p"))
+    if after is None:
+        each = each.withColumn("start", F.lit(""))
+    else:
+        each = each.join(after.select(chain, F.col("hash").alias("start")), chain, "left").fillna("", ["start"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, prev = object(), ""
         for b in batches:
-            before, after = [], []
-            for k, p in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                prev, last = prev if k == last else "", k
+            before, hashes = [], []
+            for k, p, start in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                prev, last = prev if k == last else start, k
                 before.append(prev)
                 prev = hashlib.sha256((prev + p).encode()).hexdigest()
-                after.append(prev)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(before, pa.string()), pa.array(after, pa.string())], names=[chain, order, "previous_hash", "hash"])
+                hashes.append(prev)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(before, pa.string()), pa.array(hashes, pa.string())], names=[chain, order, "previous_hash", "hash"])
 
     types = dict(each.dtypes)
     return each.repartition(chain).sortWithinPartitions(chain, order, "p").mapInArrow(run, f"`{chain}` {types[chain]}, `{order}` {types[order]}, previous_hash string, hash string")
+
+
+def last_hashes(chained: DataFrame, chain: str, order: str) -> DataFrame:
+    """chain, hash: where each chain ends."""
+    return chained.groupBy(chain).agg(F.max_by("hash", order).alias("hash"))
+
+
+def verify_chain(chained: DataFrame, chain: str, order: str, payload: Column) -> DataFrame:
+    """chain, links, broken, first_broken: links whose hash isn't that of their payload and the one before, or that name another one before.
+
+    A link is checked by itself, so any part of a chain can be: records are dealt by ranges of chain and order, each is held against the one before it in its range, and
+    the ends of ranges are exchanged, a row for each chain in a range. ``order`` is unique in a chain.
+    """
+    own = F.col("hash").eqNullSafe(F.sha2(F.concat("previous_hash", F.sha2(payload, 256)), 256))
+    each = chained.select(F.col(chain).alias("c"), F.col(order).alias("o"), "previous_hash", "hash", own.alias("own"))
+    dealt = stash(each.repartitionByRange("c", "o").withColumn("range", F.spark_partition_id()), "links")
+    inside, between = Window.partitionBy("c", "range").orderBy("o"), Window.partitionBy("c").orderBy("range")
+    ends = dealt.groupBy("c", "range").agg(F.max_by("hash", "o").alias("end"), F.min("o").alias("o"))
+    ends = ends.withColumn("end", F.coalesce(F.lag("end").over(between), F.lit("")))
+    links = dealt.withColumn("inner", F.lag("hash").over(inside)).join(ends, ["c", "range", "o"], "left")
+    wrong = ~F.col("own") | ~F.col("previous_hash").eqNullSafe(F.coalesce("inner", "end"))
+    told = links.groupBy("c").agg(F.count(F.lit(1)).alias("links"), F.count_if(wrong).alias("broken"), F.min(F.when(wrong, F.col("o"))).alias("first_broken"))
+    return told.withColumnRenamed("c", chain)

@@ -1,5 +1,6 @@
 """Queries of graphs (G), text (N), quality gates (Q) and streams (I)."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corrob.functions import columns as C
@@ -9,12 +10,13 @@ from corrob.operators import aggregate as A
 from corrob.operators import graph as G
 from corrob.operators import quality as Q
 from corrob.operators import records as R
+from corrob.operators import rules as L
 from corrob.operators import text as N
 from corrob.operators.ingest import Rule
 from corrob.plans import views as V
 from corrob.plans.aggregate_queries import AUDITED, audited
 from corrob.plans.registry import ORACLE, query
-from corrob.sources.shared import clear_at_exit, new_path
+from corrob.sources.shared import clear_at_exit, new_path, stash
 from corrob.streaming import imports as P
 from corrob.streaming import incremental as I
 from corrob.streaming.summaries import SURFACE, Contract
@@ -90,11 +92,18 @@ def g4(spark, d):
     return A.hhi(e, ["program"], "n", "one").select("program", "hhi")
 
 
-@query("g5_search_entities", r"""with p as (select p_partkey, p_name, p_brand || ' (' || p_type || ')' alias from part), t as (select *, string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ') a, string_split(trim(regexp_replace(lower(alias), '[^a-z0-9]+', ' ', 'g')), ' ') b from p)
-  select p_partkey, case when not list_has_all(a, ['economy', '11', 'brand']) then alias end alias from t where list_has_all(a, ['economy', '11', 'brand']) or list_has_all(b, ['economy', '11', 'brand'])""")
+_PART_WORDS = "string_split(trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g')), ' ')"
+
+
+@query("g5_search_entities", f"""with p as (select p_partkey, p_name, p_brand || ' (' || p_type || ')' alias from part), t as (select *, {_PART_WORDS.format(x='p_name')} a, {_PART_WORDS.format(x='alias')} b from p),
+  q as (select p_partkey query, case when p_partkey % 100 = 0 then p_type || ', ' || p_brand else split_part(p_name, ' ', 2) || '-' || upper(split_part(p_name, ' ', 1)) end said from part where p_partkey % 50 = 0), w as (select query, {_PART_WORDS.format(x='said')} w from q)
+  select query, p_partkey "key", case when not list_has_all(a, w) then alias end alias from w join t on list_has_all(a, w) or list_has_all(b, w)""")
 def g5(spark, d):
+    """Names of parts, with brand and type as alias; every fiftieth part asks for its type and brand or for its name turned round."""
     p = V.table(spark, d, "part").withColumn("aliases", F.array(F.concat("p_brand", F.lit(" ("), "p_type", F.lit(")"))))
-    return G.search_entities(p, "p_partkey", "p_name", "aliases", "Economy, 11 BRAND")
+    index = stash(L.name_index(p, "p_partkey", "p_name", "aliases"), "name-index")
+    q = p.where("p_partkey % 50 = 0").select("p_partkey", F.expr("case when p_partkey % 100 = 0 then p_type || ', ' || p_brand else split_part(p_name, ' ', 2) || '-' || upper(split_part(p_name, ' ', 1)) end").alias("said"))
+    return L.search_names(index, q, "p_partkey", "said")
 
 
 def _graph(spark, d):
@@ -184,6 +193,21 @@ def n4(spark, d):
     return N.hash_chain(V.table(spark, d, "conversations"), "conv_id", "turn", F.concat(F.coalesce("role", F.lit("")), F.lit("\x1f"), F.coalesce("text", F.lit(""))))
 
 
+_SAID = "concat(coalesce(role, ''), '\x1f', coalesce(text, ''))"
+
+
+@query("n4b_verify_chain", "with t as (select conv_id, turn, row_number() over (partition by conv_id order by turn) rn from conversations) select conv_id, count(*) links, case when conv_id % 5 = 0 and count(*) > 1 then 1 else 0 end broken, case when conv_id % 5 = 0 then max(case when rn = 2 then turn end) end first_broken from t group by conv_id")
+def n4b(spark, d):
+    """Chains made in two runs, the second going on from the last hashes of the first; the second record of every fifth chain is then another."""
+    c = V.table(spark, d, "conversations").withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    first = stash(N.hash_chain(c.where("rn <= 3"), "conv_id", "turn", F.expr(_SAID)), "chain")
+    then = N.hash_chain(c.where("rn > 3"), "conv_id", "turn", F.expr(_SAID), N.last_hashes(first, "conv_id", "turn"))
+    said = F.when((F.col("conv_id") % 5 == 0) & (F.col("rn") == 2), F.concat(F.expr(_SAID), F.lit("!"))).otherwise(F.expr(_SAID))
+    chained = first.unionByName(then).join(c.select("conv_id", "turn", said.alias("said")), ["conv_id", "turn"])
+    return N.verify_chain(chained, "conv_id", "turn", F.col("said"))
+
+
+
 @query("f25_normalize_body", f"select page_id, sha256({_BODY.format(x="coalesce(html, '')")}) body from pages")
 def f25(spark, d):
     return V.table(spark, d, "pages").select("page_id", F.sha2(C.normalize_body(F.col("html")), 256).alias("body"))

@@ -2,11 +2,13 @@
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corrob.functions import columns as C
 from corrob.functions.columns import half_up
 from corrob.operators import ingest as I
+from corrob.operators import rules as L
 from corrob.operators.aggregate import summable
 from corrob.plans import views as V
 from corrob.plans.aggregate_queries import AUDITED, audited
@@ -362,14 +364,31 @@ def j15(spark, d):
     return V.table(spark, d, "part").select("p_partkey", C.first_match(F.col("p_name"), rules, F.lit("none")).alias("rule"))
 
 
-@query("j17_longest_prefix_rule", r"""with u as (select page_id, lower(regexp_extract(url, '://([^/?#]+)', 1)) host, coalesce(nullif(regexp_extract(url, '://[^/?#]+([^?#]*)', 1), ''), '/') path from pages),
-  r(suffix, prefix, verdict) as (values ('net', '/', 'disallow'), ('net', '/en/', 'allow'), ('com', '/de/', 'disallow'), ('com', '/de/5', 'allow'))
-  select page_id, coalesce(arg_max(verdict, len(prefix)), 'allow') verdict from u left join r on suffix = regexp_extract(host, '([^.]+)$', 1) and starts_with(path, prefix) group by page_id""")
+@query("j15b_phrase_rules", r"""with w as (select item_id, string_split(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') w from benchmark where text is not null), p as (select item_id, array_to_string(w[1:2], ' ') literal, array_to_string(w[1:3], ' ') longer, len(w) n from w),
+  r as (select row_number() over (order by item_id) "rule", literal, case when n >= 3 then longer end longer from p where literal <> '') select doc_id, "rule" from documents join r on contains(text, case when "rule" % 2 = 0 and longer is not null then longer else literal end)""")
+def j15b(spark, d):
+    """The first words of all benchmark items as rules over all documents: half of them as they are, half as patterns that want the third word too."""
+    b = V.table(spark, d, "benchmark").where("text is not null").select("item_id", F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ").alias("w"))
+    b = b.select("item_id", F.array_join(F.slice("w", 1, 2), " ").alias("literal"), F.when(F.size("w") >= 3, F.array_join(F.slice("w", 1, 3), " ")).alias("longer")).where("literal <> ''")
+    rules = b.withColumn("rule", F.row_number().over(Window.orderBy("item_id")).cast("long"))  # a row an item
+    quoted = F.regexp_replace("longer", r"([^\p{L}\p{N} ])", r"\\$1")
+    return L.pattern_hits(V.table(spark, d, "documents"), "doc_id", "text", rules.withColumn("pattern", F.when((F.col("rule") % 2 == 0) & F.col("longer").isNotNull(), quoted)))
+
+
+_PAGE = r"lower(regexp_extract(url, '://([^/?#]+)', 1)) host, coalesce(nullif(regexp_extract(url, '://[^/?#]+([^?#]*)', 1), ''), '/') path"
+
+
+@query("j17_longest_prefix_rule", rf"""with u as (select page_id, {_PAGE} from pages), r as (select host, page_id seq, case page_id % 3 when 0 then '*' when 1 then 'collect' else 'other' end agent, case when page_id % 2 = 0 then 'disallow' else 'allow' end type, substr(path, 1, 1 + page_id % 9) prefix from u where host <> ''),
+  b as (select host, prefix, arg_min(type, seq) type from r where agent <> 'other' group by all), m as (select page_id, arg_max(type, len(prefix)) type from u join b on u.host = b.host and starts_with(path, prefix) group by page_id)
+  select page_id, coalesce(type <> 'disallow', true) allowed from u left join m using (page_id)""")
 def j17(spark, d):
-    u = V.table(spark, d, "pages").select("page_id", C.host_of(F.col("url")).alias("host"), F.coalesce(F.nullif(F.try_parse_url("url", F.lit("PATH")), F.lit("")), F.lit("/")).alias("path"))
-    rules = spark.createDataFrame([("net", "/", "disallow"), ("net", "/en/", "allow"), ("com", "/de/", "disallow"), ("com", "/de/5", "allow")], "suffix string, prefix string, verdict string")
-    hit = u.join(F.broadcast(rules), (F.regexp_extract("host", r"([^.]+)$", 1) == F.col("suffix")) & F.col("path").startswith(F.col("prefix")), "left")  # four rules
-    return hit.groupBy("page_id").agg(F.coalesce(F.max_by("verdict", F.length("prefix")), F.lit("allow")).alias("verdict"))
+    """Each page gives its host a rule: the beginning of its path, for all agents, for this one or for another."""
+    path = F.coalesce(F.nullif(F.regexp_extract("url", "://[^/?#]+([^?#]*)", 1), F.lit("")), F.lit("/"))
+    u = V.table(spark, d, "pages").select("page_id", F.lower(F.regexp_extract("url", "://([^/?#]+)", 1)).alias("host"), path.alias("path"))
+    agent = F.element_at(F.array(*map(F.lit, ("*", "collect", "other"))), (F.col("page_id") % 3 + 1).cast("int"))
+    type_ = F.when(F.col("page_id") % 2 == 0, "disallow").otherwise("allow")
+    rules = u.where("host <> ''").select("host", F.col("page_id").alias("seq"), agent.alias("agent"), type_.alias("type"), F.expr("substr(path, 1, cast(1 + page_id % 9 as int))").alias("path"))
+    return L.decide_paths(u, rules, "Collector/1.0").select("page_id", "allowed")
 
 
 @query("j18_mapped_population", "select s_suppkey, count(c_custkey) n, count(c_custkey) = 0 missing from supplier left join customer on c_nationkey = s_nationkey and c_nationkey <> 4 group by s_suppkey")

@@ -10,6 +10,7 @@ from corrob.operators import fusion as R
 from corrob.operators import graph as G
 from corrob.operators import ingest as I
 from corrob.operators import quality as Q
+from corrob.operators import rules as L
 from corrob.operators import series as S
 from corrob.operators import text as N
 from corrob.operators import triangulate as T
@@ -201,7 +202,8 @@ def test_graph(spark):
 
 def test_search(spark):
     df = spark.createDataFrame([(1, "ZHAO, Wei", ["Wei Chao"]), (2, "Roman Zhao", [])], "id int, name string, aliases array<string>")
-    find = lambda q: [tuple(r) for r in G.search_entities(df, "id", "name", "aliases", q).collect()]
+    asked = lambda q: spark.createDataFrame([(1, q)], "q int, said string")
+    find = lambda q: [tuple(r)[1:] for r in L.search_names(L.name_index(df, "id", "name", "aliases"), asked(q), "q", "said").collect()]
     assert find("Wei  Chao ") == [(1, "Wei Chao")] and find("zhao roman") == [(2, None)] and find("Zhao Romans") == [] and find("a") == []
 
 
