@@ -150,18 +150,31 @@ def content_key(*parts: Column) -> Column:
 BLANKS = r"[\s\x0B\p{Z}\x{FEFF}]+"
 
 
+def up_to_last(s: Column, end: str) -> tuple[Column, Column]:
+    """``s`` parted after the last match of pattern ``end``. What begins in the second part can't be closed, so nobody looks for it there."""
+    head = F.regexp_extract(s, f"(?is)^.*{end}", 0)
+    return head, F.substring(s, F.length(head) + 1, F.lit(1 << 30))
+
+
+def without_elements(s: Column, tag: str) -> Column:
+    """``s`` with a blank for each element ``tag`` that is closed, in linear time."""
+    head, rest = up_to_last(s, f"</{tag}>")
+    return F.concat(F.regexp_replace(head, rf"(?is)<{tag}.*?</{tag}>", " "), rest)
+
+
 def normalize_body(x: Column, most: int | None = None) -> Column:
     """Text without scripts and styles, runs of three digits and more masked, white space collapsed; its first ``most`` characters, or all."""
     s = F.coalesce(x, F.lit(""))
     for tag in ("script", "style"):
-        s = F.regexp_replace(s, rf"(?is)<{tag}.*?</{tag}>", " ")
+        s = without_elements(s, tag)
     s = F.trim(F.regexp_replace(F.regexp_replace(s, r"[0-9]{3,}", "#"), BLANKS, " "))
     return s if most is None else F.substring(s, 1, most)
 
 
 def strip_tags(x: Column) -> Column:
-    """Text without tags; four entities decoded, in this order."""
-    s = F.regexp_replace(x, r"<[^>]+>", " ")
+    """Text without tags; four entities decoded, in this order. What opens after the last ``>`` is text."""
+    head, rest = up_to_last(x, ">")
+    s = F.concat(F.regexp_replace(head, r"<[^>]+>", " "), rest)
     for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         s = F.replace(s, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(s, BLANKS, " "))
@@ -175,7 +188,8 @@ def items_pattern(tag: str, klass: str | None = None) -> str:
 
 def extract_items(html: Column, tag: str, klass: str | None = None) -> Column:
     """Stripped texts of all elements ``tag``, with a class if one is given, in order; empty ones dropped."""
-    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(items_pattern(tag, klass)), F.lit(1))
+    head, _ = up_to_last(F.coalesce(html, F.lit("")), f"</{re.escape(tag)}>")
+    found = F.regexp_extract_all(head, F.lit(items_pattern(tag, klass)), F.lit(1))
     return F.filter(F.transform(found, strip_tags), lambda t: t != "")
 
 

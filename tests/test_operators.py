@@ -1,9 +1,13 @@
 """Operators on hand-made records with values worked out by hand."""
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from corrob.functions import columns as C
+from corrob.functions.columns import extract_items, normalize_body, strip_tags
 from corrob.functions.sources import reliability_tier, source_family
 from corrob.operators import aggregate as A
 from corrob.operators import fusion as R
@@ -224,3 +228,16 @@ def test_intensity(spark):
 def test_forbidden_columns(spark):
     df = spark.sql("select 1 id, named_struct('email', 'x', 'in', array(named_struct('phone', 1))) p")
     assert sorted(Q.forbidden_columns(df, {"email", "phone"})) == ["p.email", "p.in.phone"]
+
+
+@pytest.mark.parametrize("unit", ["<", "<b", "<script>", "<script ", "<style>", "<b>", "<b class='x'>", "</b", "x", ">", "<>"])
+def test_page_patterns_take_linear_time(spark, unit):
+    """A megabyte of what never closes; the text that stays is what plain patterns leave of it."""
+    n = 1_000_000 // len(unit)
+    df = spark.createDataFrame([(unit * n,), (unit * 3 + "</script> a</b> >é " + unit * 3,)], "t string")
+    start = time.time()
+    rows = df.select("t", strip_tags(F.col("t")).alias("s"), normalize_body(F.col("t")).alias("n"), F.size(extract_items(F.col("t"), "b")).alias("i"), F.size(extract_items(F.col("t"), "b", "x")).alias("k")).collect()
+    assert time.time() - start < 15
+    short = rows[1]
+    assert short["s"] == re.sub(r"\s+", " ", re.sub("<[^>]+>", " ", short["t"])).strip()
+    assert short["n"] == re.sub(r"\s+", " ", re.sub(r"(?is)<style.*?</style>", " ", re.sub(r"(?is)<script.*?</script>", " ", short["t"]))).strip()
