@@ -25,6 +25,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) ->
             yield batch.slice(start)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it a column that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 #: Rows that a Python worker gets at once, at most.
 BATCH_ROWS = 1000
 

@@ -2,7 +2,9 @@
 
 Two texts are as similar as their sets of character n-grams (1 to 4, lower-cased, over runs of letters) overlap:
 |A ∩ B| / √(|A|·|B|). Similarities to a fixed number of landmark texts span the Nyström feature space, in which ridge
-regression is fitted one language against the rest. Whole batches of texts are scored by two matrix products.
+regression is fitted one language against the rest. Whole batches of texts are scored by two matrix products. A long
+text would have most n-grams of any language, so texts are scored by stretches of about 2,000 letters, all of them, and
+their scores are averaged.
 
 The model is fitted on a bounded sample of different texts of the learning documents, about ``per_lang`` a language,
 drawn by hash: copies count once, so no language is lost to another text's copies, and a language with fewer texts gives
@@ -19,6 +21,7 @@ left out of its own counts.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrob.llm.common import slices, utf8
+from corrob.llm.common import free_name, slices, utf8
 
 UNDETERMINED = "und"
 BITS = 14
@@ -37,7 +40,8 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 @dataclass(frozen=True)
 class KernelParams:
     """per_lang: texts a language to fit on, fewer where there are so many that they'd be more than ``most_rows`` in all;
-    most_langs: languages learnt; landmarks: in all, one a language at least; ridge: of the regression; sizes: of n-grams.
+    most_langs: languages learnt; stretch: letters of a text that are scored at once; landmarks: in all, one a language at least;
+    ridge: of the regression; sizes: of n-grams.
 
     lost: the share of learning rows that calibrates the rejection (about what it costs in clean documents, at most);
     slack: how far from there to what a text of all n-grams gets the threshold lies;
@@ -46,7 +50,8 @@ class KernelParams:
 
     per_lang: int = 400
     most_rows: int = 4000
-    most_langs: int = 400
+    most_langs: int = 1000
+    stretch: int = 2000
     landmarks: int = 192
     ridge: float = 0.1
     sizes: tuple[int, ...] = (1, 2, 3, 4)
@@ -55,14 +60,25 @@ class KernelParams:
     slack: float = 0.15
 
 
-def grams(raw: bytes | None, sizes: tuple[int, ...]):
-    """The cells (of 2^BITS) of n-grams that occur in the text, or None if it has no letter."""
+def letters(raw: bytes | None):
+    """The code points of a text's letters, lower-cased, with one blank for anything else; None if it has no letter."""
     import numpy as np
 
     text = NOT_LETTERS.sub(" ", raw.decode("utf-8", "replace").lower()) if raw else ""
-    if not text.strip():
-        return None
-    code = np.frombuffer(f" {text.strip()} ".encode("utf-32-le"), "<u4")
+    return np.frombuffer(f" {text.strip()} ".encode("utf-32-le"), "<u4") if text.strip() else None
+
+
+def stretches(code, length: int) -> list:
+    """``code`` in equal parts of about ``length``: a presence of n-grams tells little once most of them are there."""
+    import numpy as np
+
+    return np.array_split(code, max(1, round(len(code) / length)))
+
+
+def grams(code, sizes: tuple[int, ...]):
+    """The cells (of 2^BITS) of n-grams that occur in a stretch."""
+    import numpy as np
+
     seen = np.zeros(1 << BITS, bool)
     h = np.zeros(len(code), np.uint32)
     with np.errstate(over="ignore"):
@@ -95,9 +111,17 @@ def sample(docs: DataFrame, p: KernelParams = KernelParams()):
     # Drawn by hash, and the copies of a drawn text are one before any worker reads it.
     drawn = known.where(F.pmod("__hash", F.lit(1 << 30)) < F.try_element_at(rates, F.col("lang"))).select("lang", "text").distinct()
 
+    def drawn_of(text: bytes) -> bytes | None:
+        """One stretch of a text, drawn by its checksum."""
+        code = letters(text)
+        if code is None:
+            return None
+        parts = stretches(code, p.stretch)
+        return np.packbits(grams(parts[zlib.crc32(text) % len(parts)], p.sizes)).tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            packed = [None if (g := grams(t, p.sizes)) is None else np.packbits(g).tobytes() for t in b.column(1).to_pylist()]
+            packed = [drawn_of(t) for t in b.column(1).to_pylist()]
             out = pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["lang", "grams"])
             yield out.filter(out.column(1).is_valid())
 
@@ -163,31 +187,48 @@ def gate(drawn, p: KernelParams = KernelParams()):
 def predictor(spark: SparkSession, model, p: KernelParams = KernelParams(), usual=None):
     """A function from a column of UTF-8 texts to struct(lang, score, usual). The model (some MB, fixed size) is broadcast.
 
-    ``usual`` is true where the gate of that name lets the text pass, or without one.
+    A text's scores are the means over its stretches. ``usual`` is true where the gate of that name lets half of them
+    pass, or without one.
     """
     import numpy as np
     shared = spark.sparkContext.broadcast((model, usual))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            lang, score, passes = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
             fitted, asked = shared.value
-            for start in range(0, len(texts) if fitted else 0, p.batch):
-                found = [(start + i, g) for i, t in enumerate(texts.iloc[start : start + p.batch]) if (g := grams(t, p.sizes)) is not None]
-                if found:
-                    langs, z, coef = fitted
-                    x = np.stack([g for _, g in found]).astype(np.float32)
-                    size = x.sum(axis=1)
-                    if asked:
-                        share, at, least = asked
-                        ok = (x @ share).max(axis=1) / size >= np.interp(np.log2(size), at, least)
-                        for (i, _), good in zip(found, ok):
-                            passes[i] = bool(good)
-                    x /= np.sqrt(size[:, None])
-                    y = x @ z @ coef[:-1] + coef[-1]
-                    for (i, _), k, s in zip(found, y.argmax(axis=1), np.clip(y.max(axis=1), 0, 1)):
-                        lang[i], score[i] = langs[k], float(s)
-            yield pd.DataFrame({"lang": lang, "score": score, "usual": passes})
+            n = len(texts)
+            if not fitted:
+                yield pd.DataFrame({"lang": [UNDETERMINED] * n, "score": [0.0] * n, "usual": [True] * n})
+                continue
+            langs, z, coef = fitted
+            total, parts, passed = np.zeros((n, len(langs))), np.zeros(n), np.zeros(n)
+
+            def add(of: list[int], seen: list) -> None:
+                x = np.stack(seen).astype(np.float32)
+                size = x.sum(axis=1)
+                np.add.at(parts, of, 1)
+                if asked:
+                    share, at, least = asked
+                    np.add.at(passed, of, (x @ share).max(axis=1) / size >= np.interp(np.log2(size), at, least))
+                x /= np.sqrt(size[:, None])
+                np.add.at(total, of, x @ z @ coef[:-1] + coef[-1])
+
+            of, seen = [], []
+            for i, t in enumerate(texts):
+                code = letters(t)
+                for part in stretches(code, p.stretch) if code is not None else ():
+                    of.append(i)
+                    seen.append(grams(part, p.sizes))
+                    if len(of) >= p.batch:
+                        add(of, seen)
+                        of, seen = [], []
+            if of:
+                add(of, seen)
+            known = parts > 0
+            mean = total / np.maximum(parts, 1)[:, None]
+            lang = np.where(known, np.array(langs, object)[mean.argmax(axis=1)], UNDETERMINED)
+            score = np.where(known, np.clip(mean.max(axis=1), 0, 1), 0.0)
+            yield pd.DataFrame({"lang": lang, "score": score, "usual": (2 * passed >= parts) if asked else np.ones(n, bool)})
 
     return F.pandas_udf(run, "lang string, score double, usual boolean")
 
@@ -199,12 +240,15 @@ def identify(docs: DataFrame, p: KernelParams = KernelParams()) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.25, p: KernelParams = KernelParams()) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.9, p: KernelParams = KernelParams()) -> DataFrame:
     """Rows of ``docs`` (all columns) whose text has a language.
 
-    Those that are ``und``, score below ``least`` or have n-grams too unusual for every learnt language go.
+    Those that are ``und``, score below ``least`` times what all learnt languages would share equally, or have n-grams
+    too unusual for every learnt language go.
     """
     drawn = sample(docs.where(~is_held_out()), p)
     found = predictor(docs.sparkSession, fit(drawn, p), p, gate(drawn, p))
-    marked = docs.withColumn("__p", found(utf8("text")))
-    return marked.where((F.col("__p.lang") != UNDETERMINED) & (F.col("__p.score") >= least) & F.col("__p.usual")).select(*docs.columns)
+    told = free_name(docs, "language")
+    marked = docs.withColumn(told, found(utf8("text")))
+    enough = F.col(f"{told}.score") >= least / max(1, len(drawn[0]) if drawn else 1)
+    return marked.where((F.col(f"{told}.lang") != UNDETERMINED) & enough & F.col(f"{told}.usual")).select(*docs.columns)
