@@ -12,8 +12,6 @@ Repeated rows are separate documents. Other columns are not read. An empty table
 from __future__ import annotations
 
 import bisect
-import functools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,65 +19,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corrob.llm import tokens
 from corrob.llm.common import cells_for, ranked, slices, stash, utf8
 
 ROOM = 1024
 END_ID = 2
 
 
-#: Blanks in a row from which on the quick encoder isn't used: its stack grows with them.
-LONG_BLANKS = 10_000
-
-
-@functools.lru_cache(maxsize=4)
-def encoder(path: str, ranks: str | None = None):
-    """Text to ids by the tokenizer file ``path``; loaded once in each worker.
-
-    ``ranks`` is the same byte-level vocabulary as a .tiktoken file, which is encoded with four times as fast. Texts
-    with very many blanks in a row go through ``path`` all the same.
-    """
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    slow = lambda text: tok.encode(text, add_special_tokens=False).ids
-    added = {t.content: (i, t) for i, t in tok.get_added_tokens_decoder().items()}
-    if ranks is None or any(t.lstrip or t.rstrip or t.single_word or t.normalized for _, t in added.values()):
-        return slow
-    import base64
-
-    import public_tokenizers
-    import tiktoken
-
-    with open(ranks, "rb") as f:
-        known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {k: i for k, (i, _) in added.items()}
-    quick = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=special)
-    blanks = re.compile(rf"\s{{{LONG_BLANKS}}}")
-
-    def encode(text: str) -> list[int]:
-        if len(text) >= LONG_BLANKS and blanks.search(text):
-            return slow(text)
-        return quick.encode(text, allowed_special="all")
-
-    return encode
-
-
 def cut(n: int, room: int = ROOM) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` tokens: full ones, but that the first may be shorter."""
     first = n % room or room
     return [(0, first)] + [(s, room) for s in range(first, n, room)] if n > room else [(0, n)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, room: int = ROOM, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
     import numpy as np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, ranks)
+        encode, end = tokens.encoder(tokenizer), END_ID.to_bytes(4, "little")
         for b in slices(batches, 1):
             at, rows = [], []
             for i, raw in enumerate(b.column(1).to_pylist()):
-                ids = np.array([*encode(raw.decode("utf-8", "replace") if raw else ""), END_ID], "<u4")
+                ids = np.frombuffer(encode(raw.decode("utf-8", "replace") if raw else "") + end, "<u4")
                 for k, (s, n) in enumerate(cut(len(ids), room)):
                     at.append(i)
                     rows.append((k, s, n, zlib.crc32(ids[s : s + n].tobytes())))
@@ -134,10 +96,10 @@ def plan(counts: dict[int, int], room: int = ROOM) -> tuple[list[tuple[int, int,
     return out, opened
 
 
-def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, room: int = ROOM) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
     """The pieces with sequence_id and offset. The driver sees one count per length: ``room`` numbers at most."""
     spark = docs.sparkSession
-    cut_up = stash(pieces(docs, tokenizer, ranks, room), "pieces")
+    cut_up = stash(pieces(docs, tokenizer, room), "pieces")
     counts = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     steps, _ = plan(counts, room)
     by_length: dict[int, list] = {}

@@ -14,11 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer() -> tuple[str, str]:
-    """The 50k byte-level BPE, and the same vocabulary as ranks (a test compares their ids)."""
+def tokenizer() -> str:
+    """The file of the 50k byte-level BPE."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_secret_scan(spark, sf_dir):
@@ -30,7 +30,7 @@ def op2_url_filter(spark, sf_dir):
 
 
 def op3_best_fit_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), *tokenizer())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op4_quality_rules(spark, sf_dir):
@@ -64,7 +64,7 @@ def op10_site_quality(spark, sf_dir):
 
 def op11_token_files(spark, sf_dir):
     at = new_path(spark, "token-files")
-    token_files.write(table(spark, sf_dir, "documents"), at, tokenizer()[0])
+    token_files.write(table(spark, sf_dir, "documents"), at, tokenizer())
     clear_at_exit(spark, at)
     return token_files.digest(spark, at)
 

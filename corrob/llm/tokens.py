@@ -15,7 +15,7 @@ import re
 from collections.abc import Callable
 
 #: Parts whose ids a worker keeps (as many used before stay until the next are full), and the longest of them.
-KEPT_PARTS, KEPT_LENGTH = 600_000, 64
+KEPT_PARTS, KEPT_LENGTH = 400_000, 64
 # Letters in every version of Unicode; other characters beyond ASCII may be letters or not.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Characters that may be letters or not, white space or not.

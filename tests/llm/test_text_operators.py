@@ -169,9 +169,42 @@ def test_secrets_of_empty_tables_and_very_long_texts(spark):
     assert got["n_access"] == 1 and got["spans"] == f"access:{2_000_000}:{2_000_020}"
 
 
+# --- names that clash
+
+
+def test_columns_with_the_names_of_the_stages_own(spark):
+    texts = [" ".join(["the and of to in is that it was for"] * 5), "token=abcdef123456 in text here", None, "another text of words"]
+    texts += ["the and of to in is that it was for " + w for w in ("in", "of", "was that", "for it is")] * 20
+    schema = "doc_id long, text string, lang string, source string, n_chars long, language string, _language int, found string, hit string, id string, said string, n string, own string, fp string, key string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *"abcdefghij"[:1], 1, *"qwertyui") for i, t in enumerate(texts)], schema)
+    bench = spark.createDataFrame([("1", "another text of words")], "item_id string, text string")
+    for stage in (langid.keep_identified, simhash.keep_one, lambda d: decontaminate.keep_clean(d, bench), secrets.redacted):
+        out = stage(docs)
+        assert out.dtypes == docs.dtypes
+        assert {tuple(r)[5:] for r in out.collect()} == {("a", 1, *"qwertyui")}, stage
+    assert decontaminate.keep_clean(docs, bench).where("doc_id = 3").count() == 0 and secrets.redacted(docs).where("text like '%[secret]%'").count() == 1
+
+
 # --- packing
 
 
+def test_blank_runs_are_encoded_in_time_and_memory():
+    """In a process of its own: a megabyte of blanks, of runs of 9,999 blanks, and of many different words."""
+    code = """
+import random, resource, time
+from corrob.llm import queries, tokens
+encode, rng = tokens.encoder(queries.tokenizer()), random.Random(1)
+for text in (" " * 1_000_000, (" " * 9_999 + "x") * 100, "\\n" * 1_000_000, "<" * 1_000_000):
+    start = time.time()
+    encode(text)
+    assert time.time() - start < 5, text[:5]
+for _ in range(40):
+    encode(" ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(30_000)))
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 700_000
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], timeout=120, check=True)
+
+
 def test_packing_is_whole_and_gapless(spark, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -179,7 +212,7 @@ def test_packing_is_whole_and_gapless(spark, texts):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     runs = [x * 1_000_000 for x in (" ", "\n", "a", "\u3000")] + ["x" + " " * 12_000 + "<|endoftext|> y"]
     texts = [*texts, *runs, "a <|endoftext|> b", "<|endoftext|> it's  12345 \u00a0\u3000 Ünï €😀\r\n\t<|endoftext|><|end"]
-    rows = packing.pack(docs_of(spark, texts), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    rows = packing.pack(docs_of(spark, texts), public_tokenizers.path("byte_bpe_50k.json")).collect()
     ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in enumerate(texts)}
     last = len(texts) - 1
     by = {}
@@ -216,7 +249,7 @@ def test_packing_is_whole_and_gapless(spark, texts):
 
 
 def test_packing_of_an_empty_table(spark):
-    assert packing.pack(docs_of(spark, ["a"]).limit(0), *queries.tokenizer()).count() == 0
+    assert packing.pack(docs_of(spark, ["a"]).limit(0), queries.tokenizer()).count() == 0
 
 
 def test_plan_equals_best_fit_on_random_histograms():
@@ -407,6 +440,53 @@ def test_gibberish_and_unlearned_languages_go(spark):
     assert len(kept & set(range(800))) >= 0.99 * 800 and not kept - set(range(800))
 
 
+def languages(rng, n, shared):
+    """``n`` made-up languages: their own words by Zipf's law, of their own letter orders or of one alphabet."""
+    out = {}
+    for k in range(n):
+        letters = "abcdefghijklmnopqrstuvwxyz" if shared else rng.sample("abcdefghijklmnopqrstuvwxyz", 14)
+        follow = {c: rng.sample(letters, 5) for c in letters}
+
+        def word(follow=follow, letters=letters):
+            c = rng.choice(letters)
+            out = c
+            for _ in range(rng.randrange(1, 9)):
+                c = rng.choice(follow[c])
+                out += c
+            return out
+
+        words = [word() for _ in range(3000)]
+        out[f"l{k}"] = (words, [1 / (i + 1) for i in range(len(words))])
+    return out
+
+
+@pytest.mark.parametrize("n", [4, 12])
+def test_long_clean_texts_are_told_and_kept(spark, n):
+    """Clean texts of 100 to 200,000 words in four and in twelve languages; noise of all lengths goes."""
+    rng = random.Random(n)
+    known = languages(rng, n, shared=True)
+    say = lambda k, size: " ".join(rng.choices(known[k][0], known[k][1], k=size))
+    rows = [(say(k, rng.randrange(30, 400)), k) for k in known for _ in range(60)]
+    asked = [(say(k, size), k) for size in (100, 2_000, 20_000, 200_000) for k in list(known)[:4] for _ in range(1 if size > 2_000 else 10)]
+    noise = lambda size: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 11))) for _ in range(size))
+    bad = [noise(size) for size in (50, 2_000, 20_000, 200_000)]
+    held = [i for i in range(20_000, 30_000) if zlib.crc32(str(i).encode()) % 4 == 2]
+    docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(rows)] + [(held[i], t, None) for i, t in enumerate([t for t, _ in asked] + bad)], "doc_id long, text string, lang string").repartition(8)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()}
+    assert all(got[held[i]] == k for i, (_, k) in enumerate(asked))
+    kept = {r["doc_id"] for r in langid.keep_identified(docs).select("doc_id").collect()}
+    mine = {held[i] for i in range(len(asked))}
+    assert len(kept & mine) >= 0.97 * len(mine) and {held[i] for i, (t, _) in enumerate(asked) if len(t) > 10_000} <= kept
+    assert not kept & {held[len(asked) + i] for i in range(len(bad))}
+
+
+def test_stretches_cover_a_text_once():
+    for n in (1, 1999, 3000, 3001, 123_456):
+        code = np.arange(n)
+        parts = langid.stretches(code, 2000)
+        assert np.array_equal(np.concatenate(parts), code) and (n < 3000 or all(1000 < len(x) <= 3000 for x in parts))
+
+
 # --- decontamination
 
 
@@ -691,7 +771,7 @@ def test_pipeline_runs_whole(spark, tmp_path):
     assert {7, 20, 30, 50, 51, 52} <= gone and len(gone) <= 9 and 10 in ids and 40 in ids
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(queries.tokenizer()[0])
+    tok = Tokenizer.from_file(queries.tokenizer())
     size = lambda t: len(tok.encode(t, add_special_tokens=False).ids) + 1
     lengths = Counter()
     for r in got:
