@@ -43,7 +43,7 @@ def body_of(text: Column) -> Column:
         after = F.when(F.trim(after) == "", F.get(lines, i + 2)).otherwise(after)
         return ~quoted(x) & ~(x.rlike(ANNOUNCES) & quoted(after))
 
-    return F.regexp_replace(F.array_join(F.filter(lines, own), "\n"), r"^\s+|\s+$", "")
+    return F.btrim(F.array_join(F.filter(lines, own), "\n"), F.lit(" \t\n\x0b\f\r"))
 
 
 def passages(messages: DataFrame) -> DataFrame:

@@ -202,3 +202,12 @@ def test_long_chain_of_answers(spark):
     assert all(got[i]["thread_root"] == 0 and got[i]["depth"] == i and got[i]["position"] == i and got[i]["parent_turn"] == (i - 1 if i else None) for i in range(40))
     lines = quotes.chat_lines(quotes.threads(talk(spark, rows))).where("position = 3").collect()
     assert lines[0]["line"] == "<|user|>\nstatement number 3"
+
+
+def test_blanks_in_messages_take_linear_time(spark):
+    import time
+
+    df = spark.createDataFrame([(1, 1, "user", "a" + " " * 500_000 + "b\n" + "\n \t" * 200_000), (1, 2, "user", "> a\n\n" + " \x0b\n" * 200_000 + "answer")], "conv_id long, turn long, role string, text string")
+    start = time.time()
+    rows = df.select("turn", quotes.body_of(df["text"]).alias("b")).orderBy("turn").collect()
+    assert time.time() - start < 20 and rows[0]["b"] == "a" + " " * 500_000 + "b" and rows[1]["b"] == "answer"
