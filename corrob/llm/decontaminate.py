@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrob.llm.common import slices, stash, utf8
+from corrob.llm.common import free_name, slices, stash, utf8
 
 WINDOW = 10
 GRAM = 5
@@ -118,7 +118,7 @@ def _powers(n: int):
         return _POWERS
     with np.errstate(over="ignore"):
         both = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, np.uint64(b))]), dtype=np.uint64) for b in (BASE, pow(BASE, -1, 1 << 64))]
-    if n <= 16 << 20:
+    if n <= 2 << 20:
         _POWERS[:] = both
     return both
 
@@ -264,5 +264,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, p: WinnowParams = Winno
 def keep_clean(docs: DataFrame, benchmark: DataFrame, p: WinnowParams = WinnowParams()) -> DataFrame:
     """Rows of ``docs`` (all columns) without a hit word."""
     _, found, _ = matches(docs.select("text"), benchmark, [], p)
-    hit = _small(stash(found.select(F.col("key").alias("__hit")).distinct(), "hits"), p)
-    return docs.join(hit, text_key() == F.col("__hit"), "left_anti")
+    name = free_name(docs, "hit")
+    hit = _small(stash(found.select(F.col("key").alias(name)).distinct(), "hits"), p)
+    return docs.join(hit, text_key() == F.col(name), "left_anti")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrob.llm.common import utf8
+from corrob.llm.common import free_name, utf8
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -174,9 +174,10 @@ def finder(p: SecretParams = SecretParams()):
 
 def redacted(docs: DataFrame, p: SecretParams = SecretParams()) -> DataFrame:
     """``docs`` (all columns) with secrets in ``text`` replaced, and ``n_chars`` (where there is one) counted anew for those."""
-    found = docs.withColumn("__found", finder(p)(utf8("text")))
-    hit = F.size("__found.spans") > 0
-    found = found.withColumn("text", F.when(hit, F.col("__found.redacted")).otherwise(F.col("text")))
+    name = free_name(docs, "found")
+    found = docs.withColumn(name, finder(p)(utf8("text")))
+    hit = F.size(f"{name}.spans") > 0
+    found = found.withColumn("text", F.when(hit, F.col(f"{name}.redacted")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)

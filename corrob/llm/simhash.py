@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrob.llm.common import join_hot, slices, stash, utf8
+from corrob.llm.common import free_name, join_hot, slices, stash, utf8
 
 RADIUS = 3
 SINGLE = [1 << i for i in range(64)]
@@ -161,14 +161,16 @@ def keep_one(docs: DataFrame, most_broadcast: int = 2_000_000) -> DataFrame:
     Rows without doc_id stay only where no row of their component has one, once for each text; those without a text go.
     The ids that go or repeat (8 bytes each) are broadcast up to ``most_broadcast``; beyond it both sides are shuffled.
     """
-    each, classes = near_duplicates(docs)
-    ids = each.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("__own"))
-    other = stash(ids.where("not (__own and __rows = 1)"), "not-kept")
+    each, classes = near_duplicates(docs.select("doc_id", "text"))
+    id_, said = free_name(docs, "id"), free_name(docs, "said")
+    ids = each.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_)).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("own"))
+    other = stash(ids.where("not (own and n = 1)"), "not-kept")
     few = (lambda df: F.broadcast(df)) if other.count() <= most_broadcast else (lambda df: df)
-    same = F.col("doc_id") == F.col("__id")
-    once = docs.where("doc_id is not null").join(few(other.select("__id")), same, "left_anti")
-    more = docs.join(few(other.where("__own").select("__id")), same, "left_semi").dropDuplicates(["doc_id"])
+    same = F.col("doc_id") == F.col(id_)
+    once = docs.where("doc_id is not null").join(few(other.select(id_)), same, "left_anti")
+    more = docs.join(few(other.where("own").select(id_)), same, "left_semi").dropDuplicates(["doc_id"])
     nameless = docs.where("doc_id is null and text is not null")
-    alone = fingerprints(nameless.select("text", F.col("text").alias("__text")), "__text").join(classes.where("component_id is null"), "fp").select("__text")
-    rest = nameless.join(alone, F.col("text") == F.col("__text"), "left_semi").dropDuplicates(["text"])
+    texts = nameless.select("text", F.col("text").alias(said))
+    alone = fingerprints(texts, said).join(classes.where("component_id is null"), "fp").select(said)
+    rest = nameless.join(alone, F.col("text") == F.col(said), "left_semi").dropDuplicates(["text"])
     return once.unionByName(more).unionByName(rest)
