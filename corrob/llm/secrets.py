@@ -1,7 +1,9 @@
 """Secret scans: sliding-window Shannon entropy per character class, beside fixed patterns.
 
-Candidate strings are maximal runs of key-like characters that the allow-list doesn't know. Each character class looks
-at the runs of its own characters in a candidate: hexadecimal digits, capitals with digits (base32), small letters with
+Candidate strings are maximal runs of key-like characters that the allow-list doesn't know. A candidate is parted at
+``/``, ``_``, ``-``, ``=`` and ``+``; parts that are plain (numbers, words, words run together as in names of programs, with a
+few digits around them) are let off, and only what other parts make together is looked at. So a word or a date in a path excuses itself and not its neighbour. Each character class looks
+at the runs of its own characters in that: hexadecimal digits, capitals with digits (base32), small letters with
 digits, letters of one case, and the candidate as a whole (base64, mixed keys). A window moves over each run; its
 entropy follows from the counts of its characters, of which a step changes two. Windows at or above the threshold of
 their class are united to spans. The thresholds lie between random keys and words run together; for letters of one case
@@ -32,15 +34,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 KINDS_OF_CHARACTERS = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
-# Strings of high entropy that are no secrets: UUIDs, integrity digests of lock files, alphabets and documented samples, paths and names of words.
+# Whole candidates of high entropy that are no secrets: UUIDs, integrity digests of lock files, documented sample keys, paths and names of words.
 ALLOWED = (
     r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
     r"sha(?:1|256|384|512)-.*",
-    r".*(?:EXAMPLE|example|0123456789|abcdefghij|ABCDEFGHIJ).*",
+    r"(?:.*[A-Za-z0-9])?EXAMPLE(?:[A-Za-z0-9].*)?",
     r"(?!.*[a-z]{32})/?[a-z_-]+(?:/[a-z_-]+)*/?",
 )
 
 
+#: Parts of candidates that are no secrets: alphabets.
+SAMPLES = ("0123456789", "abcdefghij", "ABCDEFGHIJ")
+PARTS = re.compile(r"[^/_=+-]+")
+AROUND = re.compile(r"\d{0,4}([A-Za-z]*)\d{0,6}|(\d+)")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
 @dataclass(frozen=True)
 class CharacterClass:
     """runs: pattern of the strings looked at; kinds: of small letters, capitals and digits, so many at least; window: characters; bits: least entropy of a window."""
@@ -63,20 +72,52 @@ CLASSES = (
 
 @dataclass(frozen=True)
 class SecretParams:
-    """classes: of characters, with their windows and thresholds; allowed: patterns of whole candidates."""
+    """classes: of characters, with their windows and thresholds; allowed: patterns of whole candidates.
+
+    plain: whether plain parts of candidates are let off, and runs of which more than ``most_digits`` are digits, hexadecimal ones aside.
+    """
 
     classes: tuple[CharacterClass, ...] = field(default=CLASSES)
     allowed: tuple[str, ...] = field(default=ALLOWED)
+    plain: bool = True
+    most_digits: float = 0.6
 
 
 class Scanner:
     """The patterns of SecretParams, compiled."""
 
     def __init__(self, p: SecretParams = SecretParams()):
-        self.classes = [(re.compile(c.runs), c.kinds, c.window, c.bits) for c in p.classes]
+        self.classes = [(re.compile(c.runs), c.kinds, c.window, c.bits, p.most_digits if p.plain and c.name != "hex" else 1.0) for c in p.classes]
+        self.plain = p.plain
         self.allowed = re.compile("|".join(f"(?:{x})" for x in p.allowed) or r"(?!)")
 
 
+def is_plain(part: str) -> bool:
+    """A number, or words with a few digits around them: one word under 32 letters, or several of three letters on average."""
+    m = AROUND.fullmatch(part)
+    if not m:
+        return any(x in part for x in SAMPLES)
+    letters = m[1] or ""
+    if not letters or letters.islower() or letters.isupper():
+        return len(letters) < 32
+    return len(letters) >= 3 * len(WORDS.findall(letters))
+
+
+def key_stretches(candidate: str) -> list[tuple[int, int]]:
+    """(start, end) of what a candidate's parts that aren't plain make together, with short plain ones between two of them."""
+    parts = [(m.start(), m.end()) for m in PARTS.finditer(candidate)]
+    keys = [not is_plain(candidate[s:e]) for s, e in parts]
+    joined = [k or (0 < i < len(keys) - 1 and keys[i - 1] and keys[i + 1] and e - s <= 4) for i, (k, (s, e)) in enumerate(zip(keys, parts))]
+    out: list[tuple[int, int]] = []
+    before = False
+    for (s, e), key in zip(parts, joined):
+        if key:
+            out[-1:] = [(out[-1][0], e)] if before else [*out[-1:], (s, e)]
+        before = key
+    padded = [(s, e + len(candidate[e:]) - len(candidate[e:].lstrip("="))) for s, e in out[-1:]]
+    return out[:-1] + padded
+
+
 def window_entropies(text: str, window: int) -> list[float]:
     """Entropy in bits of each window of ``text``; one window of the whole text if that is shorter."""
     window = min(window, len(text))
@@ -100,20 +141,28 @@ def window_entropies(text: str, window: int) -> list[float]:
     return out
 
 
+def windows_of(text: str, at: int, scanner: Scanner) -> list[tuple[int, int]]:
+    """Windows of enough entropy in a stretch that begins at ``at``."""
+    found = []
+    for runs, kinds, window, least, most_digits in scanner.classes:
+        for run in runs.finditer(text):
+            if sum(k.search(run[0]) is not None for k in KINDS_OF_CHARACTERS) < kinds or sum(map(str.isdigit, run[0])) > most_digits * len(run[0]):
+                continue
+            start = at + run.start()
+            for i, bits in enumerate(window_entropies(run[0], window)):
+                if bits >= least:
+                    found.append((start + i, start + i + min(window, len(run[0]))))
+    return found
+
+
 def entropy_spans(text: str, scanner: Scanner) -> list[tuple[int, int]]:
     """The unions of windows of enough entropy, by start."""
     found: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         if scanner.allowed.fullmatch(m[0]):
             continue
-        for runs, kinds, window, least in scanner.classes:
-            for run in runs.finditer(m[0]):
-                if sum(k.search(run[0]) is not None for k in KINDS_OF_CHARACTERS) < kinds:
-                    continue
-                at = m.start() + run.start()
-                for i, bits in enumerate(window_entropies(run[0], window)):
-                    if bits >= least:
-                        found.append((at + i, at + i + min(window, len(run[0]))))
+        for start, end in key_stretches(m[0]) if scanner.plain else [(0, len(m[0]))]:
+            found += windows_of(m[0][start:end], m.start() + start, scanner)
     spans: list[tuple[int, int]] = []
     for s, e in sorted(found):
         if spans and s <= spans[-1][1]:
