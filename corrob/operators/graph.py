@@ -1,12 +1,16 @@
 """Networks: co-occurrence, betweenness, articulation points, entity search, typed evidence graphs.
 
 Iterated steps are joins whose results are written to the shared folder, so lineage stays short and lost executors
-cost a step. Betweenness and articulation keep a state of sources (or removed nodes) times nodes: fit for networks of
-jurisdictions or programs, which have thousands of nodes at most, however many entities made their edges.
+cost a step. Betweenness goes through the sources in batches, so that sources times nodes stay below a given number of
+rows, or estimates it from a sample of sources with a bound on the error. Articulation points follow from biconnected
+components, whose state is that of the nodes, their paths to the root of a breadth-first tree, and the edges.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +31,12 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
-    """node, betweenness (unweighted, undirected, each pair once), normalized by the pairs of other nodes.
+def _dependencies(e: DataFrame, sources: DataFrame) -> DataFrame:
+    """node, dep: how much the shortest paths of ``sources`` (column node) depend on each node, summed over them.
 
-    All sources at once: breadth-first levels count shortest paths, then dependencies flow back level by level.
+    Breadth-first levels of all these sources count shortest paths, then dependencies flow back level by level.
     """
-    e = stash(both_ways(edges), "graph")
-    nodes = e.select(F.col("a").alias("node")).distinct()
-    levels = [stash(nodes.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")), "level")]
+    levels = [stash(sources.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")), "level")]
     seen = levels[0].select("s", "node")
     while True:
         step = levels[-1].join(e, levels[-1]["node"] == e["a"]).groupBy("s", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
@@ -42,43 +44,107 @@ def betweenness(edges: DataFrame) -> DataFrame:
         if step.isEmpty():
             break
         levels.append(step)
-        seen = stash(seen.unionByName(step.select("s", "node")), "seen")
-    total = None
-    below = levels[-1].withColumn("dep", F.lit(0.0))
+        # Neighbours of a level are on it, on the one before or on the next, so older ones needn't be kept in mind.
+        seen = levels[-2].select("s", "node").unionByName(step.select("s", "node"))
+    below, parts = levels[-1].withColumn("dep", F.lit(0.0)), []
     for depth in range(len(levels) - 1, 0, -1):
         up = levels[depth - 1].select("s", F.col("node").alias("v"), F.col("paths").alias("pv"))
         part = below.join(e, below["node"] == e["b"]).select("s", F.col("a").alias("v"), "paths", "dep").join(up, ["s", "v"])
         dep = part.groupBy("s", "v").agg(F.sum(F.col("pv") / F.col("paths") * (1 + F.col("dep"))).alias("dep"))
-        here = below.where("s <> node").select("node", "dep")
-        total = here if total is None else total.unionByName(here)
+        parts.append(below.where("s <> node").select("node", "dep"))
         below = stash(levels[depth - 1].join(dep.withColumnRenamed("v", "node"), ["s", "node"], "left").fillna(0.0, ["dep"]), "dependencies")
+    none = below.where("s <> node").select("node", "dep")
+    return stash(reduce(DataFrame.unionByName, parts, none).groupBy("node").agg(F.sum("dep").alias("dep")), "dependency")
+
+
+def sample_size(nodes: int, error: float, confidence: float) -> int:
+    """Sources by which all normalized values are within ``error`` of the truth (times n / (n − 1)) with ``confidence``.
+
+    Hoeffding's bound for every node at once: a source's share of a node's value lies between 0 and 1.
+    """
+    return min(nodes, math.ceil(math.log(2 * max(1, nodes) / (1 - confidence)) / (2 * error**2)))
+
+
+def betweenness(edges: DataFrame, most_state: int = 50_000_000, error: float | None = None, confidence: float = 0.95) -> DataFrame:
+    """node, betweenness (unweighted, undirected, each pair once), normalized by the pairs of other nodes.
+
+    Sources are taken in batches of as many as keep (source, node) rows below ``most_state``. With ``error``, sources are
+    a sample of ``sample_size``, drawn by hash, and values are estimates.
+    """
+    e = stash(both_ways(edges), "graph")
+    nodes = stash(e.select(F.col("a").alias("node")).distinct(), "nodes")
     n = nodes.count()
-    out = nodes if total is None else nodes.join(total.groupBy("node").agg((F.sum("dep") / 2).alias("betweenness")), "node", "left")
-    out = out.withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)) if total is not None else F.lit(0.0))
-    return out.withColumn("normalized", F.col("betweenness") / F.lit(max(1.0, (n - 1) * (n - 2) / 2)))
+    k = n if error is None else sample_size(n, error, confidence)
+    sources = nodes if k >= n else nodes.orderBy(F.xxhash64("node"), "node").limit(k)
+    batches = max(1, -(-k * n // most_state))
+    sources = stash(sources.withColumn("batch", F.pmod(F.xxhash64("node", F.lit("batch")), F.lit(batches))), "sources")
+    parts = [_dependencies(e, sources.where(F.col("batch") == i)) for i in range(batches)] if n else []
+    none = nodes.select("node", F.lit(0.0).alias("dep"))
+    total = reduce(DataFrame.unionByName, parts, none).groupBy("node").agg((F.sum("dep") * n / max(1, k) / 2).alias("betweenness"))
+    return total.withColumn("normalized", F.col("betweenness") / F.lit(max(1.0, (n - 1) * (n - 2) / 2)))
 
 
-def articulation_points(edges: DataFrame) -> DataFrame:
-    """node, articulation: whether the parts of the network grow in number when the node goes.
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, label: the least node that each of ``nodes`` reaches over ``edges`` (a, b).
 
-    Only neighbors of a removed node can be parted, so for each node its neighbors' labels spread over the rest, the
-    least one winning, and only where something changes; a node with one neighbor needs none. The state is keyed by
-    (removed node, node).
+    Each node takes the least label among its neighbors', and then that label's own, until nothing changes.
+    """
+    e = stash(both_ways(edges), "edges")
+    now = stash(nodes.select("node", F.col("node").alias("label")), "labels")
+    while True:
+        heard = e.join(now, e["b"] == now["node"]).groupBy(F.col("a").alias("at")).agg(F.min("label").alias("heard"))
+        least = now.join(heard, now["node"] == heard["at"], "left").select("node", "label", F.least("label", "heard").alias("least"))
+        via = stash(least, "least")
+        jump = via.select(F.col("node").alias("at"), F.col("least").alias("further"))
+        moved = via.join(jump, via["least"] == jump["at"]).select("node", F.least("least", "further").alias("label"), (F.least("least", "further") < F.col("label")).alias("moved"))
+        now = stash(moved, "labels", instead_of=now)
+        if now.where("moved").isEmpty():
+            return now.select("node", "label")
+
+
+def biconnected(edges: DataFrame) -> DataFrame:
+    """node, block: the biconnected components that each node is in; a block is named by one of its nodes.
+
+    After Tarjan and Vishkin. A breadth-first tree gives each node its path from the root; paths in their order are a
+    preorder, and a path begins with those of its ancestors. Each subtree's least and greatest reach over other edges
+    follow by one aggregation over the ancestors in paths. Edges of the tree, told by their lower node, are in one block
+    where another edge joins their lower nodes, or where a subtree reaches out of its parent's. The state is the nodes'
+    paths (as long as the tree is deep) and the edges.
     """
     e = stash(both_ways(edges), "graph")
-    nodes = e.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-    inner = nodes.where("degree > 1").select(F.col("node").alias("gone"))
-    starts = inner.join(e, F.col("gone") == F.col("a")).select("gone", F.col("b").alias("node"), F.col("b").alias("label"), F.lit(True).alias("new"))
-    now = stash(starts, "labels")
+    nodes = stash(e.select(F.col("a").alias("node")).distinct(), "nodes")
+    roots = components(edges, nodes).where("node = label").select("node")
+    frontier = stash(roots.select("node", F.array("node").alias("path")), "level")
+    levels = [frontier]
     while True:
-        changed = now.where("new")
-        if changed.isEmpty():
+        step = frontier.join(e, frontier["node"] == e["a"]).groupBy(F.col("b").alias("node")).agg(F.min("path").alias("over"))
+        for known in levels[-2:]:
+            step = step.join(known.select("node"), "node", "left_anti")
+        frontier = stash(step.select("node", F.concat("over", F.array("node")).alias("path")), "level")
+        if frontier.isEmpty():
             break
-        heard = changed.join(e, changed["node"] == e["a"]).where("b <> gone").groupBy("gone", F.col("b").alias("node")).agg(F.min("label").alias("heard"))
-        both = now.select("gone", "node", "label").join(heard, ["gone", "node"], "full")
-        now = stash(both.select("gone", "node", F.least("label", "heard").alias("label"), F.coalesce(F.col("label").isNull() | (F.col("heard") < F.col("label")), F.lit(False)).alias("new")), "labels", instead_of=now)
-    near = now.join(e, (F.col("gone") == F.col("a")) & (F.col("node") == F.col("b"))).groupBy("gone").agg(F.countDistinct("label").alias("n"))
-    return nodes.join(near, nodes["node"] == near["gone"], "left").select("node", (F.coalesce("n", F.lit(0)) > 1).alias("articulation"))
+        levels.append(frontier)
+    tree = stash(reduce(DataFrame.unionByName, levels), "tree")
+    parent = F.when(F.size("path") > 1, F.element_at("path", -2))
+    up = tree.select(F.col("node").alias("a"), parent.alias("up_a"), F.col("path").alias("path_a"))
+    to = tree.select(F.col("node").alias("b"), parent.alias("up_b"), F.col("path").alias("path_b"))
+    other = e.join(up, "a").join(to, "b").where(~F.coalesce(F.col("up_a") == F.col("b"), F.lit(False)) & ~F.coalesce(F.col("up_b") == F.col("a"), F.lit(False)))
+    other = stash(other.select("a", "b", "path_a", "path_b"), "other-edges")
+    reach = other.select(F.col("a").alias("node"), "path_a", F.col("path_b").alias("reach")).unionByName(tree.select("node", F.col("path").alias("path_a"), F.col("path").alias("reach")))
+    reach = reach.groupBy("node", F.col("path_a").alias("path")).agg(F.min("reach").alias("low"), F.max("reach").alias("high"))
+    spread = reach.select(F.explode("path").alias("node"), "low", "high").groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    # Lower nodes of tree edges whose upper node isn't a root, with that node's path.
+    lower = tree.where("size(path) > 2").select("node", F.element_at("path", -2).alias("over"), F.expr("slice(path, 1, size(path) - 1)").alias("path")).join(spread, "node")
+    within = F.slice("high", F.lit(1), F.size("path")) == F.col("path")
+    out = (F.col("low") < F.col("path")) | ((F.col("high") > F.col("path")) & ~within)
+    together = lower.where(out).select(F.col("node").alias("a"), F.col("over").alias("b")).unionByName(other.select("a", "b"))
+    block = components(together, tree.where("size(path) > 1").select("node")).join(tree.select("node", parent.alias("over")), "node")
+    return block.select(F.explode(F.array("node", "over")).alias("node"), F.col("label").alias("block")).distinct()
+
+
+def articulation_points(edges: DataFrame) -> DataFrame:
+    """node, articulation: whether the parts of the network grow in number when the node goes: it is in several blocks."""
+    return biconnected(edges).groupBy("node").agg((F.count(F.lit(1)) > 1).alias("articulation"))
 
 
 def evidence_graph(regions: DataFrame, conflicts: DataFrame, inflows: DataFrame, outflows: DataFrame, corridors: DataFrame) -> tuple[DataFrame, DataFrame]:

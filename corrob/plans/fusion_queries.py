@@ -18,7 +18,8 @@ P = R.RiskParams(high=65, gap=8)
 def evidence(spark, d) -> R.Evidence:
     """Evidence tables up to YEAR; each is aggregated or selected and written once, as the briefing reads them many times."""
     known = lambda df, name: stash(df.where(F.col("year") <= YEAR), name)
-    inflows, outflows = known(V.inflows(spark, d), "inflows"), known(V.outflows(spark, d), "outflows")
+    pairs = known(V.pair_flows(spark, d), "pair-flows")
+    inflows, outflows = known(V.inflows(spark, d, pairs), "inflows"), known(V.outflows(spark, d, pairs), "outflows")
     conflicts = known(V.conflicts(spark, d), "conflicts")
     return R.Evidence(V.regions(spark, d).select("region"), known(V.stats(spark, d), "stats"), conflicts, inflows, outflows, V.adjacency(spark, d))
 

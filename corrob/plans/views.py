@@ -10,17 +10,18 @@ from pyspark.sql.types import StructType
 
 from corrob.functions.columns import half_up
 from corrob.functions.sources import reliability_weight, source_family, tier_sql, family_sql, confidence_weight
+from corrob.sources.shared import modified
 
 
 @functools.lru_cache(maxsize=256)
-def _schema(spark: SparkSession, path: str) -> StructType:
+def _schema(spark: SparkSession, path: str, changed: int) -> StructType:
     return spark.read.parquet(path).schema
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A given table. Its schema is read once a session, as a query may read a table several times."""
+    """A given table. Its schema is read once, as a query may read a table several times, and again when the table has changed."""
     path = f"{d}/{name}.parquet"
-    return spark.read.schema(_schema(spark, path)).parquet(path)
+    return spark.read.schema(_schema(spark, path, modified(spark, path))).parquet(path)
 
 
 def flows(spark: SparkSession, d: str, columns: str) -> DataFrame:
@@ -145,18 +146,26 @@ def with_source_facts(df: DataFrame, facts: DataFrame | None = None) -> DataFram
     return df.join(facts, df["source_name"].eqNullSafe(facts["n"]) & df["source_url"].eqNullSafe(facts["u"])).drop("n", "u")
 
 
-def inflows(spark: SparkSession, d: str) -> DataFrame:
-    """origin, region, year, product, source, confidence, qty; weighted = qty · confidence · reliability, in ten-thousandths, so that sums are exact."""
+def pair_flows(spark: SparkSession, d: str) -> DataFrame:
+    """origin, dest, year, product, ki, ko (what sources of inflows and outflows go by), qty: lines meet the other tables once for both."""
+    f = flows(spark, d, "origin dest year product supp cust qty")
+    return f.groupBy("origin", "dest", "year", "product", (F.col("supp") % 7).alias("ki"), (F.col("cust") % 8).alias("ko")).agg(F.sum("qty").alias("qty"))
+
+
+def inflows(spark: SparkSession, d: str, pairs: DataFrame | None = None) -> DataFrame:
+    """origin, region, year, product, source, confidence, qty; weighted = qty · confidence · reliability, in ten-thousandths, so that sums are exact. ``pairs``: ``pair_flows``, where they are there already."""
     name, url = source_columns(F.col("k"))
-    f = flows(spark, d, "origin dest year product supp qty").groupBy("origin", F.col("dest").alias("region"), "year", "product", (F.col("supp") % 7).alias("k")).agg(F.sum("qty").alias("qty"))
+    f = flows(spark, d, "origin dest year product supp qty").withColumn("ki", F.col("supp") % 7) if pairs is None else pairs
+    f = f.groupBy("origin", F.col("dest").alias("region"), "year", "product", F.col("ki").alias("k")).agg(F.sum("qty").alias("qty"))
     f = f.select("origin", "region", "year", "product", "qty", name.alias("source_name"), url.alias("source_url"), F.when(F.col("product").isin("ECONOMY", "SMALL"), "official").when(F.col("product").isin("MEDIUM", "LARGE"), "reported").otherwise("estimated").alias("confidence"))
     return with_source_facts(f, known_facts(spark)).withColumn("weighted", F.col("qty") * F.round(confidence_weight(F.col("confidence")) * F.col("reliability") * 10_000).cast("long"))
 
 
-def outflows(spark: SparkSession, d: str) -> DataFrame:
+def outflows(spark: SparkSession, d: str, pairs: DataFrame | None = None) -> DataFrame:
     """region, corridor, year, product, source (null: unattributed), qty."""
     name, url = source_columns(F.col("k"))
-    f = flows(spark, d, "origin dest year product cust qty").groupBy(F.col("origin").alias("region"), F.col("dest").alias("corridor"), "year", "product", (F.col("cust") % 8).alias("k")).agg(F.sum("qty").alias("qty"))
+    f = flows(spark, d, "origin dest year product cust qty").withColumn("ko", F.col("cust") % 8) if pairs is None else pairs
+    f = f.groupBy(F.col("origin").alias("region"), F.col("dest").alias("corridor"), "year", "product", F.col("ko").alias("k")).agg(F.sum("qty").alias("qty"))
     return with_source_facts(f.select("region", "corridor", "year", "product", "qty", name.alias("source_name"), url.alias("source_url")), known_facts(spark))
 
 

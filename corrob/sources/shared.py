@@ -34,6 +34,12 @@ def exists(spark: SparkSession, at: str) -> bool:
     return files.exists(path)
 
 
+def modified(spark: SparkSession, at: str) -> int:
+    """When the file or folder at ``at`` was last written; 0 where the store doesn't say."""
+    files, path = _file(spark, at)
+    return files.getFileStatus(path).getModificationTime() if files.exists(path) else 0
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/corrob-{name}-{uuid.uuid4().hex}"

@@ -241,3 +241,13 @@ def test_page_patterns_take_linear_time(spark, unit):
     short = rows[1]
     assert short["s"] == re.sub(r"\s+", " ", re.sub("<[^>]+>", " ", short["t"])).strip()
     assert short["n"] == re.sub(r"\s+", " ", re.sub(r"(?is)<style.*?</style>", " ", re.sub(r"(?is)<script.*?</script>", " ", short["t"]))).strip()
+
+
+def test_a_rewritten_table_is_read_with_its_new_columns(spark, tmp_path):
+    from corrob.plans import views as V
+
+    spark.range(3).selectExpr("id a").write.parquet(f"{tmp_path}/nation.parquet")
+    assert V.table(spark, str(tmp_path), "nation").columns == ["a"]
+    time.sleep(0.05)
+    spark.range(3).selectExpr("id b", "id c").write.mode("overwrite").parquet(f"{tmp_path}/nation.parquet")
+    assert V.table(spark, str(tmp_path), "nation").columns == ["b", "c"] and V.table(spark, str(tmp_path), "nation").count() == 3
