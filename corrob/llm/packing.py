@@ -11,9 +11,13 @@ Repeated rows are separate documents. Other columns are not read. An empty table
 
 from __future__ import annotations
 
+import base64
 import bisect
+import functools
+import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +28,36 @@ from corrob.llm.common import cells_for, ranked, slices, stash, utf8
 
 ROOM = 1024
 END_ID = 2
+#: Blanks in a row from which on the quick encoder isn't used: its time and its stack grow with them.
+LONG_BLANKS = 300
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(file: str, ranks: str | None = None) -> Callable[[str], bytes]:
+    """A function from a text to the bytes of its ids by the tokenizer at ``file``; made once in each worker.
+
+    ``ranks`` is the same byte-level vocabulary as a .tiktoken file, by which texts are encoded faster and with less
+    memory. Texts with very many blanks in a row go through ``file`` all the same, which is only loaded for the first of them.
+    """
+    if ranks is None or not tokens.cuts_plainly(file):
+        return tokens.encoder(file)
+    import numpy as np
+    import public_tokenizers
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    with open(file, encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    quick = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=special)
+    blanks = re.compile(rf"\s{{{LONG_BLANKS}}}")
+
+    def encode(text: str) -> bytes:
+        if len(text) >= LONG_BLANKS and blanks.search(text):
+            return tokens.encoder(file)(text)
+        return np.array(quick.encode(text, allowed_special="all"), "<u4").tobytes()
+
+    return encode
 
 
 def cut(n: int, room: int = ROOM) -> list[tuple[int, int]]:
@@ -32,12 +66,12 @@ def cut(n: int, room: int = ROOM) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, room) for s in range(first, n, room)] if n > room else [(0, n)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, room: int = ROOM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
     import numpy as np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = tokens.encoder(tokenizer), END_ID.to_bytes(4, "little")
+        encode, end = encoder(tokenizer, ranks), END_ID.to_bytes(4, "little")
         for b in slices(batches, 1):
             at, rows = [], []
             for i, raw in enumerate(b.column(1).to_pylist()):
@@ -96,10 +130,10 @@ def plan(counts: dict[int, int], room: int = ROOM) -> tuple[list[tuple[int, int,
     return out, opened
 
 
-def pack(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, room: int = ROOM) -> DataFrame:
     """The pieces with sequence_id and offset. The driver sees one count per length: ``room`` numbers at most."""
     spark = docs.sparkSession
-    cut_up = stash(pieces(docs, tokenizer, room), "pieces")
+    cut_up = stash(pieces(docs, tokenizer, ranks, room), "pieces")
     counts = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     steps, _ = plan(counts, room)
     by_length: dict[int, list] = {}
