@@ -67,3 +67,18 @@ best as (select coalesce((max_by(middle, [gain, -bin]) - {BINS // 2}) * {BIN}.0,
 select page_id, host, path, rule, coalesce(known, case when mean >= least_ then 'allow' else 'block' end) verdict, mean / {UNIT} score, least_ / {UNIT} threshold
 from scored, best
 """
+
+#: CRCs bit by bit, words by runs of letters, near words by the places of a deleted code point, roots by recursion.
+ORACLE["op13_spelling_variants"] = f"""with recursive bit as (select i, i c, 0 k from range(256) r(i) union all select i, xor(c >> 1, (c & 1) * 3988292384), k + 1 from bit where k < 8), tab as (select list(c order by i) t from bit where k = 8),
+runs as (select doc_id, r, count(*) k from (select doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-zÀ-ÿ]{{5,}}')) r from documents) group by all),
+coded as (select *, hex(encode(doc_id || ':' || r)) x from runs),
+hashed as (select doc_id, r, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x), 2), lambda i: ('0x' || x[i + 1 : i + 2])::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) h from coded, tab),
+named as (select case when h % 97 = 0 then substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) else r end word, k from hashed),
+words as (select word, cast(sum(k) as bigint) n from named where length(word) >= 5 group by word having sum(k) >= 3),
+cut as (select word, i, substr(word, 1, i) || substr(word, i + 2) rest from (select word, unnest(range(length(word))) i from words)),
+pairs as (select a.word a, b.word b from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word union select c.word, w.word from cut c join words w on w.word = c.rest union select w.word, c.word from cut c join words w on w.word = c.rest),
+ranked as (select a, b, n, count(*) over (partition by a) n_near, row_number() over (partition by a order by n desc, b) rn from pairs join words on word = b),
+found as (select w.word, w.n, coalesce(n_near, 0) n_near, case when r.n >= 2 * w.n then b end form, case when r.n >= 2 * w.n then r.n end form_n from words w left join ranked r on r.a = w.word and rn = 1),
+chain as (select word, form place from found where form is not null union all select c.word, f.form from chain c join found f on f.word = c.place where f.form is not null),
+ends as (select c.word, c.place root from chain c join found f on f.word = c.place where f.form is null)
+select word, form, coalesce(root, word) root, n, n_near, form_n from found left join ends using (word)"""

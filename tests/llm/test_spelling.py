@@ -136,3 +136,6 @@ def test_query_equals_brute_force(spark):
     got = rows_of(queries.op13_spelling_variants(spark, "/root/testdata/sf0.001"))
     want = sorted(variants_by_hand(rows), key=lambda r: r[0])
     assert got == want and len(want) > 500
+    duckdb.sql("create or replace temp view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    said = duckdb.sql(f"select word, form, root, n, n_near, form_n from ({queries.ORACLE_SQL['op13_spelling_variants']}) order by word")
+    assert said.fetchall() == got
