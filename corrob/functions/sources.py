@@ -68,7 +68,7 @@ def source_family(name: Column, url: Column) -> Column:
 
 
 def family_label(family: Column) -> Column:
-    return F.when(family.startswith("name:"), F.initcap(F.substring(family, 6, 200))).otherwise(F.upper(F.replace(family, F.lit("-"), F.lit(" "))))
+    return F.when(family.startswith("name:"), F.initcap(F.regexp_replace(family, "^name:", ""))).otherwise(F.upper(F.replace(family, F.lit("-"), F.lit(" "))))
 
 
 def confidence_weight(confidence: Column) -> Column:
