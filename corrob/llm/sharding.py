@@ -6,7 +6,8 @@ first ``n % shards`` one more, so counts differ by one at most, and only overflo
 
 The key is the text, so that equal texts share a place and part only where a shard is full. The plan sees one count
 per place (SLOTS numbers at most); documents take the planned places by joining on place and rank within it.
-A null text has no bytes and is a key of its own. Repeated rows are separate documents; other columns are not read.
+A null text has no bytes and is a key of its own. Very long texts count whole: only their size, checksum and hash leave
+the reader. Repeated rows are separate documents; other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -708,7 +708,7 @@ def test_ring_moves_little_when_it_grows():
 
     a, b = owners(24), owners(25)
     moved = np.mean([a[k] != b[k] for k in a])
-    assert set(a) == set(b) and moved < 0.5  # by remainders it would be 24 of 25
+    assert set(a) == set(b) and moved < 0.1  # 0.04 is the least; by remainders it would be 24 of 25
 
 
 # --- sites
