@@ -7,6 +7,7 @@ from corrob.operators import series as S
 from corrob.operators import triangulate as T
 from corrob.plans import views as V
 from corrob.plans.registry import query
+from corrob.sources.shared import stash
 
 NOW, BEFORE = 2000, 1996
 #: product, its mortality substance and wastewater drug (null: none), caveat.
@@ -23,14 +24,32 @@ def pairs(spark, d):
     return n.select("country", F.explode(F.array(*(F.lit(b[0]) for b in BRIDGE))).alias("product"))
 
 
+def flow_cells(spark, d):
+    """dest, origin, product, year, small (sizes below 4), qty, cents: lines meet the other tables once for seizures and prices."""
+    f = V.flows(spark, d, "dest origin product year qty cents size").withColumn("small", F.col("size") < 4)
+    return f.groupBy("dest", "origin", "product", "year", "small").agg(F.sum("qty").alias("qty"), F.sum("cents").alias("cents"))
+
+
+def order_cells(spark, d):
+    """country, site, substance, year, month, n, cents: orders are read once for mortality and loads."""
+    o = V.orders_by_nation(spark, d)
+    keys = [F.col("n_name").alias("country"), F.col("c_mktsegment").alias("site"), F.col("o_orderpriority").alias("substance"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")]
+    return o.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+
+
 def all_readings(spark, d):
     at, b = pairs(spark, d), F.broadcast(bridge(spark))  # six rows
-    f = V.flows(spark, d, "dest product year qty size").where("size < 4").groupBy(F.col("dest").alias("country"), "product", "year").agg(F.sum("qty").alias("v"))
-    p = V.prices(spark, d).select("country", "product", "year", F.col("price").alias("v"))
+    lines, orders = stash(flow_cells(spark, d), "flow-cells"), stash(order_cells(spark, d), "order-cells")
+    f = lines.where("small").groupBy(F.col("dest").alias("country"), "product", "year").agg(F.sum("qty").alias("v"))
+    price = half_up(F.sum("cents") / F.sum("qty") / 100, 2)
+    p = lines.groupBy(F.col("origin").alias("country"), "product", "year").agg(price.alias("v"))
     covered = V.table(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("country"))
-    o = V.outcomes(spark, d).where("not partial").withColumnRenamed("product", "substance").join(covered.withColumnRenamed("country", "jurisdiction"), "jurisdiction")
-    m = o.join(b, "substance").select(F.col("jurisdiction").alias("country"), "product", "year", F.col("deaths").alias("v"))
-    w = V.monthly_load(spark, d).where("month < 7").groupBy("site", "country", "year").agg(F.round(F.avg("rate"), 6).alias("v")).withColumnRenamed("site", "drug").join(b, "drug").where(F.length("country") == 9).select("country", "product", "year", "v")
+    # Windows of 2001 are partial.
+    o = orders.where("year <> 2001").groupBy("country", "year", "substance").agg(F.sum("n").alias("v")).join(covered, "country")
+    m = o.join(b, "substance").select("country", "product", "year", "v")
+    rate = orders.where("month < 7").groupBy("site", "country", "year", "month").agg((F.sum("cents") / F.sum("n") / 100).alias("rate"))
+    w = rate.groupBy("site", "country", "year").agg(F.round(F.avg("rate"), 6).alias("v")).withColumnRenamed("site", "drug")
+    w = w.join(b, "drug").where(F.length("country") == 9).select("country", "product", "year", "v")
     r = T.readings(at, "seizures", f, NOW, BEFORE, zero_is_absent=True).unionByName(T.readings(at, "retail_price", p, NOW, BEFORE))
     return r.unionByName(T.readings(at, "mortality", m, NOW, BEFORE, covered)).unionByName(T.readings(at, "wastewater", w, NOW, BEFORE, w))
 
