@@ -12,7 +12,6 @@ from corrob.operators import quality as Q
 from corrob.operators import records as R
 from corrob.operators import rules as L
 from corrob.operators import text as N
-from corrob.operators.ingest import Rule
 from corrob.plans import views as V
 from corrob.plans.aggregate_queries import AUDITED, audited
 from corrob.plans.registry import ORACLE, query

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: gated imports, snapshots, ledgers, observation streams, weekly windows, changed rows only.
+"""Structured Streaming jobs: snapshots, ledgers, weekly windows, changed rows only; ``imports`` has those that keep tables.
 
 Each function takes a streaming (or batch) DataFrame; ``drain`` runs a stream over all that is there and stops. State
 is bounded by watermarks. Sinks are Parquet files with a checkpoint, so a restarted job writes nothing twice.
@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrob.operators.ingest import Rule, reasoned
 from corrob.sources.shared import clear_at_exit, new_path
 
 
@@ -34,22 +33,12 @@ def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
-def firewall(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``df`` with ``reason``: null is accepted, anything else goes to quarantine."""
-    return reasoned(df, rules)
-
-
 def suppressed(df: DataFrame, count: str, messages: str, sources: str, least_messages: int, least_sources: int) -> DataFrame:
     """Counts only where messages and sources suffice; else null, with ``status``."""
     ok = (F.col(messages) >= least_messages) & (F.col(sources) >= least_sources)
     return df.withColumn("status", F.when(ok, "sufficient").otherwise("insufficient")).withColumn(count, F.when(ok, F.col(count)))
 
 
-def idempotent(df: DataFrame, keys: list[str], time: str, delay: str = "1 hour") -> DataFrame:
-    """The first record of each key; repeats within the delay are dropped and their state is then forgotten."""
-    return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
-
-
 def hourly_snapshot(df: DataFrame, time: str, value: str, delay: str = "10 minutes") -> DataFrame:
     """Latest value and record count of each closed hour."""
     w = df.withWatermark(time, delay).groupBy(F.window(time, "1 hour").alias("w")).agg(F.max_by(value, F.struct(time, value)).alias("latest"), F.count(F.lit(1)).alias("n"))
