@@ -36,20 +36,24 @@ def normalised(text: Column) -> Column:
 def body_of(text: Column) -> Column:
     """The text without quoted lines, lines that announce them, and blank lines at its ends."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    later = lambda k: F.slice(lines, k + 1, F.size(lines))
     quoted = lambda x: F.coalesce(x.rlike(MARKS), F.lit(False))
 
-    def own(x: Column, i: Column) -> Column:
-        after = F.get(lines, i + 1)
-        after = F.when(F.trim(after) == "", F.get(lines, i + 2)).otherwise(after)
-        return ~quoted(x) & ~(x.rlike(ANNOUNCES) & quoted(after))
+    def own(x: Column) -> Column:
+        line, after = x["0"], F.when(F.trim(x["1"]) == "", x["2"]).otherwise(x["1"])
+        return ~quoted(line) & ~(line.rlike(ANNOUNCES) & quoted(after))
 
-    return F.btrim(F.array_join(F.filter(lines, own), "\n"), F.lit(" \t\n\x0b\f\r"))
+    # Each line beside the two after it, so that a function over lines needn't look them up in all lines.
+    kept = F.transform(F.filter(F.arrays_zip(lines, later(1), later(2)), own), lambda x: x["0"])
+    return F.btrim(F.array_join(kept, "\n"), F.lit(" \t\n\x0b\f\r"))
 
 
 def passages(messages: DataFrame) -> DataFrame:
     """conv_id, turn, level, size, hash: the different passages of messages."""
     marks = F.regexp_extract("line", MARKS, 0)
-    lines = messages.select("conv_id", "turn", F.md5("text").alias("m"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    # What is said of a whole message is worked out before its lines are rows, not for each of them.
+    parted = messages.select("conv_id", "turn", F.md5("text").alias("m"), F.split("text", "\n").alias("lines"))
+    lines = parted.select("conv_id", "turn", "m", F.posexplode("lines").alias("at", "line"))
     raw = F.regexp_replace("line", MARKS, "")
     lines = lines.select("conv_id", "turn", "m", "at", F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), raw.alias("raw"), normalised(raw).alias("said"))
     own = Window.partitionBy("conv_id", "turn", "m").orderBy("at")
