@@ -32,7 +32,8 @@ from corrob.llm.common import slices, stash, utf8
 class SpellingParams:
     """letters and least_occurrences of a word; times: how much commoner a form is; one in ``damaged`` runs loses a code point.
 
-    held: different words that a task counts before it hands them on."""
+    held: different words that a task counts before it hands them on. Words need four letters to have two disjoint bigrams
+    among any three."""
 
     letters: int = 5
     least_occurrences: int = 3
@@ -40,6 +41,10 @@ class SpellingParams:
     damaged: int = 97
     held: int = 200_000
 
+    def __post_init__(self):
+        if self.letters < 4:
+            raise ValueError("words need four letters")
+
 
 def runs_of(text: bytes, doc_id, p: SpellingParams) -> Iterator[tuple[str, int]]:
     """(word, occurrences) of a text, those with a deleted code point as they are then."""
@@ -144,7 +149,7 @@ def entries(word: str, rank: dict[str, int], cost: dict[str, int]) -> tuple[int,
 
 
 def near(known: DataFrame) -> DataFrame:
-    """a, n_a, b, n_b: each pair of words at one edit, once. ``known``: word, n; words of three letters or more."""
+    """a, n_a, b, n_b: each pair of words at one edit, once. ``known``: word, n; words of four letters or more."""
     cost = gram_costs(known)
     rank = {g: i for i, g in enumerate(sorted(cost, key=lambda g: (cost[g], g)))}
 

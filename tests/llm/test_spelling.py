@@ -81,6 +81,14 @@ def test_every_near_pair_meets(spark, alphabet):
     assert got == sorted((a, words[a], b, words[b]) for a in words for b in words if a < b and near_by_hand(a, b))
 
 
+def test_words_of_four_letters_are_the_shortest(spark):
+    words = ["abca", "abcb", "aaaa", "aaab", "baaa", "aaaaa", "abcda", "bcda"]
+    got = {(r["a"], r["b"]) for r in spelling.near(spark.createDataFrame([(w, 3) for w in words], "word string, n long")).collect()}
+    assert got == {(a, b) for a in words for b in words if a < b and near_by_hand(a, b)}
+    with pytest.raises(ValueError, match="four"):
+        spelling.SpellingParams(letters=3)
+
+
 def test_pivots_are_the_cheapest_disjoint_pair():
     rng = random.Random(7)
     for _ in range(2000):
