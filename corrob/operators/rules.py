@@ -107,16 +107,24 @@ def name_index(entities: DataFrame, key: str, name: str, aliases: str) -> DataFr
     return each.select(F.explode(words_of(F.col("text"))).alias("token"), "key", "field", "text")
 
 
-def search_names(index: DataFrame, queries: DataFrame, query: str, text: str) -> DataFrame:
+def search_names(index: DataFrame, queries: DataFrame, query: str, text: str, most_broadcast: int = 200_000) -> DataFrame:
     """query, key, alias: entities whose name, or else one alias, has every word of the query, in any order; all queries at once.
 
     ``alias`` is the first alias that fits, null where the name does. Queries of fewer than two characters find nothing.
-    A query's rarest word is looked up first; what that word finds is all that its other words are held against.
+    Queries of the same words are one, and so are equal names: each is held against the other once, by the query's rarest
+    word. What fits is joined with the entities of that name, and last with the queries of those words, so that only
+    the result itself has a row for each query and entity. A query has one text.
     """
-    asked = queries.select(F.col(query).alias("query"), words_of(F.col(text)).alias("words")).where((F.length(F.trim(text)) >= 2) & (F.size("words") > 0))
-    tokens = asked.select("query", F.size("words").alias("n"), F.explode("words").alias("token"))
-    often = index.join(tokens.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("often"))
-    counted = tokens.join(often, "token", "left").groupBy("query", "n").agg(F.min_by("token", F.struct(F.coalesce("often", F.lit(0)), "token")).alias("token"))
-    found = counted.join(index, "token").select("query", "n", "key", "field", "text").join(asked, "query")
-    fits = found.where(F.size(F.array_except("words", words_of(F.col("text")))) == 0)
-    return fits.groupBy("query", "key").agg(F.min(F.struct("field", "text")).alias("best")).select("query", "key", F.when(F.col("best.field") > 0, F.col("best.text")).alias("alias"))
+    words = F.array_sort(words_of(F.col(text)))
+    asked = queries.where(F.length(F.trim(text)) >= 2).select(F.col(query).alias("query"), F.array_join(words, " ").alias("said")).where("said <> ''").distinct()
+    said = asked.select("said").distinct().withColumn("words", F.split("said", " "))
+    tokens = said.select("said", F.explode("words").alias("token"))
+    texts = index.groupBy("token", "text").agg(F.count(F.lit(1)).alias("n"))
+    often = texts.groupBy("token").agg(F.sum("n").alias("often"))
+    rarest = tokens.join(often, "token", "left").groupBy("said").agg(F.min_by("token", F.struct(F.coalesce("often", F.lit(0)), "token")).alias("token"))
+    found = rarest.join(texts, "token").join(said, "said")
+    fits = found.where(F.size(F.array_except("words", words_of(F.col("text")))) == 0).select("said", "token", "text")
+    each = index.join(sized(fits, most_broadcast), ["token", "text"])  # a name has a token once
+    best = each.groupBy("said", "key").agg(F.min(F.struct("field", "text")).alias("best"))
+    best = best.select("said", "key", F.when(F.col("best.field") > 0, F.col("best.text")).alias("alias"))
+    return best.join(sized(asked, most_broadcast), "said").select("query", "key", "alias")
