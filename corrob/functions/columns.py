@@ -23,6 +23,11 @@ def half_up_int(x: Column) -> Column:
     return F.floor(x + 0.5).cast("long")
 
 
+def once(value: Column) -> Column:
+    """``value`` worked out once a row, however often later columns and filters name it. A row stays one row."""
+    return F.explode(F.array(value))
+
+
 def coerce_string(x: Column) -> Column:
     return F.when(~F.lower(F.trim(x)).isin(*NULL_TOKENS), F.trim(x))
 

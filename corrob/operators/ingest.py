@@ -70,7 +70,9 @@ def place(df: DataFrame) -> list[str]:
 
 def validate(df: DataFrame, rules: Sequence[Rule], line: str = "line") -> Checked:
     """(valid rows, rejects as file (if there is one), line, reason and message)."""
-    marked = reasoned(df, rules)
+    # Typed fields are worked out once: rules name them many times, and filters on the reason would repeat them.
+    typed = df.select(C.once(F.struct(*df.columns)).alias("__row")).select("__row.*")
+    marked = reasoned(typed, rules)
     at = [c for c in place(df) if c != line] + [line]
     rejects = marked.where("reason is not null").select(*at, "reason", F.format_string("Row %s: %s", F.col(line).cast("string"), "reason").alias("message"))
     return Checked(marked.where("reason is null").drop("reason"), rejects, marked)

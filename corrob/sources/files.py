@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corrob.functions.columns import coerce_number, coerce_string, half_up
+from corrob.functions.columns import coerce_number, coerce_string, half_up, once
 from corrob.operators.ingest import Checked
 from corrob.sources.shared import stash
 
@@ -90,7 +90,8 @@ def read_aliased_csv(
     rows = lines.join(F.broadcast(known) if known.count() <= most_broadcast else known, ["file", "block"])
     rows = rows.withColumn("line", F.col("before") + F.col("at") - F.col("first") + 1).where("line > 1")
     parsed = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), _CSV)
-    fields = rows.select("file", "line", "places", parsed.alias("c")).select("file", "line", "places", F.array(*(F.col(f"c.c{i}") for i in range(width))).alias("fields"))
+    # A line is parsed once, and its fields are put in order once, however many columns and filters follow.
+    fields = rows.select("file", "line", "places", once(parsed).alias("c")).select("file", "line", "places", once(F.array(*(F.col(f"c.c{i}") for i in range(width)))).alias("fields"))
     field = lambda i: F.get("fields", F.when(F.get("places", F.lit(i)) >= 0, F.get("places", F.lit(i))))
     return fields.select("file", "line", *(field(i).alias(f) for i, f in enumerate(aliases))), warnings
 
