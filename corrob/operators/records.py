@@ -7,6 +7,7 @@ is no JSON has no nodes and no canonical form.
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import re
@@ -68,6 +69,8 @@ def script_number(x: float) -> str:
     """A number as scripts write it: shortest digits, an exponent below 1e-6 and from 1e21 on."""
     if x == 0:
         return "0"
+    if 1e-4 <= abs(x) < 2**53:  # most numbers: as Python writes them
+        return str(int(x)) if x == int(x) else repr(x)
     sign, x = ("-", -x) if x < 0 else ("", x)
     digits, _, exponent = f"{x!r}".partition("e")
     whole, _, part = digits.partition(".")
@@ -90,6 +93,18 @@ def script_order(name: str):
     return (1, 0, name.encode("utf-16-be", "surrogatepass"))
 
 
+def script_text(text: str) -> str:
+    """A string in quotes; what is no character by itself is escaped."""
+    quoted = json.encoder.encode_basestring(text)
+    return quoted if quoted.isascii() else re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", quoted)
+
+
+@functools.lru_cache(maxsize=10_000)
+def script_key(name: str):
+    """(place, written form) of a key: records share their keys."""
+    return script_order(name), script_text(name)
+
+
 def canonical(record: str | None, without: str | None = None) -> str | None:
     """A record as JSON with the keys of each object sorted and nothing else changed; None where it is no JSON.
 
@@ -100,13 +115,16 @@ def canonical(record: str | None, without: str | None = None) -> str | None:
         raise ValueError(name)
 
     def written(x) -> str:
+        if isinstance(x, str):
+            return script_text(x)
+        if isinstance(x, float):
+            return script_number(x) if math.isfinite(x) else "null"
         if isinstance(x, dict):
-            return "{" + ",".join(f"{written(k)}:{written(x[k])}" for k in sorted(x, key=script_order)) + "}"
+            keys = sorted((*script_key(k), k) for k in x)
+            return "{" + ",".join(f"{said}:{written(x[k])}" for _, said, k in keys) + "}"
         if isinstance(x, list):
             return "[" + ",".join(map(written, x)) + "]"
-        if isinstance(x, float):
-            return script_number(x) if math.isfinite(x) else "null"
-        return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", json.dumps(x, ensure_ascii=False))
+        return "null" if x is None else "true" if x else "false"
 
     if record is None:
         return None
