@@ -6,11 +6,14 @@ that rest on a broken part don't add reasons of their own: a missing number is o
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corrob.functions.columns import once
+
 # What a summary says and how.
 KEYS = {
     "": ("schema_version", "producer", "data_classification", "review_status", "publication_eligible", "intended_consumers", "window", "sampling_frame", "coverage", "detections", "limitations"),
@@ -56,9 +59,14 @@ def _list(v: Column) -> Column:
     return F.when(_type(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
 
 
-def reasons(record: str, contract: Contract) -> Column:
-    """All that is wrong with the summary in column ``record``, in the order of the contract; empty if it is accepted."""
-    at = lambda path: F.try_variant_get(F.try_parse_json(record), f"$.{path}", "variant")
+def parts() -> list[str]:
+    """The paths that rules look at."""
+    return [f"{k}.{x}" if k else x for k, names in KEYS.items() for x in names]
+
+
+def reasons(record: Column, part: Callable[[str], Column], contract: Contract) -> Column:
+    """All that is wrong with the summary ``record``, in the order of the contract; empty if it is accepted. ``part``: what it has at a path, as VARIANT."""
+    at = part
     text = lambda path: F.when(_type(at(path)) == "STRING", F.try_variant_get(at(path), "$", "string"))
     number = lambda path, least=0: F.when(_whole(at(path), least), F.try_variant_get(at(path), "$", "double"))
     is_ = lambda path, value: F.coalesce(text(path) == value, F.lit(False))
@@ -68,9 +76,9 @@ def reasons(record: str, contract: Contract) -> Column:
     def fails(broken: Column, reason: str) -> None:
         checks.append((F.coalesce(broken, F.lit(False)), reason))
 
-    def exact(part: str) -> Column:
-        have = F.map_keys(_map(at(part) if part else F.try_parse_json(record)))
-        return F.coalesce(F.array_sort(have) == F.array(*map(F.lit, sorted(KEYS[part]))), F.lit(False))
+    def exact(name: str) -> Column:
+        have = F.map_keys(_map(at(name) if name else record))
+        return F.coalesce(F.array_sort(have) == F.array(*map(F.lit, sorted(KEYS[name]))), F.lit(False))
 
     fails(~exact(""), "summary: keys")
     fails(~is_("schema_version", contract.schema_version), "schema_version: unsupported")
@@ -121,9 +129,13 @@ def reasons(record: str, contract: Contract) -> Column:
     good = F.size(limits).between(1, 20) & F.forall(limits, lambda s: F.coalesce((F.trim(s) != "") & (F.length(s) <= 500), F.lit(False)))
     fails(~F.coalesce(good, F.lit(False)), "limitations: no list of one to 20 texts")
     wrong = F.array_compact(F.array(*(F.when(broken, F.lit(reason)) for broken, reason in checks)))
-    return F.when(F.coalesce(_type(F.try_parse_json(record)).startswith("OBJECT"), F.lit(False)), wrong).otherwise(F.array(F.lit("summary: no JSON object")))
+    return F.when(F.coalesce(_type(record).startswith("OBJECT"), F.lit(False)), wrong).otherwise(F.array(F.lit("summary: no JSON object")))
 
 
 def judged(df: DataFrame, record: str, contract: Contract) -> DataFrame:
-    """``df`` with ``reasons``; batch or stream."""
-    return df.withColumn("reasons", reasons(record, contract))
+    """``df`` with ``reasons``; batch or stream. A record is parsed once and looked up once a path, not once a rule."""
+    parsed = df.select("*", once(F.try_parse_json(record)).alias("__record"))
+    places = {path: f"p{i}" for i, path in enumerate(parts())}
+    looked = parsed.select("*", once(F.struct(*(F.try_variant_get("__record", f"$.{path}", "variant").alias(p) for path, p in places.items()))).alias("__parts"))
+    told = reasons(F.col("__record"), lambda path: F.col(f"__parts.{places[path]}"), contract)
+    return looked.withColumn("reasons", told).drop("__record", "__parts")
