@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrob.functions.columns import half_up
+from corrob.sources.shared import stash
 
 
 def densified(df: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
     """One row per key and reported time, 0 where a key has none. Times are a short axis, gathered to one small array."""
-    each = df.groupBy(*keys, time).agg(F.sum(value).alias("value"))
+    each = stash(df.groupBy(*keys, time).agg(F.sum(value).alias("value")), "series")  # read three times below
     axis = each.select(F.explode(F.array(time)).alias(time)).distinct().agg(F.array_sort(F.collect_list(time)).alias("__axis"))
     spine = each.select(*keys).distinct().join(F.broadcast(axis), F.lit(True)).select(*keys, F.explode("__axis").alias(time))
     return spine.join(each, [*keys, time], "left").withColumn("value", F.coalesce("value", F.lit(0)))

@@ -24,10 +24,16 @@ def pairs(spark, d):
     return n.select("country", F.explode(F.array(*(F.lit(b[0]) for b in BRIDGE))).alias("product"))
 
 
-def flow_cells(spark, d):
-    """dest, origin, product, year, small (sizes below 4), qty, cents: lines meet the other tables once for seizures and prices."""
-    f = V.flows(spark, d, "dest origin product year qty cents size").withColumn("small", F.col("size") < 4)
-    return f.groupBy("dest", "origin", "product", "year", "small").agg(F.sum("qty").alias("qty"), F.sum("cents").alias("cents"))
+def seizure_cells(spark, d):
+    """country, product, year, v: quantities of small sizes (below 4). Parts are cut to those first, so that few lines meet orders."""
+    f = V.flows(spark, d, "dest product year qty size", parts_first=True).where("size < 4")
+    return f.groupBy(F.col("dest").alias("country"), "product", "year").agg(F.sum("qty").alias("v"))
+
+
+def price_cells(spark, d):
+    """country, product, year, qty, cents: prices rest on where lines come from, so lines don't meet orders."""
+    f = V.flows(spark, d, "origin product year qty cents")
+    return f.groupBy(F.col("origin").alias("country"), "product", "year").agg(F.sum("qty").alias("qty"), F.sum("cents").alias("cents"))
 
 
 def order_cells(spark, d):
@@ -39,10 +45,8 @@ def order_cells(spark, d):
 
 def all_readings(spark, d):
     at, b = pairs(spark, d), F.broadcast(bridge(spark))  # six rows
-    lines, orders = stash(flow_cells(spark, d), "flow-cells"), stash(order_cells(spark, d), "order-cells")
-    f = lines.where("small").groupBy(F.col("dest").alias("country"), "product", "year").agg(F.sum("qty").alias("v"))
-    price = half_up(F.sum("cents") / F.sum("qty") / 100, 2)
-    p = lines.groupBy(F.col("origin").alias("country"), "product", "year").agg(price.alias("v"))
+    orders, f = stash(order_cells(spark, d), "order-cells"), stash(seizure_cells(spark, d), "seizure-cells")
+    p = stash(price_cells(spark, d), "price-cells").select("country", "product", "year", half_up(F.col("cents") / F.col("qty") / 100, 2).alias("v"))
     covered = V.table(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("country"))
     # Windows of 2001 are partial.
     o = orders.where("year <> 2001").groupBy("country", "year", "substance").agg(F.sum("n").alias("v")).join(covered, "country")

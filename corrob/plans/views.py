@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from corrob.functions.columns import half_up
 from corrob.functions.sources import reliability_weight, source_family, tier_sql, family_sql, confidence_weight
+from corrob.operators.rules import sized
 from corrob.sources.shared import modified
 
 
@@ -24,32 +25,38 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.schema(_schema(spark, path, modified(spark, path))).parquet(path)
 
 
-def flows(spark: SparkSession, d: str, columns: str) -> DataFrame:
+def flows(spark: SparkSession, d: str, columns: str, parts_first: bool = False, most_suppliers: int = 1_000_000) -> DataFrame:
     """One row per line with the ``columns`` named, of: origin and dest (nations), cust, supp, product, item, year, qty, cents, disc (percent), size, orderkey, partkey.
 
-    Keys between the tables hold, so a table that gives none of the columns isn't joined at all.
+    Keys between the tables hold, so a table that gives none of the columns isn't joined at all. Lines carry no more than what is wanted of them; suppliers are broadcast
+    up to ``most_suppliers``, customers meet orders before lines do, so that lines are shuffled once for orders and once for parts. ``parts_first``: parts before orders, where a filter leaves few of them.
     """
     t = lambda n, *c: table(spark, d, n).select(*c)
-    wanted = columns.split()
+    wanted = set(columns.split())
     nation = t("nation", "n_nationkey", "n_name")
     made = {
-        "origin": F.col("origin"), "dest": F.col("dest"), "cust": F.col("o_custkey"), "supp": F.col("l_suppkey"), "product": F.col("p_type"), "item": F.col("p_brand"),
-        "year": F.year("l_shipdate"), "qty": F.col("l_quantity").cast("long"), "cents": F.round(F.col("l_extendedprice") * 100).cast("long"),
-        "disc": F.round(F.col("l_discount") * 100).cast("long"), "size": F.col("p_size"), "orderkey": F.col("l_orderkey"), "partkey": F.col("l_partkey"),
+        "supp": F.col("l_suppkey").alias("supp"), "partkey": F.col("l_partkey").alias("partkey"), "orderkey": F.col("l_orderkey").alias("orderkey"), "year": F.year("l_shipdate").alias("year"), "qty": F.col("l_quantity").cast("long").alias("qty"),
+        "cents": F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), "disc": F.round(F.col("l_discount") * 100).cast("long").alias("disc"),
     }
-    out = t("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
-    if {"dest", "cust"} & set(wanted):
-        out = out.join(t("orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    if "dest" in wanted:
-        # A customer's nation comes with it, so that lines meet one table.
-        customer = t("customer", "c_custkey", "c_nationkey").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("dest"))
-        out = out.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    of_orders, of_parts = {"dest", "cust"} & wanted, {"product", "item", "size"} & wanted
+    keys = ({"supp"} if "origin" in wanted else set()) | ({"partkey"} if of_parts else set()) | ({"orderkey"} if of_orders else set())
+    out = table(spark, d, "lineitem").select(*(c for name, c in made.items() if name in wanted | keys))
     if "origin" in wanted:
-        supplier = t("supplier", "s_suppkey", "s_nationkey").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("origin"))
-        out = out.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    if {"product", "item", "size"} & set(wanted):
-        out = out.join(t("part", "p_partkey", "p_type", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    return out.select(*(made[c].alias(c) for c in wanted))
+        supplier = t("supplier", "s_suppkey", "s_nationkey").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("supp"), F.col("n_name").alias("origin"))
+        out = out.join(sized(supplier, most_suppliers), "supp")
+    joins = []
+    if of_orders:
+        order = table(spark, d, "orders").select(F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("cust"))
+        if "dest" in wanted:
+            customer = t("customer", "c_custkey", "c_nationkey").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("cust"), F.col("n_name").alias("dest"))
+            order = order.join(customer, "cust")
+        joins.append((order.select("orderkey", *sorted(of_orders)), "orderkey"))
+    if of_parts:
+        names = {"product": "p_type", "item": "p_brand", "size": "p_size"}
+        joins.append((table(spark, d, "part").select(F.col("p_partkey").alias("partkey"), *(F.col(names[c]).alias(c) for c in sorted(of_parts))), "partkey"))
+    for other, key in reversed(joins) if parts_first else joins:
+        out = out.join(other, key)
+    return out.select(*columns.split())
 
 
 def orders_by_nation(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from corrob.operators import ingest as I
 from corrob.operators import rules as L
+from corrob.plans import views as V
+from corrob.plans.catalog import QUERIES
+from corrob.sources import files
+from corrob.streaming import summaries
+
+SF = "/root/testdata/sf0.01"
 
 
 def shuffled(spark, df):
@@ -30,3 +37,26 @@ def test_equal_names_and_queries_meet_once(spark):
         assert 0 < shuffled(spark, find) < 20_000  # not a row for each of the 400,000 results
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_are_shuffled_once_a_table(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines, orders = (V.table(spark, SF, t).count() for t in ("lineitem", "orders"))
+        assert 0 < shuffled(spark, lambda: QUERIES["w9_trend_by_group"](spark, SF)) < 1.5 * lines + orders
+        assert 0 < shuffled(spark, lambda: QUERIES["t1_readings"](spark, SF)) < 2.6 * lines
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_value_is_worked_out_once_a_row(spark, tmp_path):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    (tmp_path / "a.csv").write_text("drug,country,year,price\n" + "soap,Land,1999,3\n" * 3)
+    names = ["drug", "country", "iso3", "region", "year", "price", "purity"]
+    records, _ = files.read_aliased_csv(spark, str(tmp_path), {c: [c] for c in names}, ["drug"])
+    rejects = I.prices(records)[1]
+    assert plan(rejects).lower().count("csvtostructs") + plan(rejects).lower().count("from_csv") == 1
+    assert [r["message"] for r in rejects.orderBy("line").collect()] == [f"Row {i}: unknown drug" for i in (2, 3, 4)]
+    judged = summaries.judged(spark.createDataFrame([("{}",)], "record string"), "record", summaries.Contract("a", "b", "c"))
+    assert plan(judged).lower().count("parse_json") + plan(judged).lower().count("parsejson") == 1
+    assert len(judged.first()["reasons"]) > 10
