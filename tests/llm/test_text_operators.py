@@ -457,6 +457,19 @@ def test_kernel_regression_equals_brute_force(spark):
     assert np.abs(got - want).max() < 1e-2 and (got.argmax(axis=1) == want.argmax(axis=1)).all()
 
 
+def test_language_model_and_gate_rest_on_all_learning_texts(spark):
+    """With landmarks of a few texts only, the rest of the learning texts still decides; of short texts it equals ``fit`` and ``gate`` of all rows."""
+    rng = random.Random(29)
+    docs = spark.createDataFrame([(" ".join(rng.choice(WORDS[k].split()) for _ in range(rng.randrange(5, 30))), k) for k in rng.choices(list(WORDS), k=300)], "text string, lang string")
+    drawn, few = langid.sample(docs), langid.KernelParams(per_lang=10)
+    (langs, z, coef), (share, at, least) = langid.learn(docs)
+    want, asked = langid.fit(drawn), langid.gate(drawn)
+    assert langs == want[0] and np.array_equal(z, want[1]) and np.abs(coef - want[2]).max() < 1e-3
+    assert np.abs(share - asked[0]).max() < 1e-4 and np.array_equal(at, asked[1]) and np.abs(least - asked[2]).max() < 2e-3
+    assert len(langid.sample(docs, few)[1]) < 100
+    assert np.abs(langid.learn(docs, few)[1][0] - share).max() < 1e-4
+
+
 def test_gibberish_and_unlearned_languages_go(spark):
     rng = random.Random(6)
     langs = {i: rng.choice(list(WORDS)) for i in range(800)}
