@@ -24,29 +24,50 @@ def pairs(spark, d):
     return n.select("country", F.explode(F.array(*(F.lit(b[0]) for b in BRIDGE))).alias("product"))
 
 
-def seizure_cells(spark, d):
-    """country, product, year, v: quantities of small sizes (below 4). Parts are cut to those first, so that few lines meet orders."""
-    f = V.flows(spark, d, "dest product year qty size", parts_first=True).where("size < 4")
-    return f.groupBy(F.col("dest").alias("country"), "product", "year").agg(F.sum("qty").alias("v"))
+def seizure_lines(spark, d):
+    """country, product, year, qty of lines of small sizes (below 4). Parts are cut to those first, so that few lines meet orders."""
+    return V.flows(spark, d, "dest product year qty", parts="size < 4").withColumnRenamed("dest", "country")
 
 
-def price_cells(spark, d):
+def price_lines(spark, d):
     """country, product, year, qty, cents: prices rest on where lines come from, so lines don't meet orders."""
-    f = V.flows(spark, d, "origin product year qty cents")
-    return f.groupBy(F.col("origin").alias("country"), "product", "year").agg(F.sum("qty").alias("qty"), F.sum("cents").alias("cents"))
+    return V.flows(spark, d, "origin product year qty cents").withColumnRenamed("origin", "country")
 
 
-def order_cells(spark, d):
+def compared(year):
+    return F.coalesce(year.isin(NOW, BEFORE), F.lit(False))
+
+
+def line_cells(lines, **sums):
+    """Sums a country, product and year, of the two years that readings compare."""
+    return lines.where(compared(F.col("year"))).groupBy("country", "product", "year").agg(*(F.sum(c).alias(name) for name, c in sums.items()))
+
+
+def with_other_years(at, cells, lines):
+    """``cells``, and a row without a year for pairs that have only lines of other years. Lines of other years are looked at where a pair has no cell, so at scale mostly nowhere."""
+    lacking = at.join(cells, ["country", "product"], "left_anti").collect()  # a row a pair at most
+    if not lacking:
+        return cells
+    rest = lines.where(~compared(F.col("year")) & F.col("country").isin(*{r["country"] for r in lacking}) & F.col("product").isin(*{r["product"] for r in lacking}))
+    return cells.unionByName(rest.select("country", "product").distinct(), allowMissingColumns=True)
+
+
+def order_cells(spark, d, every_year):
     """country, site, substance, year, month, n, cents: orders are read once for mortality and loads."""
     o = V.orders_by_nation(spark, d)
+    o = o if every_year else o.where(compared(F.year("o_orderdate")))
     keys = [F.col("n_name").alias("country"), F.col("c_mktsegment").alias("site"), F.col("o_orderpriority").alias("substance"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")]
     return o.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
 
 
-def all_readings(spark, d):
+def all_readings(spark, d, reasons=False):
+    """The readings of all modalities. They rest on the two years compared; only ``reasons`` also ask whether other years have anything."""
     at, b = pairs(spark, d), F.broadcast(bridge(spark))  # six rows
-    orders, f = stash(order_cells(spark, d), "order-cells"), stash(seizure_cells(spark, d), "seizure-cells")
-    p = stash(price_cells(spark, d), "price-cells").select("country", "product", "year", half_up(F.col("cents") / F.col("qty") / 100, 2).alias("v"))
+    orders, sold = stash(order_cells(spark, d, reasons), "order-cells"), price_lines(spark, d)
+    f, p = stash(line_cells(seizure_lines(spark, d), v="qty"), "seizure-cells"), stash(line_cells(sold, qty="qty", cents="cents"), "price-cells")
+    if reasons:
+        f, p = with_other_years(at, f, seizure_lines(spark, d)), with_other_years(at, p, sold)
+    p = p.select("country", "product", "year", half_up(F.col("cents") / F.col("qty") / 100, 2).alias("v"))
     covered = V.table(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("country"))
     # Windows of 2001 are partial.
     o = orders.where("year <> 2001").groupBy("country", "year", "substance").agg(F.sum("n").alias("v")).join(covered, "country")
@@ -55,7 +76,8 @@ def all_readings(spark, d):
     w = rate.groupBy("site", "country", "year").agg(F.round(F.avg("rate"), 6).alias("v")).withColumnRenamed("site", "drug")
     w = w.join(b, "drug").where(F.length("country") == 9).select("country", "product", "year", "v")
     r = T.readings(at, "seizures", f, NOW, BEFORE, zero_is_absent=True).unionByName(T.readings(at, "retail_price", p, NOW, BEFORE))
-    return r.unionByName(T.readings(at, "mortality", m, NOW, BEFORE, covered)).unionByName(T.readings(at, "wastewater", w, NOW, BEFORE, w))
+    r = r.unionByName(T.readings(at, "mortality", m, NOW, BEFORE, covered)).unionByName(T.readings(at, "wastewater", w, NOW, BEFORE, w))
+    return r if reasons else r.drop("reason")
 
 
 _BRIDGE = "bridge(product, substance, drug, caveat) as (values " + ", ".join("(" + ", ".join("null" if x is None else f"'{x}'" for x in b) + ")" for b in BRIDGE) + ")"
@@ -106,7 +128,7 @@ def t1(spark, d):
 
 @query("t2_absent_reason", f"with {TRI} select modality, reason, count(*) n from readings where not available group by all")
 def t2(spark, d):
-    return all_readings(spark, d).where("not available").groupBy("modality", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return all_readings(spark, d, reasons=True).where("not available").groupBy("modality", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("t3_direction", f"with {TRI} select modality, {_DIR.format(x='change')} direction, count(*) n from readings where available group by all")
@@ -142,7 +164,7 @@ def t7(spark, d):
 @query("t8_indexed_series", f"with {TRI}, u as (select 'seizures' modality, country, product, year, v::double v from vf union all select 'retail_price', country, product, year, v from vp union all select 'mortality', country, product, year, v from vm), f as (select *, first_value(v) over (partition by modality, country, product order by year) b from u) select modality, country, product, year, case when b > 0 then floor(v / b * 100 * 10 + 0.5) / 10 end as \"index\" from f")
 def t8(spark, d):
     b = F.broadcast(bridge(spark))
-    f = V.flows(spark, d, "dest product year qty size").where("size < 4").groupBy(F.col("dest").alias("country"), "product", "year").agg(F.sum("qty").cast("double").alias("v")).withColumn("modality", F.lit("seizures"))
+    f = seizure_lines(spark, d).groupBy("country", "product", "year").agg(F.sum("qty").cast("double").alias("v")).withColumn("modality", F.lit("seizures"))
     p = V.prices(spark, d).select("country", "product", "year", F.col("price").alias("v"), F.lit("retail_price").alias("modality"))
     covered = V.table(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("country"))
     o = V.outcomes(spark, d).where("not partial").withColumnRenamed("product", "substance").join(b, "substance").join(covered, F.col("jurisdiction") == F.col("country"))
@@ -167,7 +189,7 @@ def t10(spark, d):
 
 @query("j12_pair_scan", f"with {TRI} select p.country, p.product, count(v.v) as \"years\" from pairs p left join vf v on v.country = p.country and v.product = p.product group by all")
 def j12(spark, d):
-    f = V.flows(spark, d, "dest product year size").where("size < 4").groupBy(F.col("dest").alias("country"), "product").agg(F.countDistinct("year").alias("years"))
+    f = seizure_lines(spark, d).groupBy("country", "product").agg(F.countDistinct("year").alias("years"))
     return pairs(spark, d).join(f, ["country", "product"], "left").fillna(0, ["years"])
 
 

@@ -25,11 +25,27 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.schema(_schema(spark, path, modified(spark, path))).parquet(path)
 
 
-def flows(spark: SparkSession, d: str, columns: str, parts_first: bool = False, most_suppliers: int = 1_000_000) -> DataFrame:
+@functools.lru_cache(maxsize=256)
+def _rows(spark: SparkSession, path: str, changed: int) -> int:
+    return spark.read.schema(_schema(spark, path, changed)).parquet(path).count()
+
+
+#: Tables of keys (suppliers, customers, parts) are broadcast up to so many rows; beyond, lines and orders are shuffled to meet them.
+MOST = 1_000_000
+
+
+def few(spark: SparkSession, d: str, name: str, df: DataFrame) -> DataFrame:
+    """``df``, which has a row at most for each of the given table ``name``, to be broadcast if that has ``MOST`` rows at most. Rows are counted once, like schemas."""
+    path = f"{d}/{name}.parquet"
+    return F.broadcast(df) if _rows(spark, path, modified(spark, path)) <= MOST else df
+
+
+def flows(spark: SparkSession, d: str, columns: str, parts: str | None = None) -> DataFrame:
     """One row per line with the ``columns`` named, of: origin and dest (nations), cust, supp, product, item, year, qty, cents, disc (percent), size, orderkey, partkey.
 
-    Keys between the tables hold, so a table that gives none of the columns isn't joined at all. Lines carry no more than what is wanted of them; suppliers are broadcast
-    up to ``most_suppliers``, customers meet orders before lines do, so that lines are shuffled once for orders and once for parts. ``parts_first``: parts before orders, where a filter leaves few of them.
+    Keys between the tables hold, so a table that gives none of the columns isn't joined at all. Lines carry no more than what is wanted of them; suppliers, customers and parts are broadcast
+    where they are ``few``, customers meet orders before lines do, so that lines are shuffled once for orders and once for parts at most. ``parts``: a condition on product, item or size that few parts
+    fulfil; those are counted by themselves and meet lines first, so that few lines are left for orders and, last, for customers.
     """
     t = lambda n, *c: table(spark, d, n).select(*c)
     wanted = set(columns.split())
@@ -39,31 +55,33 @@ def flows(spark: SparkSession, d: str, columns: str, parts_first: bool = False,
         "cents": F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), "disc": F.round(F.col("l_discount") * 100).cast("long").alias("disc"),
     }
     of_orders, of_parts = {"dest", "cust"} & wanted, {"product", "item", "size"} & wanted
-    keys = ({"supp"} if "origin" in wanted else set()) | ({"partkey"} if of_parts else set()) | ({"orderkey"} if of_orders else set())
+    keys = ({"supp"} if "origin" in wanted else set()) | ({"partkey"} if of_parts or parts else set()) | ({"orderkey"} if of_orders else set())
     out = table(spark, d, "lineitem").select(*(c for name, c in made.items() if name in wanted | keys))
     if "origin" in wanted:
         supplier = t("supplier", "s_suppkey", "s_nationkey").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("supp"), F.col("n_name").alias("origin"))
-        out = out.join(sized(supplier, most_suppliers), "supp")
-    joins = []
-    if of_orders:
-        order = table(spark, d, "orders").select(F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("cust"))
-        if "dest" in wanted:
-            customer = t("customer", "c_custkey", "c_nationkey").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("cust"), F.col("n_name").alias("dest"))
-            order = order.join(customer, "cust")
-        joins.append((order.select("orderkey", *sorted(of_orders)), "orderkey"))
-    if of_parts:
-        names = {"product": "p_type", "item": "p_brand", "size": "p_size"}
-        joins.append((table(spark, d, "part").select(F.col("p_partkey").alias("partkey"), *(F.col(names[c]).alias(c) for c in sorted(of_parts))), "partkey"))
-    for other, key in reversed(joins) if parts_first else joins:
-        out = out.join(other, key)
+        out = out.join(few(spark, d, "supplier", supplier), "supp")
+    part = t("part", F.col("p_partkey").alias("partkey"), F.col("p_type").alias("product"), F.col("p_brand").alias("item"), F.col("p_size").alias("size"))
+    order = t("orders", F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("cust"))
+    customer = t("customer", "c_custkey", "c_nationkey").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("cust"), F.col("n_name").alias("dest"))
+    customer = few(spark, d, "customer", customer) if "dest" in wanted else None
+    if parts:
+        out = out.join(sized(part.where(parts).select("partkey", *sorted(of_parts)), MOST), "partkey")
+    if of_orders and parts:
+        out = out.join(order, "orderkey")
+        out = out if customer is None else out.join(customer, "cust")
+    elif of_orders:
+        order = order if customer is None else order.join(customer, "cust")
+        out = out.join(order.select("orderkey", *sorted(of_orders)), "orderkey")
+    if of_parts and not parts:
+        out = out.join(few(spark, d, "part", part.select("partkey", *sorted(of_parts))), "partkey")
     return out.select(*columns.split())
 
 
 def orders_by_nation(spark: SparkSession, d: str) -> DataFrame:
-    """Orders with their customers and those customers' nations: orders are joined once, with what customers have."""
+    """Orders with their customers and those customers' nations: orders are joined once, with what customers have, and not shuffled where these are ``few``."""
     nation = table(spark, d, "nation")
     customer = table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # a row per nation
-    return table(spark, d, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    return table(spark, d, "orders").join(few(spark, d, "customer", customer), F.col("o_custkey") == F.col("c_custkey"))
 
 
 FLOWS = """flows as (select a.n_name origin, b.n_name dest, c_custkey cust, s_suppkey supp, p_type product, p_brand item, cast(year(l_shipdate) as int) "year",

@@ -49,6 +49,18 @@ def test_lines_are_shuffled_once_a_table(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_readings_shuffle_lines_of_the_years_compared(spark, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = V.table(spark, SF, "lineitem").count()
+        for name in ("t1_readings", "t2_absent_reason", "t6_coverage_conflict", "t7_caveats", "t9_scan_divergences", "t10_precomputed_divergence"):
+            assert 0 < shuffled(spark, lambda: QUERIES[name](spark, SF)) < 0.7 * lines, name
+        monkeypatch.setattr(V, "MOST", 0)  # as if every table were too long to be broadcast
+        assert 0 < shuffled(spark, lambda: QUERIES["t1_readings"](spark, SF)) < 2 * lines
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_a_value_is_worked_out_once_a_row(spark, tmp_path):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     (tmp_path / "a.csv").write_text("drug,country,year,price\n" + "soap,Land,1999,3\n" * 3)
